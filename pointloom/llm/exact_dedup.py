@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import SPACE, shared_dir, text_column, written
+from pointloom.llm.shared import SPACE, join_groups, shared_dir, text_column, written
 
 MAX_DEPTH = 14
 BUCKET_TEXTS = 1 << 14
-HOT_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -94,13 +93,7 @@ def build_index(docs: DataFrame, folder: str, key_bits: int = 64, bucket_texts:
 
 def probe(entries: DataFrame, index: DataFrame) -> DataFrame:
     """All entries with the keep_id and group_size of their text."""
-    found = index.select("key", "sha256", "keep_id", "group_size")
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    most = max(1, total // HOT_SHARE)  # so at most HOT_SHARE groups are larger
-    hot, cold = found.filter(F.col("group_size") > most), found.filter(F.col("group_size") <= most)
-    by_hot = entries.join(F.broadcast(hot), ["key", "sha256"])
-    rest = entries.join(F.broadcast(hot.select("key", "sha256")), ["key", "sha256"], "left_anti").join(cold, ["key", "sha256"])
-    return by_hot.unionByName(rest)
+    return join_groups(entries, index.select("key", "sha256", "keep_id", "group_size"), ["key", "sha256"], "group_size")
 
 
 def exact_duplicates(docs: DataFrame, folder: str | None = None, key_bits: int = 64, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:

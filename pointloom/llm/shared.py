@@ -60,3 +60,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_b
             last = max(first + 1, int(ends.searchsorted(base + max_bytes, "right")))
             yield batch.slice(first, last - first)
             first = last
+
+
+def join_groups(entries: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_groups: int = 1000) -> DataFrame:
+    """entries joined with the one row of their group, however large a group is.
+
+    `size` counts a group's entries, so at most hot_groups groups hold more than
+    1 / hot_groups of all entries. Those rows are broadcast; the rest is an ordinary join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    most = max(1, total // hot_groups)
+    hot, cold = groups.filter(F.col(size) > most), groups.filter(F.col(size) <= most)
+    by_hot = entries.join(F.broadcast(hot), keys)
+    return by_hot.unionByName(entries.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
