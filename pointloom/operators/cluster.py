@@ -72,7 +72,7 @@ def dbscan_per_frame(points: DataFrame, eps: float, min_points: int, by: str = "
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _dbscan_frame(pdf[list(P)].to_numpy(float), pdf[key].to_numpy(), eps, min_points)
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": pd.array(np.where(found < 0, 0, found), "Int64").astype("object").where(found >= 0, None)})
+        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": pd.Series(found, index=pdf.index, dtype="Int64").mask(found < 0)})
 
     return points.select(by, key, *P).groupBy(by).applyInPandas(run, f"{by} long, {key} long, cluster long")
 
