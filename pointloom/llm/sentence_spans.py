@@ -1,7 +1,7 @@
 """Repeated passages: sliding spans of consecutive sentences, hashed and joined globally.
 
 A text is cut into sentences at end marks and line ends. A sentence over LONG words is cut further
-behind words that their own hash chooses, so that a passage is cut alike wherever it
+behind words that their own hash and their two predecessors choose, so that a passage is cut alike wherever it
 stands. From every sentence on, the shortest run of at least RUN sentences and WORDS
 words is hashed (96 bits over the words, whatever white space parts them). Runs are
 counted over all documents; of each repeated run the first document, by doc_id, keeps its first
@@ -9,7 +9,7 @@ occurrence, and every sentence that another occurrence covers is removed.
 
 Counting combines in every task before the shuffle, and runs that many documents share
 are joined by broadcast of at most a thousand hot runs, so a passage in a third of all documents
-makes no hot task.
+makes no hot task. Runs are hashed twice, for counting and for joining, which costs less than writing them.
 
 Defined cases: null, empty and short texts have no runs; repeats inside a document are removed
 behind their first occurrence; rows with equal doc_ids are one document (none of them is first); a null doc_id comes
@@ -30,66 +30,88 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointloom.llm.shared import join_groups, shared_dir, small_batches, written
+from pointloom.llm.shingles import _mix
 
 RUN, WORDS = 3, 20
-LONG, LEAST, MOST, CUT = 12, 4, 40, 4  # words of a long sentence, least and most of its parts, one word in CUT ends a part
-_WORD = re.compile(r"\S+")
+LONG, CUT, MOST = 12, 4, 40  # words of a long sentence; one word in CUT may end a part of it; most words of a part
 _END = re.compile(r"[.!?…][^\w\s]*$")
 _LAST = (1 << 63) - 1
 _RUNS = "run long, check int, doc_id long, first int, last int, again boolean"
+_MEMO_WORDS = 300_000
+_SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 class _Words(dict):
-    """A word's hash, and whether it ends a sentence, remembered."""
+    """A word's hash, whose lowest bit tells whether the word ends a sentence, remembered."""
 
-    def __missing__(self, word: str) -> tuple[int, bool]:
-        found = self[word] = (xxhash.xxh3_64_intdigest(word), _END.search(word) is not None)
-        return found
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & ~1 | (_END.search(word) is not None)
+        return h
 
 
 _words = _Words()
 
 
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, hash) of each sentence, or part of a long one."""
-    if len(_words) > 400_000:
+def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end of each word, word hashes, index of the first word of each sentence and the number of words)."""
+    if len(_words) > _MEMO_WORDS:
         _words.clear()
-    out: list[tuple[int, int, int, int]] = []
-    sentence: list[tuple[int, int, int]] = []
-
-    def close() -> None:
-        if not sentence:
-            return
-        first, hashes = 0, [h for _, _, h in sentence]
-        cut_long = len(sentence) > LONG
-        for i in range(len(sentence)):
-            n = i + 1 - first
-            if i + 1 == len(sentence) or (cut_long and (n >= MOST or (n >= LEAST and hashes[i] % CUT == 0))):
-                joined = np.array(hashes[first : i + 1], np.uint64).tobytes()
-                out.append((sentence[first][0], sentence[i][1], n, xxhash.xxh3_64_intdigest(joined)))
-                first = i + 1
-        sentence.clear()
-
-    for line in re.finditer(r"[^\n]+", text):
-        base = line.start()
-        for m in _WORD.finditer(line.group()):
-            h, ends = _words[m.group()]
-            sentence.append((base + m.start(), base + m.end(), h))
-            if ends:
-                close()
-        close()
-    return out
-
-
-def runs(text: str, least_run: int = RUN, least_words: int = WORDS) -> Iterator[tuple[int, int, int]]:
-    """(128-bit hash, start, end) of the shortest long-enough run from each sentence."""
-    found = sentences(text)
-    sums = np.concatenate([[0], np.cumsum([s[2] for s in found])]) if found else np.zeros(1)
-    hashes = np.array([s[3] for s in found], np.uint64).tobytes()
-    ends = np.maximum(np.searchsorted(sums, sums[:-1] + least_words), np.arange(len(found)) + least_run)
-    for i, k in enumerate(ends.tolist()):
-        if k <= len(found):
-            yield xxhash.xxh3_128_intdigest(hashes[8 * i : 8 * k]), found[i][0], found[k - 1][1]
+    words = text.split()
+    n = len(words)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    if not n:
+        return h, h, h, np.zeros(1, np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACES[np.minimum(codes, 0x3000)] & (codes <= 0x3000)
+    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    line = np.cumsum(codes == 10)[start]
+    close = (h & np.uint64(1)) == 1
+    close[:-1] |= line[1:] != line[:-1]
+    close[-1] = True
+    bounds = np.concatenate([[0], np.flatnonzero(close) + 1])
+    long = np.repeat(np.diff(bounds) > LONG, np.diff(bounds))
+    if long.any():
+        may = (h >> np.uint64(1)) % np.uint64(CUT) == 0
+        cut = may.copy()
+        for k in (1, 2):
+            cut[k:] &= ~may[:-k]
+        bounds = np.union1d(bounds, np.flatnonzero(cut & long) + 1)
+        size = np.diff(bounds)
+        if size.max() > MOST:
+            bounds = np.union1d(bounds, np.concatenate([np.arange(bounds[i], bounds[i + 1], MOST) for i in np.flatnonzero(size > MOST)]))
+    return start, end, h, bounds
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2 ** 64, and their inverses."""
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[:1] = 1
+        both.append(np.cumprod(p, dtype=np.uint64))
+    return both[0], both[1]
+
+
+_TABLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def runs(text: str, least_run: int = RUN, least_words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, start, end) of the shortest long-enough run from each sentence."""
+    start, end, h, bounds = sentences(text)
+    n = len(bounds) - 1
+    last = np.maximum(np.searchsorted(bounds, bounds[:-1] + least_words), np.arange(n) + least_run)
+    at = np.flatnonzero(last <= n)
+    first, stop = bounds[at], bounds[last[at]]
+    out = []
+    for base in _BASES:
+        if base not in _TABLE or len(_TABLE[base][0]) < len(h):
+            _TABLE[base] = _powers(base, max(len(h), 1 << 15))
+        up, down = _TABLE[base]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h ^ np.uint64(base)) * up[: len(h)], dtype=np.uint64)])
+        out.append(_mix((sums[stop] - sums[first]) * down[first] + (stop - first).astype(np.uint64)))
+    return out[0], out[1], start[first].astype(np.int32), end[stop - 1].astype(np.int32)
 
 
 def run_table(docs: DataFrame) -> DataFrame:
@@ -97,28 +119,24 @@ def run_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
-            rows = []
+            parts = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen = set()
-                for h, first, last in runs(text or ""):
-                    rows.append((h >> 64, h & 0x7FFFFFFF, doc_id, first, last, h in seen))
-                    seen.add(h)
-            columns = [*zip(*rows, strict=True)] or [()] * 6
-            keys = pa.array(np.array(columns[0], np.uint64).view(np.int64))
-            rest = [pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, *rest], names=["run", "check", "doc_id", "first", "last", "again"])
+                a, b, first, last = runs(text or "")
+                again = np.ones(len(a), bool)
+                again[np.unique(a, return_index=True)[1]] = False
+                parts.append((a.view(np.int64), (b >> np.uint64(33)).astype(np.int32), np.full(len(a), doc_id), first, last, again))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "check", "doc_id", "first", "last", "again"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RUNS)
 
 
 def repeated_passages(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Per passage to remove: doc_id, start, end (code points), first_doc_id (where it stays)."""
-    found = written(run_table(docs), f"{folder or shared_dir(docs.sparkSession, 'sentence-spans')}/runs")
-    once = found.filter("NOT again")
-    groups = once.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("documents")).filter("documents > 1")
-    later = join_groups(once, groups, ["run", "check"], "documents").filter("doc_id > first_doc_id").select("doc_id", "first", "last", "first_doc_id")
-    inside = found.filter("again").select("doc_id", "first", "last", F.col("doc_id").alias("first_doc_id"))
-    covered = later.unionByName(inside)
+    found = run_table(docs)
+    counts = found.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    groups = written(counts, f"{folder or shared_dir(docs.sparkSession, 'sentence-spans')}/repeated")
+    covered = join_groups(found, groups, ["run", "check"], "times").filter("again OR doc_id > first_doc_id").select("doc_id", "first", "last", "first_doc_id")
     order = W.partitionBy("doc_id").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = covered.withColumn("opens", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))
