@@ -24,12 +24,13 @@ _N = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _S = "\\t-\\r \x85\xa0"
 #: The pre-token patterns of the two files, fixed by their formats.
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Letters stand first, as most pre-tokens are words and no suffix starts with a letter.
 PATTERNS = {
-    "byte": re.compile(f"{_SUFFIX}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
-    "word": re.compile(f"{_SUFFIX}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "byte": re.compile(f" ?[{_L}]+|{_SUFFIX}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word": re.compile(f"[{_L}]+|{_SUFFIX}|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
-MEMO_ENTRIES = 700_000
-_BATCH_CHARS = 1 << 20  # texts are encoded in batches of about so many characters
+MEMO_ENTRIES = 1_200_000
+_BATCH_CHARS = 1 << 18  # texts are encoded in batches of about so many characters
 
 
 def public_path(name: str) -> str:
@@ -39,6 +40,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_chars() -> dict[int, int]:
+    """The visible characters that stand for bytes in both files: itself for a printable byte, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {b: rest.get(b, b) for b in range(1, 256)}
+
+
 class MemoEncoder:
     """ids of whole texts, by the tokenizers file at `path`."""
 
@@ -51,12 +59,13 @@ class MemoEncoder:
         self.pattern = PATTERNS["word" if self.words else "byte"]
         # The same model over pre-tokens joined by NUL: no normalizer and no pattern are run again.
         self.model = Tokenizer(self.tokenizer.model)
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\0"), level])
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
+        self.byte_chars = _byte_chars()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.id_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.id_bytes[i] = len(token.removesuffix("</w>") if self.words else token)
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.memo_entries = memo_entries
         self._forget()
 
@@ -67,7 +76,8 @@ class MemoEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pre-tokens that the memo lacks, in one call of the library."""
-        ids = np.array(self.model.encode_batch_fast(["\0".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        joined = "\0".join(new).encode().decode("latin-1").translate(self.byte_chars)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum([len(p.encode()) for p in new])) + 1
         first, n, k = len(self.memo), len(new), self.used
         while first + n > len(self.starts):
@@ -98,15 +108,16 @@ class MemoEncoder:
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         found = [self.pieces(t) for t in texts]
-        distinct = set().union(*(f for f in found if f is not None))
-        new = distinct.difference(self.memo)
+        distinct = dict.fromkeys(chain.from_iterable(f or () for f in found))
+        new = [p for p in distinct if p not in self.memo]
         if new:
             if len(self.memo) + len(new) > self.memo_entries:
                 self._forget()
-                new = distinct
-            self._learn(list(new))
+                new = list(distinct)
+            self._learn(new)
         sizes = np.array([len(f or ()) for f in found], np.int64)
-        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(f or () for f in found)), np.int64, int(sizes.sum()))
+        own = dict(zip(distinct, map(self.memo.__getitem__, distinct), strict=True))  # small, so that most lookups stay in cache
+        at = np.fromiter(map(own.__getitem__, chain.from_iterable(f or () for f in found)), np.int64, int(sizes.sum()))
         counts = self.counts[at]
         ends = np.cumsum(counts)
         ids = self.flat[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
@@ -128,7 +139,41 @@ class MemoEncoder:
         return self.encode([text])[0]
 
 
+class RankEncoder:
+    """ids of whole texts by a byte-level file, merged by rank.
+
+    In such a file a token's id is its merge rank, so `tiktoken` over the file's own
+    vocabulary gives the ids of `tokenizers`, faster. Texts beyond Latin-1 and strings of special
+    tokens go through `tokenizers` itself; the tests compare both.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.plain = MemoEncoder(path, 0)
+        to_byte = {c: b for b, c in self.plain.byte_chars.items()} | {256: 0}
+        vocab = self.plain.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(to_byte[ord(c)] for c in token): i for token, i in vocab.items()}
+        ranks = {k: i for k, i in ranks.items() if not (len(k) > 1 and self.plain.tokenizer.id_to_token(i) in self.plain.special)}
+        pattern = _SUFFIX + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_one(self, text: str | None) -> np.ndarray:
+        """uint32 ids of a text; null and empty texts have none."""
+        text = text or ""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.plain.whole(text)
+        return self.plain.whole(text) if "<|" in text else self.ranked.encode_to_numpy(text, disallowed_special=())
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.encode_one(t) for t in texts]
+
+
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> MemoEncoder:
+def encoder(path: str) -> MemoEncoder | RankEncoder:
     """One encoder for each file and Python worker."""
-    return MemoEncoder(path)
+    found = MemoEncoder(path)
+    return found if found.words else RankEncoder(path)
