@@ -6,7 +6,7 @@ forms, adverts, comments and the like (by tag, role, class or id) or where links
 of the text; good inside an article element or where the block is long and
 dense in stop words; bad where a long block lacks them; else undecided. Pass two gives every undecided
 block the label of its nearest decided neighbours: good if one side is good and the other is good or
-missing, or, between a good and a bad side, if the good one is nearer. In an article whose blocks are all undecided they are good.
+missing, or, between a good and a bad side, if the good one is not farther. In an article whose blocks are all undecided they are good.
 
 Kept blocks have their character references decoded, white space turned into
 single spaces and trimmed, and are joined in page order by one space.
@@ -193,7 +193,7 @@ def classify(found: list[Block]) -> None:
         elif left == right or not left or not right:
             b.label = GOOD if GOOD in (left, right) else BAD
         else:
-            b.label = left if i - at <= to - i else right
+            b.label = GOOD if i - at == to - i else left if i - at < to - i else right
 
 
 def main_text(page: str | None) -> str:
