@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import geometry as g
 from pointloom.operators.graph import connected_components
 from pointloom.operators.spatial import eps_pairs, knn_within
+from pointloom.operators.stage import staged
 
 P = ("x", "y", "z")
 
@@ -24,7 +25,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: Sequence[str] = (
     least cluster of its core neighbours. `key` must be unique over all groups. Works for
     groups of any size, as no task holds a whole group.
     """
-    pairs = eps_pairs(points, eps, by, key)
+    pairs = staged(eps_pairs(points, eps, by, key), "dbscan")
     core = pairs.groupBy("i").count().filter(F.col("count") + 1 >= min_points).select("i")
     if min_points <= 1:
         core = points.select(F.col(key).alias("i"))

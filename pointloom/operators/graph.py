@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _scratch(spark: SparkSession) -> str | None:
-    """A folder under the shared checkpoint folder, or None where none is set (then rounds are cached)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/components-{uuid.uuid4().hex}" if base else None
+from pointloom.operators.stage import staged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -24,17 +18,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     key, never collected. Rounds are written to the shared folder, so lineage stays short. Null
     ends are ignored; a self-loop only names its node.
     """
-    spark, folder = edges.sparkSession, _scratch(edges.sparkSession)
     pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        if folder is None:
-            return df.cache()
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    current = kept(pairs.filter("u < v").distinct(), "edges")
+    found = staged(pairs.distinct(), "components")
+    nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    current = found.filter("u < v")
     state = None
     for k in range(max_rounds):
         # Large star: from both ends, larger neighbours go to the least neighbour.
@@ -45,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small_least, "v")
         small = joined.select(F.col("m").alias("u"), "v").unionByName(joined.select(F.col("m").alias("u"), F.col("u").alias("v"))).filter("u < v").distinct()
-        current = kept(small, f"round-{k}")
+        current = staged(small, "components")
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == state:
             break

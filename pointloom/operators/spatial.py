@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointloom.operators.stage import staged
+
 P = ("x", "y", "z")
 _OFFSETS = "transform(sequence(0, 26), k -> struct(cast(k % 3 - 1 AS long) AS dx, cast(floor(k / 3) % 3 - 1 AS long) AS dy, cast(floor(k / 9) - 1 AS long) AS dz))"
 
@@ -55,10 +57,12 @@ def knn_within(points: DataFrame, k: int, radius: float, by: Sequence[str] = (),
 
 def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", max_rings: int = 8) -> DataFrame:
     """Each point's label of its nearest reference point; the radius doubles until all points have one (at most max_rings times)."""
-    left, out = points, None
+    points, reference, out = staged(points, "nearest"), staged(reference, "nearest"), None
+    left = points
     for _ in range(max_rings):
         met = radius_join(left, reference, radius, by)
         found = met.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"b.{label}").alias(label), "d"), F.struct("d", F.col(f"b.{key}").alias("j"))).alias("n")).select(key, f"n.{label}", "n.d")
+        found = staged(found, "nearest")
         out = found if out is None else out.unionByName(found)
         left = points.join(out.select(key), key, "left_anti")
         if left.isEmpty():

@@ -11,6 +11,7 @@ from pointloom.functions import geometry as g
 from pointloom.operators import cluster as C
 from pointloom.operators import features as A
 from pointloom.operators import spatial as S
+from pointloom.plans.pipelines import prior_valid
 from pointloom.plans.point_queries import r6
 from pointloom.plans.registry import query
 from pointloom.plans.views import BIG, PTS, SHELLS, big_pts, pts, shells
@@ -311,3 +312,18 @@ def neighbour_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = joined.filter("i = 3").agg(F.collect_set("j").alias("a"))
     its = joined.filter("i = m").agg(F.collect_set("j").alias("b"))
     return own.crossJoin(its).select(F.array_sort(F.array_union("a", "b")).alias("merged"), F.array_sort(F.array_except("a", "b")).alias("only_a"))
+
+
+@query(f"WITH {PTS} SELECT frame_id, round(avg(z) + 0.01, 6) + 0.0 AS residual, abs(avg(z) + 0.01) <= 2 * 0.005 AS prior_valid FROM pts WHERE abs(x) > 0.05 GROUP BY frame_id")
+def drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prior_valid(pts(spark, sf_dir), "abs(x) > 0.05", -0.01, 0.005)
+    return found.select("frame_id", r6(F.col("residual")).alias("residual"), "prior_valid")
+
+
+@query(f"WITH {PTS}, {UNIT}, {KNN} SELECT i AS point_id, round(0.06 * least(greatest(sqrt(avg(nx) ** 2 + avg(ny) ** 2 + avg(nz) ** 2), 0.25), 1.0), 6) AS h FROM knn JOIN u ON u.point_id = j GROUP BY i")
+def knn_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = pts(spark, sf_dir)
+    length = g.norm([F.col(c) for c in "xyz"])
+    normals = points.select(F.col("point_id").alias("j"), *[(F.col(c) / length).alias(f"n{c}") for c in "xyz"])
+    near = S.knn_within(points, 6, 0.1).select(F.col("i").alias("point_id"), "j").join(normals, "j")
+    return A.resultant_bandwidth(near, ["point_id"], 0.06, 0.015).select("point_id", F.round("h", 6).alias("h"))
