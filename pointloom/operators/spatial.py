@@ -95,7 +95,7 @@ def voxel_mean(points: DataFrame, size: float, by: Sequence[str] = ()) -> DataFr
 def voxel_first(points: DataFrame, size: float, by: Sequence[str] = (), key: str = "point_id") -> DataFrame:
     """One row a voxel: mean position, the intensity and id of its first point."""
     keyed = voxel_key(points, size, by, half=True)
-    first = F.min_by(F.struct("intensity", F.col(key).alias("first_id")), key).alias("first")
+    first = F.min(F.struct(F.col(key).alias("first_id"), "intensity")).alias("first")
     out = keyed.groupBy(*by, "vx", "vy", "vz").agg(*[F.avg(c).alias(c) for c in P], first)
     return out.select(*by, "vx", "vy", "vz", *P, "first.intensity", "first.first_id")
 

@@ -63,7 +63,7 @@ def voxel_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.voxel_mean(big_pts(spark, sf_dir), 0.5, ["frame_id"]).select("frame_id", "vx", "vy", "vz", F.round("x", 5).alias("x"), F.round("z", 5).alias("z"), "n")
 
 
-@query(f"WITH {BIG}, {VOXEL.format(h='0.25')} SELECT frame_id, vx, vy, vz, min(point_id) AS first_id, round(arg_min(intensity, point_id), 6) AS intensity FROM k GROUP BY frame_id, vx, vy, vz")
+@query(f"WITH {BIG}, {VOXEL.format(h='0.25')} SELECT frame_id, vx, vy, vz, min(point_id) AS first_id, round(arg_min(intensity, struct_pack(p := point_id, i := intensity)), 6) AS intensity FROM k GROUP BY frame_id, vx, vy, vz")
 def voxel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.voxel_first(big_pts(spark, sf_dir), 0.5, ["frame_id"]).select("frame_id", "vx", "vy", "vz", "first_id", F.round("intensity", 6).alias("intensity"))
 

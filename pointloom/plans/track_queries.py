@@ -11,7 +11,13 @@ from pointloom.plans.registry import query
 from pointloom.plans.views import METRICS, PTS, TRAJ, metrics, pts, table, traj
 
 ORDER = ["ts", "event_id"]
-SECONDS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))") / 1e6  # the same in every session time zone
+
+
+def seconds():
+    """Seconds since 1970 of `ts`, the same in every session time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))") / 1e6
+
+
 SECONDS_SQL = "epoch_us(ts) / 1e6"
 NIS_LIMIT = 7.814727903251179  # the 95 % quantile of chi-square with 3 degrees of freedom
 
@@ -26,7 +32,7 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRAJ}, l AS (SELECT *, {SECONDS_SQL} - lag({SECONDS_SQL}) OVER (PARTITION BY track ORDER BY ts, event_id) AS gap FROM traj) SELECT track, event_id, round(coalesce(greatest(0.01, gap), 0.1), 4) AS dt FROM l")
 def frame_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.frame_dt(traj(spark, sf_dir), "track", ORDER, SECONDS).select("track", "event_id", F.round("dt", 4).alias("dt"))
+    return T.frame_dt(traj(spark, sf_dir), "track", ORDER, seconds()).select("track", "event_id", F.round("dt", 4).alias("dt"))
 
 
 @query(f"WITH {TRAJ} SELECT track, event_id, list(event_id) OVER (PARTITION BY track ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS buffer FROM traj")
@@ -39,7 +45,7 @@ def sliding_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.track, a.event_id, b.event_id AS past_id, round(a.s - b.s, 4) AS tau FROM n a JOIN n b ON a.track = b.track AND b.k BETWEEN a.k - 4 AND a.k - 1 AND a.s - b.s > 1e-4 AND a.s - b.s <= 20000"""
 )
 def history_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = T.history_pairs(traj(spark, sf_dir), "track", ORDER, SECONDS, 20000, 5)
+    pairs = T.history_pairs(traj(spark, sf_dir), "track", ORDER, seconds(), 20000, 5)
     return pairs.select("track", "event_id", F.col("p.event_id").alias("past_id"), F.round("tau", 4).alias("tau"))
 
 
@@ -59,7 +65,7 @@ def health_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT track, session, count(*) AS rows, round(min(s), 3) AS first_s, round(max(s), 3) AS last_s FROM n GROUP BY track, session"""
 )
 def coasting_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.sessions(traj(spark, sf_dir), "track", ORDER, SECONDS, 21600)
+    found = T.sessions(traj(spark, sf_dir), "track", ORDER, seconds(), 21600)
     return found.select("track", "session", "rows", F.round("first_s", 3).alias("first_s"), F.round("last_s", 3).alias("last_s"))
 
 
