@@ -74,5 +74,12 @@ class Config:
             raise ValueError(f"unknown parameters: {sorted(unknown)}")
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in flat.items()})
 
+    @classmethod
+    def from_yaml(cls, text: str) -> Config:
+        """Values from a YAML document."""
+        import yaml
+
+        return cls.from_mapping(yaml.safe_load(text) or {})
+
 
 DEFAULT = Config()

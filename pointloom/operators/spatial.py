@@ -92,6 +92,11 @@ def voxel_mean(points: DataFrame, size: float, by: Sequence[str] = ()) -> DataFr
     return keyed.groupBy(*by, "vx", "vy", "vz").agg(*[F.avg(c).alias(c) for c in (*P, "intensity")], F.count(F.lit(1)).alias("n"))
 
 
+def voxel_trace(points: DataFrame, size: float, by: Sequence[str] = (), key: str = "point_id") -> DataFrame:
+    """One row a voxel with the sorted ids of its members; a voxel holds what a sensor puts into its volume."""
+    return voxel_key(points, size, by).groupBy(*by, "vx", "vy", "vz").agg(F.sort_array(F.collect_list(key)).alias("members"))
+
+
 def voxel_first(points: DataFrame, size: float, by: Sequence[str] = (), key: str = "point_id") -> DataFrame:
     """One row a voxel: mean position, the intensity and id of its first point."""
     keyed = voxel_key(points, size, by, half=True)

@@ -68,6 +68,11 @@ def voxel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.voxel_first(big_pts(spark, sf_dir), 0.5, ["frame_id"]).select("frame_id", "vx", "vy", "vz", "first_id", F.round("intensity", 6).alias("intensity"))
 
 
+@query(f"WITH {BIG}, {VOXEL.format(h='0.0')} SELECT frame_id, vx, vy, vz, list_sort(list(point_id)) AS members FROM k GROUP BY frame_id, vx, vy, vz")
+def voxel_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.voxel_trace(big_pts(spark, sf_dir), 0.5, ["frame_id"])
+
+
 @query(f"WITH {PTS} SELECT frame_id, round(avg(x), 6) + 0.0 AS mx, round(avg(y), 6) + 0.0 AS my, round(avg(z), 6) + 0.0 AS mz, count(*) AS n FROM pts GROUP BY frame_id")
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = A.centroid(pts(spark, sf_dir), ["frame_id"])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pointloom.config import DEFAULT, Config
 
@@ -35,3 +41,43 @@ def accumulate(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0
     key = [F.when(F.col("n") > config.buffer_cap, F.floor(F.col(c) / v)).otherwise(F.col("i") if c == "x" else 0).alias(f"v{c}") for c in "xyz"]
     cells = rows.select("*", *key).groupBy("track", "frame", "ts", "vx", "vy", "vz")
     return cells.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.min_by("intensity", "i").alias("intensity")).select("track", "frame", "ts", "x", "y", "z", "intensity")
+
+
+_FRAME_OUT = "track long, frame long, ts double, x double, y double, z double, intensity double"
+
+
+def _cloud(frame, past: list, config: Config, reach_s: float) -> list[tuple[float, float, float, float]]:
+    """One frame's accumulated points, as `accumulate` gives them."""
+    own = [(p["x"], p["y"], p["z"], p["intensity"]) for p in frame.points]
+    rows = []
+    if len(own) < config.buffer_trigger:
+        for ts, points in past:
+            tau = frame.ts - ts
+            if 1e-4 < tau <= reach_s:
+                c, s = math.cos(-frame.omega * tau), math.sin(-frame.omega * tau)
+                rows += [(c * x - s * y - frame.vx * tau, s * x + c * y - frame.vy * tau, z, i) for x, y, z, i in points]
+    rows += own
+    if len(rows) <= config.buffer_cap:
+        return rows
+    cells: dict[tuple[int, int, int], list] = {}
+    for r in rows:
+        cells.setdefault(tuple(math.floor(v / config.buffer_voxel) for v in r[:3]), []).append(r)
+    return [(*(sum(r[k] for r in cell) / len(cell) for k in range(3)), cell[0][3]) for cell in cells.values()]
+
+
+def accumulate_stream(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0) -> DataFrame:
+    """The same over a stream: each track's state is its last buffer_window - 1 frames, in event order within a micro-batch."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past = [(t, [tuple(p) for p in points]) for t, points in json.loads(state.get[0])] if state.exists else []
+        out = []
+        for frame in pd.concat(list(batches)).sort_values(["ts", "frame"]).itertuples():
+            if frame.points is None or not len(frame.points):
+                continue
+            out += [(int(key[0]), frame.frame, frame.ts, *q) for q in _cloud(frame, past, config, reach_s)]
+            past = [*past, (frame.ts, [(p["x"], p["y"], p["z"], p["intensity"]) for p in frame.points])][1 - config.buffer_window :]
+        state.update((json.dumps(past),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _FRAME_OUT.split(", ")])
+
+    rows = frames.select("track", "frame", "ts", "vx", "vy", "omega", "points")
+    return rows.groupBy("track").applyInPandasWithState(run, _FRAME_OUT, "past string", "append", GroupStateTimeout.NoTimeout)

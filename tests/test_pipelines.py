@@ -71,3 +71,20 @@ def test_sql_names(spark):
     assert len(corners) == 8 and {abs(c.z) for c in corners} == {3.0}
     row = spark.sql("SELECT wrap_angle(7D) AS a, wendland(0D) AS w, wendland(1D) AS e").first()
     assert row.a == pytest.approx(7 - 2 * np.pi) and (row.w, row.e) == (1.0, 0.0)
+
+
+def test_buffer_stream_equals_batch(spark, tmp_path):
+    from pointloom.streaming.buffer import accumulate, accumulate_stream
+
+    rng = np.random.default_rng(13)
+    rows = [(t, k, 0.3 * k, 0.1, -0.05, 0.2, [tuple(map(float, (*rng.random(3), 1.0 + k))) for _ in range(int(rng.integers(0, 6)))]) for t in (1, 2) for k in range(12)]
+    frames = spark.createDataFrame(rows, "track long, frame long, ts double, vx double, vy double, omega double, points array<struct<x:double,y:double,z:double,intensity:double>>")
+    config = Config(buffer_trigger=5, buffer_cap=6, buffer_voxel=0.3)
+    want = sorted((r.track, r.frame, *(round(v, 9) for v in r[3:])) for r in accumulate(frames, config).collect())
+    for part in (0, 1):  # two files, one micro-batch each
+        frames.filter(f"frame >= {6 * part} AND frame < {6 * part + 6}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = accumulate_stream(stream, config).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.track, r.frame, *(round(v, 9) for v in r[3:])) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == want
