@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pointloom.llm.shared import SPACE, join_groups, shared_dir, text_column, written
 
 MAX_DEPTH = 14
-BUCKET_TEXTS = 1 << 14
+BUCKET_TEXTS = 1 << 10
 
 
 def normalised(text: Column) -> Column:
