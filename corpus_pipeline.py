@@ -24,7 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def _kept_only(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id a decision keeps, columns unchanged."""
     kept = decisions.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own_id"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates (five-word shingles)."""
     return _kept_only(docs, near_dedup.near_duplicates(docs))
 
 

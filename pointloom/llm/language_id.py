@@ -35,6 +35,7 @@ from pointloom.llm.shared import small_batches
 from pointloom.llm.tokens import public_path
 
 SAMPLE_DOCS = 250
+SMALL_SAMPLE = 250_000  # ids that are broadcast
 ROUNDS = 4
 MAX_PIECE, MAX_WORD = 6, 32
 UNKNOWN = 1e-8  # of a letter that no piece covers
@@ -204,7 +205,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary_path: str
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (remainder("doc_id", 4) != 2))
     first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled.withColumn("rank", first).filter(F.col("rank") <= sample_docs).select("doc_id").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi")
+    few = F.broadcast(chosen) if chosen.count() <= SMALL_SAMPLE else chosen  # grows with the number of languages alone
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").join(few, "doc_id", "left_semi")
     words: dict[str, Counter] = {}
     for row in rows.toLocalIterator():
         words.setdefault(row["lang"], Counter()).update(WORDS.findall(row["text"].lower()))

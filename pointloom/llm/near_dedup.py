@@ -1,6 +1,6 @@
 """Near-duplicates by banded MinHash with sequential Bayesian verification.
 
-1. Every text becomes the set of its distinct 2-word shingles (64-bit hashes), a
+1. Every text becomes the set of its distinct word shingles (64-bit hashes; WORDS words unless told otherwise), a
    digest of that set, and a signature of BANDS * ROWS minima. Documents with one digest
    are one class; its smallest doc_id stands for it from here on.
 2. Classes that share a band's minima are candidates. At similarity 0.8 a pair shares no
@@ -38,6 +38,7 @@ from pointloom.llm.shingles import _mix, jaccard_linked, set_digest, shingle_set
 from pointloom.operators.graph import connected_components
 
 BANDS, ROWS = 40, 6
+WORDS = 5
 PERCENT = 80
 MISS = 1e-6
 BATCH = 40  # minima compared before each look at the posterior
@@ -84,12 +85,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, digest, sig (the low byte of each minimum), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
-            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
             sigs = [signature(s, BANDS * ROWS) for s in sets]
             full = [len(s) > 0 for s in sets]
             columns = [
@@ -111,7 +112,7 @@ def bucket_members(reps: DataFrame, folder: str) -> DataFrame:
     return written(rows.join(sizes, "key"), f"{folder}/members")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     sigs = reps.select("rep", "sig")
     with_sigs = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
@@ -128,14 +129,14 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, mi
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for large in batches:
             for batch in small_batches(iter([large]), "text_a", 1 << 20):
-                sets_a, sets_b = (shingle_sets(batch.column(c).to_pylist()) for c in ("text_a", "text_b"))
+                sets_a, sets_b = (shingle_sets(batch.column(c).to_pylist(), words) for c in ("text_a", "text_b"))
                 linked = [jaccard_linked(x, y, percent) for x, y in zip(sets_a, sets_b, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
 
 
-def _block_links(table: pa.Table, percent: int, miss: float) -> pa.Table:
+def _block_links(table: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
     """Links across components between the outsiders and the members of one block pair."""
     rows = table.to_pydict()
     found: list[tuple[int, int]] = []
@@ -168,7 +169,7 @@ def _block_links(table: pa.Table, percent: int, miss: float) -> pa.Table:
                 todo.append((i, others[order]))
                 needed.update([i, *others.tolist()])
         at = sorted(needed)
-        sets = dict(zip(at, shingle_sets([rows["text"][i] for i in at]), strict=True))
+        sets = dict(zip(at, shingle_sets([rows["text"][i] for i in at], words), strict=True))
         for i, others in todo:
             for j in others.tolist():
                 a, b = root(rows["component"][i]), root(rows["component"][j])
@@ -179,7 +180,7 @@ def _block_links(table: pa.Table, percent: int, miss: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float) -> DataFrame:
+def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
     """Links between members of one bucket that lie in different components."""
     labelled = members.join(components, members.rep == components.node, "left").select("key", "band", "rep", "size", "center", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
@@ -189,7 +190,7 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
     other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
     met = small.join(other, "key").filter("component < component_b AND rep <> center AND b <> center")
     pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    links = verify(pairs, reps, texts, percent, miss)
+    links = verify(pairs, reps, texts, percent, miss, words)
 
     large = active.filter(F.col("size") > SMALL_BUCKET)
     counts = large.groupBy("key", "component").count()
@@ -203,14 +204,14 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
     everyone = placed.withColumn("outsider", F.lit(False)).withColumn("col", F.pmod(at, blocks).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), outside_blocks - 1)))
     dealt = outsiders.select(*columns).unionByName(everyone.select(*columns))
     full = dealt.join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
-    in_blocks = full.groupBy("key", "row", "col").applyInArrow(lambda table: _block_links(table, percent, miss), "a long, b long")
+    in_blocks = full.groupBy("key", "row", "col").applyInArrow(lambda table: _block_links(table, percent, miss, words), "a long, b long")
     return links.unionByName(in_blocks)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS, folder: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, folder: str | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     folder = folder or shared_dir(docs.sparkSession, "near-dedup")
-    feats = written(features(docs), f"{folder}/features")
+    feats = written(features(docs, words), f"{folder}/features")
     full = feats.filter("n_shingles > 0")
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), f"{folder}/classes")
     named = classes.select("digest", F.col("rep")).filter("rep IS NOT NULL")
@@ -222,9 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     texts = written(plain.join(wanted, "rep", "left_semi"), f"{folder}/texts")
 
     stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(verify(stars, reps, texts, percent, miss), f"{folder}/links")
+    first = written(verify(stars, reps, texts, percent, miss, words), f"{folder}/links")
     components = written(connected_components(first, "a", "b"), f"{folder}/components")
-    more = written(across_components(members, components, reps, texts, percent, miss), f"{folder}/more-links")
+    more = written(across_components(members, components, reps, texts, percent, miss, words), f"{folder}/more-links")
     # Components merge along the later links.
     roots = components.select(F.col("node"), F.col("component"))
     ends = more.join(roots.toDF("a", "ca"), "a", "left").join(roots.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

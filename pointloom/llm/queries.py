@@ -23,7 +23,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), words=2)
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-_A, _B, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MEMO_WORDS = 500_000
 
 
@@ -30,21 +30,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's 2-word shingles.
+def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of `words` words.
 
-    A-Z are lower-cased; words are runs of bytes other than ASCII white space. A text of one word has
-    that word as its only shingle; a text without words has none.
+    A-Z are lower-cased; words are runs of bytes other than ASCII white space. A text with fewer words has
+    its whole sequence as the only shingle; a text without words has none.
     """
     if len(_memo) > _MEMO_WORDS:
         _memo.clear()
-    words = [t.lower().split() if t else [] for t in texts]
-    sizes = [len(w) for w in words]
-    h = np.fromiter(map(_memo.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
-    pairs = _mix(h[:-1] * _A + (h[1:] ^ (h[1:] >> np.uint64(31))) * _B) if len(h) > 1 else h[:0]
+    found = [t.lower().split() if t else [] for t in texts]
+    sizes = [len(w) for w in found]
+    h = np.fromiter(map(_memo.__getitem__, chain.from_iterable(found)), np.uint64, sum(sizes))
+    n_runs = max(0, len(h) - words + 1)
+    runs = np.full(n_runs, words, np.uint64)
+    for j in range(words):
+        runs = _mix((runs ^ h[j : j + n_runs]) * _A + _B)
     out, at = [], 0
     for n in sizes:
-        out.append(np.unique(pairs[at : at + n - 1]) if n > 1 else _mix(h[at : at + n] * _A + _ONE))
+        if n >= words:
+            out.append(np.unique(runs[at : at + n - words + 1]))
+        else:
+            whole = np.full(min(n, 1), n, np.uint64)
+            for j in range(n):
+                whole = _mix((whole ^ h[at + j]) * _A + _B)
+            out.append(whole)
         at += n
     return out
 

@@ -74,12 +74,13 @@ def _components(ids, sets, percent=80):
     return {i: find(i) for i in ids}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, words):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
-    sets = shingle_sets([(r.text or "").encode() for r in rows])
+    sets = shingle_sets([(r.text or "").encode() for r in rows], words)
     want = _components([r.doc_id for r in rows], sets)
-    got = near_dedup.near_duplicates(docs).collect()
+    got = near_dedup.near_duplicates(docs, words).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert {r.doc_id: r.n_shingles for r in got} == {r.doc_id: len(s) for r, s in zip(rows, sets, strict=True)}
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -96,13 +97,13 @@ def test_large_bucket_of_near_copies_and_stragglers(spark):
             words[i] = f"x{k}-{i}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = _components(list(range(260)), shingle_sets([t.encode() for t in texts]))
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    want = _components(list(range(260)), shingle_sets([t.encode() for t in texts], 2))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2).collect()}
     assert sum(got[i] != want[i] for i in want) == 0
 
 
 def test_near_awkward(spark):
-    got = near_dedup.near_duplicates(awkward(spark)).collect()
+    got = near_dedup.near_duplicates(awkward(spark), 2).collect()
     assert len(got) == 11
     by = defaultdict(list)
     for r in got:
@@ -113,6 +114,16 @@ def test_near_awkward(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_shingles_follow_their_definition():
+    text = "The  cat\tSAT on the cat sat on \u00c9T\u00c9".encode()
+    plain = ["the", "cat", "sat", "on", "the", "cat", "sat", "on", "\u00c9T\u00c9"]
+    for words in (1, 2, 3, 5, 9, 12):
+        want = {tuple(plain[i : i + words]) for i in range(max(1, len(plain) - words + 1))}
+        assert len(shingle_sets([text], words)[0]) == len(want)
+    a, b, c = shingle_sets([b"x y", b"X  Y", b"y x"], 2)
+    assert (a == b).all() and (a != c).all() and len(shingle_sets([None, b"", b" \n"], 2)[2]) == 0
+
+
 def test_posterior_bound_keeps_similar_pairs():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
