@@ -26,3 +26,20 @@ def awkward(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def water_fill(sizes, share=1.5, cap=2.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    pool, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        part = {s: pool * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = [s for s in open_ if part[s] > cap * sizes[s]]
+        if not over:
+            target |= part
+            break
+        for s in over:
+            target[s] = cap * sizes[s]
+            pool -= target[s]
+            open_.remove(s)
+    return target

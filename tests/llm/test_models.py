@@ -13,7 +13,7 @@ import pytest
 
 from pointloom.llm import html_text, language_id, mixing, toxicity
 from tests.conftest import SF
-from tests.llm.cases import awkward, empty
+from tests.llm.cases import awkward, empty, water_fill
 
 SF001 = SF.replace("sf0.001", "sf0.01")
 
@@ -144,23 +144,6 @@ def test_pages_awkward(spark):
     assert html_text.extract_text(pages.filter("false")).count() == 0
 
 
-def _water_fill(sizes, share=1.5, cap=2.0):
-    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
-    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
-    pool, open_, target = share * sum(sizes.values()), set(names), {}
-    while open_:
-        part = {s: pool * weight[s] / sum(weight[t] for t in open_) for s in open_}
-        over = [s for s in open_ if part[s] > cap * sizes[s]]
-        if not over:
-            target |= part
-            break
-        for s in over:
-            target[s] = cap * sizes[s]
-            pool -= target[s]
-            open_.remove(s)
-    return target
-
-
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_mix_meets_its_targets(spark, which):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else awkward(spark)
@@ -169,7 +152,7 @@ def test_mix_meets_its_targets(spark, which):
     sizes = Counter()
     for r, n in zip(rows, words, strict=True):
         sizes[r.source] += n
-    want = _water_fill(dict(sizes))
+    want = water_fill(dict(sizes))
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sorted(g.size for g in got) == sorted(words)
     source = {r.doc_id: r.source for r in rows}

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+import hashlib
+import itertools
+import re
+from collections import Counter
+
 import __spark_entry__
+import corpus_pipeline
+from pointloom.llm import toxicity
+from pointloom.llm.shingles import jaccard_linked, shingle_sets
+from pointloom.llm.tokens import MemoEncoder, public_path
 from tests.conftest import SF
-from tests.llm.cases import awkward, empty
+from tests.llm.cases import awkward, empty, water_fill
 
 
 def test_queries_are_registered_once_each():
@@ -33,3 +41,52 @@ def test_stages_take_awkward_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward(spark), SF).count() > 0
         assert stage(spark, empty(spark), SF).count() == 0
+
+
+def test_run_equals_a_plain_version(spark):
+    """Every stage again in plain Python: which documents the packed pieces hold, and how often."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in docs.collect() if model.score(r.text) < 0.5]
+
+    seen: dict[str, int] = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
+    rows = [r for r in rows if r.doc_id in set(seen.values())]
+
+    sets = shingle_sets([(r.text or "").encode() for r in rows], 5)
+    root = {r.doc_id: r.doc_id for r in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if jaccard_linked(sets[i], sets[j], 80):
+            a, b = find(rows[i].doc_id), find(rows[j].doc_id)
+            root[max(a, b)] = min(a, b)
+    rows = [r for r in rows if find(r.doc_id) == r.doc_id]
+
+    words = {r.doc_id: len((r.text or "").encode().split()) for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += words[r.doc_id]
+    target, copies = water_fill(dict(sizes)), Counter()
+    for source, size in sizes.items():
+        passes = int(target[source] // size) if size else 0
+        budget, at = target[source] - passes * size, 0
+        own = sorted((int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), r.doc_id) for r in rows if r.source == source)
+        for _, doc in own:
+            n = words[doc]
+            more = budget > 0 and (at + n < budget or (at < budget and at + n - budget < budget - at))
+            copies[doc] += passes + more
+            at += n
+
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    held = Counter()
+    for p in pieces:
+        held[p.doc_id] += p.length
+    encode = MemoEncoder(public_path("byte_bpe_50k.json")).whole
+    want = {r.doc_id: copies[r.doc_id] * (len(encode(r.text or "")) + 1) for r in rows if copies[r.doc_id]}
+    assert dict(held) == want
