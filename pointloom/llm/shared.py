@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,12 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
+@functools.cache
+def _local_base() -> str:
+    """One temporary folder for a local process that names none."""
+    return tempfile.mkdtemp(prefix="pointloom-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, as a URI.
 
@@ -28,8 +35,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         master = conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pointloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
