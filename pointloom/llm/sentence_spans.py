@@ -1,8 +1,9 @@
 """Repeated passages: sliding spans of consecutive sentences, hashed and joined globally.
 
-A text is cut into sentences at end marks and line ends. A sentence over LONG words is cut further
-behind words that their own hash and their two predecessors choose, so that a passage is cut alike wherever it
-stands. From every sentence on, the shortest run of at least RUN sentences and WORDS
+A text is cut into sentences at end marks and line ends. A sentence over LONG words is cut further by winnowing:
+of any WINDOW words in a row, the one whose hash with its GRAM - 1 predecessors is least ends a part, the last of equal ones.
+So no part is longer than WINDOW words, whatever they are, and a passage is cut alike wherever it stands, but for its
+first WINDOW + GRAM and last WINDOW words. From every sentence on, the shortest run of at least RUN sentences and WORDS
 words is hashed (96 bits over the words, whatever white space parts them). Runs are
 counted over all documents; of each repeated run the first document, by doc_id, keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
@@ -29,17 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import join_groups, shared_dir, small_batches, written
+from pointloom.llm.shared import shared_dir, small_batches, written
 from pointloom.llm.shingles import _mix
 
 RUN, WORDS = 3, 20
-LONG, CUT, MOST = 12, 4, 40  # words of a long sentence; one word in CUT may end a part of it; most words of a part
+LONG, WINDOW, GRAM = 12, 12, 3  # words of a long sentence (WINDOW at least); one word in any WINDOW of it ends a part; words hashed for that
 _END = re.compile(r"[.!?…][^\w\s]*$")
 _LAST = (1 << 63) - 1
 _RUNS = "run long, check int, doc_id long, first int, last int, again boolean"
 _MEMO_WORDS = 300_000
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+_GRAM_BASES = [np.uint64(pow(_BASES[0], k, 1 << 64)) for k in range(GRAM)]
+_HIGH = np.uint64(0xFFFFFFFF00000000)  # of a window's key: hash above, index from the end below
 
 
 class _Words(dict):
@@ -53,6 +56,21 @@ class _Words(dict):
 _words = _Words()
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """In each WINDOW of at least WINDOW word hashes, the index of the last word whose hash with its predecessors is least."""
+    n = len(h)
+    gram = h.copy()
+    for k in range(1, GRAM):
+        gram[k:] += h[:-k] * _GRAM_BASES[k]
+    low = _mix(gram) & _HIGH | np.arange(n, 0, -1, dtype=np.uint64)
+    size = 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
+    return n - (low & ~_HIGH).astype(np.int64)
+
+
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start and end of each word, word hashes, index of the first word of each sentence and the number of words)."""
     if len(_words) > _MEMO_WORDS:
@@ -73,14 +91,9 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     bounds = np.concatenate([[0], np.flatnonzero(close) + 1])
     long = np.repeat(np.diff(bounds) > LONG, np.diff(bounds))
     if long.any():
-        may = (h >> np.uint64(1)) % np.uint64(CUT) == 0
-        cut = may.copy()
-        for k in (1, 2):
-            cut[k:] &= ~may[:-k]
+        cut = np.zeros(n, bool)
+        cut[_least(h)] = True
         bounds = np.union1d(bounds, np.flatnonzero(cut & long) + 1)
-        size = np.diff(bounds)
-        if size.max() > MOST:
-            bounds = np.union1d(bounds, np.concatenate([np.arange(bounds[i], bounds[i + 1], MOST) for i in np.flatnonzero(size > MOST)]))
     return start, end, h, bounds
 
 
@@ -131,12 +144,22 @@ def run_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RUNS)
 
 
+def _with_first(found: DataFrame, groups: DataFrame, hot_runs: int = 1000) -> DataFrame:
+    """The runs of repeated groups with first_doc_id, in one pass: rows of hot groups (over 1 / hot_runs of all) get it by broadcast and are dealt at random."""
+    most = max(1, (groups.agg(F.sum("times")).first()[0] or 0) // hot_runs)
+    hot = groups.filter(F.col("times") > most).select("run", "check", F.col("first_doc_id").alias("hot_first"))
+    cold = groups.filter(F.col("times") <= most).select(F.col("run").alias("cold_run"), F.col("check").alias("cold_check"), F.col("first_doc_id").alias("cold_first"))
+    marked = found.join(F.broadcast(hot), ["run", "check"], "left").withColumn("run", F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("doc_id", "first")))
+    met = marked.join(cold, (F.col("run") == F.col("cold_run")) & (F.col("check") == F.col("cold_check")), "left")
+    return met.withColumn("first_doc_id", F.coalesce("hot_first", "cold_first")).filter("first_doc_id IS NOT NULL")
+
+
 def repeated_passages(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Per passage to remove: doc_id, start, end (code points), first_doc_id (where it stays)."""
     found = run_table(docs)
     counts = found.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     groups = written(counts, f"{folder or shared_dir(docs.sparkSession, 'sentence-spans')}/repeated")
-    covered = join_groups(found, groups, ["run", "check"], "times").filter("again OR doc_id > first_doc_id").select("doc_id", "first", "last", "first_doc_id")
+    covered = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("doc_id", "first", "last", "first_doc_id")
     order = W.partitionBy("doc_id").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = covered.withColumn("opens", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))

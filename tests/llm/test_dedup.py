@@ -173,3 +173,26 @@ def test_runs_equal_a_plain_version():
         spans.setdefault((x, y), " ".join(text[i:j].split()))
         assert spans[x, y] == " ".join(text[i:j].split()) and len(text[i:j].split()) >= sentence_spans.WORDS
     assert len(spans) == len(set(spans.values()))
+
+
+@pytest.mark.parametrize("kind", ["bars", "one word", "two words", "plain"])
+def test_passages_share_runs_whatever_their_words_are(kind):
+    words = {
+        "bars": " ".join(f"{'|' if i % 2 else f'cell{i}'}" for i in range(160)).split(),
+        "one word": ["same"] * 160,
+        "two words": ["|", "same"] * 80,
+        "plain": [f"word{i * i % 71}" for i in range(160)],
+    }[kind]
+    passage = " ".join(words)
+    texts = [" ".join(f"own{k}x{i}" for i in range(k)) + " " + passage + " " + " ".join(f"end{k}y{i}" for i in range(9)) for k in (3, 8, 17, 29)]
+    found = []
+    for text in texts:
+        a, b, first, last = sentence_spans.runs(text)
+        found.append(dict(zip(zip(a.tolist(), b.tolist(), strict=True), zip(first.tolist(), last.tolist(), strict=True), strict=True)))
+    shared = set(found[0]).intersection(*found[1:])
+    assert shared
+    for text, runs in zip(texts, found, strict=True):
+        a, b, first, last = sentence_spans.runs(text)
+        hit = [(i, j) for x, y, i, j in zip(a.tolist(), b.tolist(), first.tolist(), last.tolist(), strict=True) if (x, y) in shared]
+        covered = set().union(*(range(i, j) for i, j in hit))
+        assert len(covered) > 0.7 * len(passage) and len(runs) > 0
