@@ -25,10 +25,9 @@ from pointloom.streaming.tracker import track_batch, track_stream
 WIDE = Config(dbscan_eps=0.15, dbscan_min_points=6, body_extents=(0.8, 0.8, 0.8), volumetricity_min=0.1, bandwidth=0.12, buffer_cap=6, buffer_trigger=3)
 
 
-def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten suppliers' frames of the large view, scaled to a room."""
-    rows = big_pts(spark, sf_dir).filter("frame_id <= 10")
-    return rows.withColumns({"x": F.col("x") / 5, "y": F.col("y") / 5, "z": F.col("z")})
+def _rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's frame of the large view, scaled to a room."""
+    return big_pts(spark, sf_dir).withColumns({"x": F.col("x") / 5, "y": F.col("y") / 5, "z": F.col("z")})
 
 
 @query()
@@ -54,12 +53,12 @@ def mvi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def obb_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.shell_table(_ten(spark, sf_dir).withColumn("cluster", F.lit(0)), merge=False).select("frame_id", "shell_id", "points", F.round("height", 6).alias("height"))
+    return H.shell_table(_rooms(spark, sf_dir).withColumn("cluster", F.lit(0)), merge=False).select("frame_id", "shell_id", "points", F.round("height", 6).alias("height"))
 
 
 @query()
 def shell_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.shell_table(_ten(spark, sf_dir).withColumn("cluster", F.lit(0))).select("frame_id", "shell_id", "points", F.round("height", 6).alias("height"))
+    return H.shell_table(_rooms(spark, sf_dir).withColumn("cluster", F.lit(0))).select("frame_id", "shell_id", "points", F.round("height", 6).alias("height"))
 
 
 @query()
