@@ -79,11 +79,27 @@ def surface_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object", "k", *[F.round(c, 6).alias(c) for c in ("px", "py", "pz", "h")])
 
 
+def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least box around the points of all frames, as one row."""
+    return pts(spark, sf_dir).agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+
+
+@query()
+def grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grid_generate over the points of all frames."""
+    return P.regular_grid(_bounds(spark, sf_dir), 0.05, 0.05).select("ix", "iy", "iz", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query()
+def fps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fps_small over every frame."""
+    return C.farthest_points(pts(spark, sf_dir), 8)
+
+
 @query()
 def surface_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero-level points of a plane-like field over a regular grid."""
-    bounds = pts(spark, sf_dir).filter("frame_id = 3").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    grid = P.regular_grid(bounds, 0.05, 0.05).withColumn("field", F.col("x") + F.col("y") * 0.5 - F.col("z") * 0.25)
+    grid = P.regular_grid(_bounds(spark, sf_dir), 0.05, 0.05).withColumn("field", F.col("x") + F.col("y") * 0.5 - F.col("z") * 0.25)
     return U.sign_change_cells(grid).select("along", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 

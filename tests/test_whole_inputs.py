@@ -16,3 +16,34 @@ def test_every_supplier_gets_its_boxes(spark, tmp_path, name):
     spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = catalog.queries()[name](spark, str(tmp_path)).collect()
     assert {r.frame_id for r in found} == {3, 11, 5000}
+
+
+def _embeddings(spark, folder, n=60):
+    """n points of three frames, the third far from the others; returns (frame_id, point_id, x, y, z, intensity) rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(n):
+        x, y, z = (rng.uniform(-0.15, 0.15, 3) + (0.3 if i % 3 == 2 else 0.0)).astype(np.float32)
+        rows.append((i, [float(x), float(y), float(z), 0.25], (3, 4, 7)[i % 3]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return [(label, i, *e) for i, e, label in rows]
+
+
+def test_grids_hold_the_points_of_all_frames(spark, tmp_path):
+    xyz = np.array([r[2:5] for r in _embeddings(spark, tmp_path)])
+    nodes = np.array([(r.x, r.y, r.z) for r in catalog.queries()["grid_whole"](spark, str(tmp_path)).collect()])
+    assert (nodes.min(axis=0) <= xyz.min(axis=0)).all() and (nodes.max(axis=0) >= xyz.max(axis=0) - 1e-6).all()
+    level = np.array([(r.x, r.y, r.z) for r in catalog.queries()["surface_level"](spark, str(tmp_path)).collect()])
+    assert np.abs(level @ [1, 0.5, -0.25]).max() < 1e-5 and level[:, 2].max() > 0.3  # the plane crosses the far frame's heights
+
+
+def test_farthest_points_of_every_frame(spark, tmp_path):
+    rows, want = _embeddings(spark, tmp_path), set()
+    for frame in (3, 4, 7):
+        own = sorted(r for r in rows if r[0] == frame)
+        chosen = [own[0]]
+        while len(chosen) < 8:
+            gap = lambda r: min(sum((a - b) ** 2 for a, b in zip(r[2:5], c[2:5], strict=True)) for c in chosen)  # noqa: B023, E731
+            chosen.append(max(own, key=lambda r: (gap(r), -r[1])))
+        want |= {(frame, k + 1, r[1]) for k, r in enumerate(chosen)}
+    assert {(r.frame_id, r["rank"], r.point_id) for r in catalog.queries()["fps_whole"](spark, str(tmp_path)).collect()} == want
