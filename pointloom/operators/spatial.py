@@ -55,12 +55,13 @@ def knn_within(points: DataFrame, k: int, radius: float, by: Sequence[str] = (),
     return met.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 
-def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", max_rings: int = 8) -> DataFrame:
-    """Each point's label of its nearest reference point; the radius doubles until all points have one (at most max_rings times)."""
+def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", max_rings: int = 8, others: bool = False) -> DataFrame:
+    """Each point's label of its nearest reference point (of another key, if `others`); the radius doubles until all points have one (at most max_rings times)."""
     points, reference, out = staged(points, "nearest"), staged(reference, "nearest"), None
     left = points
     for _ in range(max_rings):
         met = radius_join(left, reference, radius, by)
+        met = met.filter(F.col(f"a.{key}") != F.col(f"b.{key}")) if others else met
         found = met.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"b.{label}").alias(label), "d"), F.struct("d", F.col(f"b.{key}").alias("j"))).alias("n")).select(key, f"n.{label}", "n.d")
         found = staged(found, "nearest")
         out = found if out is None else out.unionByName(found)

@@ -14,6 +14,7 @@ from pointloom.operators import features as A
 from pointloom.operators import points as P
 from pointloom.operators import shells as H
 from pointloom.operators import solids as V
+from pointloom.operators import spatial as S
 from pointloom.operators import surface as U
 from pointloom.operators.registration import register_clusters
 from pointloom.plans import feature_queries  # noqa: F401  its SQL for dbscan holds here too
@@ -103,6 +104,32 @@ def surface_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.sign_change_cells(grid).select("along", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
+@query()
+def nn_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nn_label_join with every point on both sides: the frame of each point's nearest other point."""
+    points = pts(spark, sf_dir)
+    return S.nearest_label(points, points.withColumnRenamed("frame_id", "label"), 0.02, "label", others=True).select("point_id", "label", F.round("d", 6).alias("d"))
+
+
+def _model_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field of one surface, built from all points, at all points."""
+    model = U.surface_table(_oriented(spark, sf_dir), "object", config=WIDE)
+    return S.field_value(pts(spark, sf_dir), model.withColumns({f"p{c}": F.col(f"p{c}") + F.col(f"m{c}") for c in "xyz"}).select(*[f"p{c}" for c in "xyz"], "h", "alpha_v", *[f"alpha_g{c}" for c in "xyz"]), default=WIDE.field_default)
+
+
+@query()
+def field_value_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field_value with the primitives of a fitted surface."""
+    return _model_field(spark, sf_dir).select("point_id", F.round("field", 6).alias("field"))
+
+
+@query()
+def fit_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fit_score with the primitives of a fitted surface."""
+    found = A.fit_score(_model_field(spark, sf_dir), ["frame_id"], "field", 0.5)
+    return found.select("frame_id", *[F.round(c, 6).alias(c) for c in ("score", "log_likelihood")], F.round("mean_mm", 4).alias("mean_mm"))
+
+
 @query()
 def register_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-start registration of shifted clusters of one object to its surface."""

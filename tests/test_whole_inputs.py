@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pointloom.operators import surface as U
 from pointloom.plans import catalog
+from pointloom.plans.model_queries import WIDE
 
 
 @pytest.mark.parametrize("name", ["obb_split", "shell_merge"])
@@ -47,3 +49,26 @@ def test_farthest_points_of_every_frame(spark, tmp_path):
             chosen.append(max(own, key=lambda r: (gap(r), -r[1])))
         want |= {(frame, k + 1, r[1]) for k, r in enumerate(chosen)}
     assert {(r.frame_id, r["rank"], r.point_id) for r in catalog.queries()["fps_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_every_point_has_the_label_of_its_nearest_other(spark, tmp_path):
+    rows, want = _embeddings(spark, tmp_path), {}
+    for r in rows:
+        d, other, label = min((sum((a - b) ** 2 for a, b in zip(r[2:5], o[2:5], strict=True)) ** 0.5, o[1], o[0]) for o in rows if o[1] != r[1])
+        want[r[1]] = (label, d)
+    got = {r.point_id: (r.label, r.d) for r in catalog.queries()["nn_label_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_field_of_a_surface_of_all_points(spark, tmp_path):
+    rows = _embeddings(spark, tmp_path, 150)
+    x = np.array([r[2:5] for r in rows])
+    n = x / np.linalg.norm(x, axis=1)[:, None]
+    order = np.lexsort((n * 0.3).T[::-1])
+    s = U.build_surface((n * 0.3)[order], n[order], config=WIDE)
+    f = s.evaluate(x - s.centroid)[0]
+    got = {r.point_id: r.field for r in catalog.queries()["field_value_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 150 and np.allclose([got[r[1]] for r in rows], f, atol=1e-4)
+    scores = {r.frame_id: r.score for r in catalog.queries()["fit_score_whole"](spark, str(tmp_path)).collect()}
+    frames = np.array([r[0] for r in rows])
+    assert set(scores) == {3, 4, 7} and all(np.isclose(scores[k], (f[frames == k] ** 2).mean() / 0.25, rtol=1e-4, atol=1e-5) for k in scores)
