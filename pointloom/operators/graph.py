@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.operators.stage import staged
+from pointloom.operators.stage import discard, shared_dir, written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of the edges; a component is its smallest node.
 
     Each round links every node's larger neighbours to its smallest neighbour
     and then every node to the smallest of its smaller neighbours, until
-    nothing changes (in rounds logarithmic in the longest path). Minima combine
+    nothing changes, however long that takes (in practice rounds logarithmic in the longest path). Minima combine
     in every task before the shuffle, and a node with many edges is joined as a skewed
-    key, never collected. Rounds are written to the shared folder, so lineage stays short. Null
-    ends are ignored; a self-loop only names its node.
+    key, never collected. Rounds are written to the shared folder, so lineage stays short, and
+    replace each other there. Null ends are ignored; a self-loop only names its node.
     """
     pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
 
-    found = staged(pairs.distinct(), "components")
+    spark = edges.sparkSession
+    folder = shared_dir(spark, "components")
+    found = written(pairs.distinct(), f"{folder}/edges")
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     current = found.filter("u < v")
-    state = None
-    for k in range(max_rounds):
+    state, k = None, 0
+    while True:
         # Large star: from both ends, larger neighbours go to the least neighbour.
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,10 +35,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small_least, "v")
         small = joined.select(F.col("m").alias("u"), "v").unionByName(joined.select(F.col("m").alias("u"), F.col("u").alias("v"))).filter("u < v").distinct()
-        current = staged(small, "components")
+        current = written(small, f"{folder}/round-{k}")
+        discard(spark, f"{folder}/round-{k - 1}")
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if now == state:
             break
-        state = now
+        state, k = now, k + 1
     labels = current.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -8,6 +8,7 @@ distance filter, which shuffles by cell and splits skewed cells under AQE.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -55,21 +56,31 @@ def knn_within(points: DataFrame, k: int, radius: float, by: Sequence[str] = (),
     return met.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 
-def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", max_rings: int = 8, others: bool = False) -> DataFrame:
-    """Each point's label of its nearest reference point (of another key, if `others`); the radius doubles until all points have one (at most max_rings times)."""
+def _diameter(*clouds: DataFrame) -> float:
+    """The diagonal of the least box around the finite points of all clouds."""
+    spans = [F.max(c) - F.min(c) for c in P]
+    finite = [c.select(*P).filter(" AND ".join(f"abs({a}) < double('Infinity')" for a in P)) for c in clouds]
+    return sum((v or 0.0) ** 2 for v in functools.reduce(DataFrame.unionByName, finite).agg(*spans).first()) ** 0.5
+
+
+def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", others: bool = False) -> DataFrame:
+    """Each point's label of its nearest reference point (of another key, if `others`), however far that is.
+
+    The radius doubles until all points have one, or until it spans both clouds: points that have none
+    then (not finite, or without a reference point in their group) get no row.
+    """
     points, reference, out = staged(points, "nearest"), staged(reference, "nearest"), None
-    left = points
-    for _ in range(max_rings):
+    left, reach = points, _diameter(points, reference)
+    while True:
         met = radius_join(left, reference, radius, by)
         met = met.filter(F.col(f"a.{key}") != F.col(f"b.{key}")) if others else met
         found = met.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"b.{label}").alias(label), "d"), F.struct("d", F.col(f"b.{key}").alias("j"))).alias("n")).select(key, f"n.{label}", "n.d")
         found = staged(found, "nearest")
         out = found if out is None else out.unionByName(found)
         left = points.join(out.select(key), key, "left_anti")
-        if left.isEmpty():
-            break
+        if radius > reach or left.isEmpty():
+            return out
         radius *= 2
-    return out
 
 
 def ball_promote(points: DataFrame, centre: DataFrame, radius: float, source: int, target: int) -> DataFrame:

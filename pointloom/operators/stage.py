@@ -1,22 +1,69 @@
-"""Cutting lineage between the steps of iterative operators."""
+"""Intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written once under the shared checkpoint folder and read again.
+@functools.cache
+def _local_base() -> str:
+    """One temporary folder for a local process that names none."""
+    return tempfile.mkdtemp(prefix="pointloom-")
+
 
-    Later steps neither recompute it nor carry its plan, and a lost executor loses nothing. Where
-    spark.checkpoint.dir is not set, it is cached instead.
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, as a URI.
+
+    Where the setting is absent, a local session (as in tests) gets a temporary
+    folder; on a cluster that is an error, since executors could not see it.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not base:
-        return df.cache()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        master = conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_base()
+    if "://" not in base and not base.startswith("file:"):
+        base = f"file://{base}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to the shared folder once and read again: later reads do not compute it anew."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete shared tables that no later plan reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df, written once to a new shared folder and read again.
+
+    Later steps neither recompute it nor carry its plan, and a lost executor loses nothing.
+    """
+    return written(df, shared_dir(df.sparkSession, name))
+
+
+def join_groups(entries: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_groups: int = 1000) -> DataFrame:
+    """entries joined with the one row of their group, however large a group is.
+
+    `size` counts a group's entries, so at most hot_groups groups hold more than
+    1 / hot_groups of all entries. Those rows are broadcast; the rest is an ordinary join.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    most = max(1, total // hot_groups)
+    hot, cold = groups.filter(F.col(size) > most), groups.filter(F.col(size) <= most)
+    by_hot = entries.join(F.broadcast(hot), keys)
+    return by_hot.unionByName(entries.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))

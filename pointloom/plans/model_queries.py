@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from pointloom.operators import solids as V
 from pointloom.operators import spatial as S
 from pointloom.operators import surface as U
 from pointloom.operators.registration import register_clusters
+from pointloom.operators.stage import shared_dir
 from pointloom.plans import feature_queries  # noqa: F401  its SQL for dbscan holds here too
 from pointloom.plans.registry import ORACLES, query
 from pointloom.plans.views import big_pts, pts, shells, table
@@ -164,12 +162,7 @@ def tracked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(name="track_stream")
 def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the same rows, run to its end into a table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="pointloom-")
-    folder = f"{base.rstrip('/')}/track-stream-{uuid.uuid4().hex}"
+    folder = shared_dir(spark, "track-stream")
     fits = _fits(spark, sf_dir)
     fits.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(fits.schema).parquet(f"{folder}/in")

@@ -42,6 +42,10 @@ def test_nearest_label_grows_its_radius(spark):
     reference = cloud.filter("point_id = 2").withColumn("label", F.lit(7))
     got = {r.point_id: r.label for r in S.nearest_label(cloud.filter("point_id < 2"), reference, 0.2, "label").collect()}
     assert got == {0: 7, 1: 7}
+    far = _cloud(spark, np.array([[0, 0, 0], [1e5, 0, 0], [0.1, 0, 0], [float("nan"), 0, 0]]))
+    got = {r.point_id: r.label for r in S.nearest_label(far.filter("point_id <> 2"), far.filter("point_id = 2").withColumn("label", F.lit(7)), 0.2, "label").collect()}
+    assert got == {0: 7, 1: 7}
+    assert S.nearest_label(cloud, reference.filter("false"), 0.2, "label").count() == 0
 
 
 def test_dbscan_forms_agree_and_handle_edges(spark):
@@ -61,6 +65,13 @@ def test_components_of_paths_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_a_very_long_path(spark):
+    ids = np.random.default_rng(7).permutation(10_000).tolist()
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "src long, dst long")
+    got = connected_components(edges).agg(F.count(F.lit(1)).alias("n"), F.max("component").alias("top")).first()
+    assert (got.n, got.top) == (10_000, 0)
+
+
 def test_alignment_turns_a_tilted_normal_up(spark):
     n = np.array([0.3, 0.0, 0.9539])
     n /= np.linalg.norm(n)
