@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pointloom.operators.stage import discard, shared_dir, written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", folder: str | None = None) -> DataFrame:
     """(node, component) for every node of the edges; a component is its smallest node.
 
     Each round links every node's larger neighbours to its smallest neighbour
@@ -16,12 +16,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nothing changes, however long that takes (in practice rounds logarithmic in the longest path). Minima combine
     in every task before the shuffle, and a node with many edges is joined as a skewed
     key, never collected. Rounds are written to the shared folder, so lineage stays short, and
-    replace each other there. Null ends are ignored; a self-loop only names its node.
+    replace each other there (in `folder`, if given). Null ends are ignored; a self-loop only names its node.
     """
     pairs = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
 
     spark = edges.sparkSession
-    folder = shared_dir(spark, "components")
+    folder = folder or shared_dir(spark, "components")
     found = written(pairs.distinct(), f"{folder}/edges")
     nodes = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     current = found.filter("u < v")
