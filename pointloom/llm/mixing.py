@@ -89,10 +89,11 @@ def thresholds(sizes: DataFrame, aims: DataFrame, folder: str, few: bool) -> Dat
     return done
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, folder: str | None = None) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (its source's), taken (words the mix takes), copies."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, folder: str | None = None, row: str | None = None) -> DataFrame:
+    """Per row: doc_id, size, source_size, target (its source's), taken (words the mix takes), copies, and row if that column is named."""
     folder = folder or shared_dir(docs.sparkSession, "mixing")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_column().cast("string")).cast("long").alias("size"))
+    own = [F.col(row).alias("row")] if row else []
+    sizes = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_column().cast("string")).cast("long").alias("size"))
     sizes = written(sizes.withColumn("cell", hash_cell(F.col("doc_id"))), f"{folder}/sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     limits = thresholds(sizes, sources, folder, few)
     aims = _with_sources(sources, limits, few, "left").select("source", "source_size", "target", "passes", "threshold")
     copies = F.col("passes") + F.coalesce((F.col("cell") < F.col("threshold")).cast("long"), F.lit(0))
-    return _with_sources(sizes, aims, few).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return _with_sources(sizes, aims, few).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["row"] if row else []))
 
 
 ORACLE_SQL = r"""

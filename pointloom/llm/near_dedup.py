@@ -8,7 +8,8 @@
 3. In each bucket all members are first compared with its smallest member. Signatures
    are compared in batches; after each batch a pair is dropped if, given its matches,
    the posterior probability of similarity 0.8 or more is under MISS. Survivors are
-   compared exactly, on full shingle sets. Links give components.
+   compared exactly, on full shingle sets; a bucket's smallest member is sent once to each
+   BLOCK of its pairs and hashed once there. Links give components.
 4. In buckets that still hold several components, all pairs across components
    are compared the same way: those of small buckets as rows; large buckets are
    dealt in blocks of members outside the largest component against blocks of all members, and
@@ -16,7 +17,9 @@
    Pairs within a component need no comparison, as they cannot change the result.
 
 So no bucket or group is capped, collected or multiplied out, and no link
-between candidates is lost but at probability MISS.
+between candidates is lost but at probability MISS. Rows of a key that holds over a thousandth of all
+are joined by broadcast of one row a key (`join_groups`), so hot band keys and hot centers make no hot task.
+Tables with texts and signatures are deleted from the shared folder once the result is written there.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; one
 word is a set of one; repeated rows and equal texts are one class; doc_id names a document,
@@ -33,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import join_groups, shared_dir, small_batches, written
+from pointloom.llm.shared import discard, join_groups, shared_dir, small_batches, written
 from pointloom.llm.shingles import _mix, jaccard_linked, set_digest, shingle_sets, signature
 from pointloom.operators.graph import connected_components
 
 BANDS, ROWS = 40, 6
-WORDS = 5
+WORDS = 2  # of a shingle, for the query and the pipeline alike
 PERCENT = 80
 MISS = 1e-6
 BATCH = 40  # minima compared before each look at the posterior
@@ -109,13 +112,30 @@ def bucket_members(reps: DataFrame, folder: str) -> DataFrame:
     """key, band, rep, size and center (smallest rep) of all buckets with several members."""
     rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return written(rows.join(sizes, "key"), f"{folder}/members")
-
-
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sigs = reps.select("rep", "sig")
-    with_sigs = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+    return written(join_groups(rows, written(sizes, f"{folder}/sizes"), ["key"], "size"), f"{folder}/members")
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Links of rows (a, part, b, text) that come by (a, part), the text of a itself (b null) before those of its pairs."""
+    group, centers = None, []
+    for large in batches:
+        for batch in small_batches(iter([large]), max_bytes=1 << 20):
+            sets = shingle_sets(batch.column("text").to_pylist(), words)
+            linked = []
+            for key, b, found in zip(zip(*(batch.column(c).to_pylist() for c in ("a", "part")), strict=True), batch.column("b").to_pylist(), sets, strict=True):
+                if key != group:
+                    group, centers = key, []
+                if b is None:
+                    centers.append(found)
+                linked.append(b is not None and any(jaccard_linked(c, found, percent) for c in centers))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+
+def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int, folder: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; any number of pairs may share their a."""
+    pairs, sigs = written(pairs, f"{folder}/pairs"), reps.select("rep", "sig")
+    ends = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times")).join(sigs.toDF("a", "sig_a"), "a")
+    with_sigs = join_groups(pairs.join(sigs.toDF("b", "sig_b"), "b"), written(ends, f"{folder}/ends"), ["a"], "times")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,17 +143,14 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, mi
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
                 yield batch.select(["a", "b"]).take(pa.array(survivors(a, b, percent, miss)))
 
-    left = with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
-    with_texts = left.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for large in batches:
-            for batch in small_batches(iter([large]), "text_a", 1 << 20):
-                sets_a, sets_b = (shingle_sets(batch.column(c).to_pylist(), words) for c in ("text_a", "text_b"))
-                linked = [jaccard_linked(x, y, percent) for x, y in zip(sets_a, sets_b, strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+    likely = written(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long"), f"{folder}/likely")
+    parts = likely.groupBy("a").agg(F.count(F.lit(1)).alias("times")).withColumn("parts", F.ceil(F.col("times") / BLOCK).cast("int"))
+    parts = written(parts, f"{folder}/parts")
+    dealt = join_groups(likely, parts, ["a"], "times").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    others = dealt.join(texts.toDF("b", "text"), "b").select("a", "part", "b", "text")
+    own = parts.join(texts.toDF("a", "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    ordered = own.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(lambda batches: _exact_links(batches, percent, words), "a long, b long")
 
 
 def _block_links(table: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
@@ -180,22 +197,23 @@ def _block_links(table: pa.Table, percent: int, miss: float, words: int) -> pa.T
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int) -> DataFrame:
+def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int, folder: str) -> DataFrame:
     """Links between members of one bucket that lie in different components."""
     labelled = members.join(components, members.rep == components.node, "left").select("key", "band", "rep", "size", "center", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    active = labelled.join(mixed, "key")
+    labelled = written(labelled, f"{folder}/labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("times")).filter("low < high").select("key", "times")
+    active = written(join_groups(labelled, written(mixed, f"{folder}/mixed"), ["key"], "times").drop("times"), f"{folder}/active")
 
     small = active.filter(F.col("size") <= SMALL_BUCKET).select("key", "rep", "center", "component")
     other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
     met = small.join(other, "key").filter("component < component_b AND rep <> center AND b <> center")
     pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    links = verify(pairs, reps, texts, percent, miss, words)
+    links = verify(pairs, reps, texts, percent, miss, words, f"{folder}/small")
 
     large = active.filter(F.col("size") > SMALL_BUCKET)
     counts = large.groupBy("key", "component").count()
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"))
-    placed = large.join(main, "key").withColumn("outside", F.col("component") != F.col("main"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("times"))
+    placed = join_groups(large, written(main, f"{folder}/main"), ["key"], "times").withColumn("outside", F.col("component") != F.col("main"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     outside_blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
     at = F.xxhash64("rep")
@@ -211,31 +229,34 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, folder: str | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     folder = folder or shared_dir(docs.sparkSession, "near-dedup")
-    feats = written(features(docs, words), f"{folder}/features")
+    work = f"{folder}/work"
+    feats = written(features(docs, words), f"{work}/features")
     full = feats.filter("n_shingles > 0")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), f"{folder}/classes")
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), f"{work}/classes")
     named = classes.select("digest", F.col("rep")).filter("rep IS NOT NULL")
-    reps = written(full.join(named, (full.doc_id == named.rep) & (full.digest == named.digest), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bands"), f"{folder}/reps")
+    reps = written(full.join(named, (full.doc_id == named.rep) & (full.digest == named.digest), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bands"), f"{work}/reps")
 
-    members = bucket_members(reps, folder)
+    members = bucket_members(reps, work)
     wanted = members.select("rep").distinct()
     plain = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
-    texts = written(plain.join(wanted, "rep", "left_semi"), f"{folder}/texts")
+    texts = written(plain.join(wanted, "rep", "left_semi"), f"{work}/texts")
 
     stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(verify(stars, reps, texts, percent, miss, words), f"{folder}/links")
-    components = written(connected_components(first, "a", "b"), f"{folder}/components")
-    more = written(across_components(members, components, reps, texts, percent, miss, words), f"{folder}/more-links")
+    first = written(verify(stars, reps, texts, percent, miss, words, f"{work}/stars"), f"{work}/links")
+    components = written(connected_components(first, "a", "b", f"{work}/first"), f"{work}/components")
+    more = written(across_components(members, components, reps, texts, percent, miss, words, f"{work}/across"), f"{work}/more-links")
     # Components merge along the later links.
     roots = components.select(F.col("node"), F.col("component"))
     ends = more.join(roots.toDF("a", "ca"), "a", "left").join(roots.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = connected_components(ends, "a", "b").toDF("component", "root")
+    merged = written(connected_components(ends, "a", "b", f"{work}/second"), f"{work}/merged").toDF("component", "root")
     last = components.join(merged, "component", "left").select(F.col("node").alias("rep"), F.coalesce("root", "component").alias("root"))
     single = merged.join(components.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("rep"), "root")
     labels = last.unionByName(single)
 
     groups = classes.join(labels, "rep", "left").select("digest", "class_size", F.coalesce("root", "rep").alias("component_id"))
     entries = full.select("doc_id", "n_shingles", "digest")
-    linked = join_groups(entries, written(groups, f"{folder}/groups"), ["digest"], "class_size").select("doc_id", "n_shingles", "component_id")
+    linked = join_groups(entries, written(groups, f"{work}/groups"), ["digest"], "class_size").select("doc_id", "n_shingles", "component_id")
     alone = feats.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = written(linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), f"{folder}/result")
+    discard(docs.sparkSession, work)
+    return result

@@ -1,55 +1,43 @@
-"""The folder that driver and executors share, and small helpers of the operators."""
+"""Small helpers of the training-data operators; shared folders are those of the engine."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pointloom.operators.stage import discard, join_groups, shared_dir, written
+
+__all__ = ["NOT_SPACE", "SPACE", "discard", "join_groups", "ranked_row", "row_rank", "shared_dir", "small_batches", "text_column", "written"]
+
 #: ASCII white space, as the contracts of these operators name it.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
-@functools.cache
-def _local_base() -> str:
-    """One temporary folder for a local process that names none."""
-    return tempfile.mkdtemp(prefix="pointloom-")
-
+def text_column(name: str = "text"):
+    """The text, null as empty."""
+    return F.coalesce(F.col(name), F.lit(""))
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, as a URI.
 
-    Where the setting is absent, a local session (as in tests) gets a temporary
-    folder; on a cluster that is an error, since executors could not see it.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not base:
-        master = conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base()
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _ranks() -> Column:
+    """2 ** 63, above all row numbers."""
+    return F.lit(str(1 << 63)).cast("decimal(19,0)")
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df, written to the shared folder once and read again: later reads do not compute it anew."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_rank(doc_id: Column, row: Column) -> Column:
+    """A number that orders rows by doc_id (null last) and then by row, and tells them apart; `ranked_row` gives the row back."""
+    ranks = _ranks()
+    number = F.coalesce(doc_id.cast("decimal(19,0)"), ranks)
+    return (number * ranks).cast("decimal(38,0)") + row.cast("decimal(19,0)")
 
 
-def text_column(name: str = "text"):
-    """The text, null as empty."""
-    return F.coalesce(F.col(name), F.lit(""))
+def ranked_row(rank: Column) -> Column:
+    """The row number in a rank."""
+    return F.pmod(rank, _ranks()).cast("long")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -66,16 +54,3 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", max_b
             last = max(first + 1, int(ends.searchsorted(base + max_bytes, "right")))
             yield batch.slice(first, last - first)
             first = last
-
-
-def join_groups(entries: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_groups: int = 1000) -> DataFrame:
-    """entries joined with the one row of their group, however large a group is.
-
-    `size` counts a group's entries, so at most hot_groups groups hold more than
-    1 / hot_groups of all entries. Those rows are broadcast; the rest is an ordinary join.
-    """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    most = max(1, total // hot_groups)
-    hot, cold = groups.filter(F.col(size) > most), groups.filter(F.col(size) <= most)
-    by_hot = entries.join(F.broadcast(hot), keys)
-    return by_hot.unionByName(entries.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))

@@ -9,7 +9,7 @@ from collections import Counter
 
 import __spark_entry__
 import corpus_pipeline
-from pointloom.llm import toxicity
+from pointloom.llm import near_dedup, toxicity
 from pointloom.llm.shingles import jaccard_linked, shingle_sets
 from pointloom.llm.tokens import MemoEncoder, public_path
 from tests.conftest import SF
@@ -43,6 +43,22 @@ def test_stages_take_awkward_documents(spark):
         assert stage(spark, empty(spark), SF).count() == 0
 
 
+def test_dedup_stages_decide_rows(spark):
+    """Repeated and null doc_ids: exactly one row of each distinct text stays."""
+    rows = [(1, "a b c"), (2, "a b c"), (2, "zzz"), (7, "q q"), (7, "q q"), (None, "a b c"), (None, "only")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, `row` string, at long")
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(1, "a b c"), (2, "zzz"), (7, "q q"), (None, "only")], key=repr)
+
+
+def test_near_stage_drops_what_the_query_drops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in near_dedup.near_duplicates(docs).collect() if r.kept}
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == kept and len(kept) < docs.count()
+
+
 def test_run_equals_a_plain_version(spark):
     """Every stage again in plain Python: which documents the packed pieces hold, and how often."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -54,7 +70,7 @@ def test_run_equals_a_plain_version(spark):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
     rows = [r for r in rows if r.doc_id in set(seen.values())]
 
-    sets = shingle_sets([(r.text or "").encode() for r in rows], 5)
+    sets = shingle_sets([(r.text or "").encode() for r in rows], 2)
     root = {r.doc_id: r.doc_id for r in rows}
 
     def find(a):
