@@ -1,25 +1,33 @@
 """Main text of HTML pages by two-pass block rules.
 
-The page is cut into blocks of text at block-level tags; scripts, styles,
-comments and the head yield none. Pass one classifies each block: bad inside menus, footers,
-forms, adverts, comments and the like (by tag, role, class or id) or where links hold much
-of the text; good inside an article element or where the block is long and
-dense in stop words; bad where a long block lacks them; else undecided. Pass two gives every undecided
-block the label of its nearest decided neighbours: good if one side is good and the other is good or
-missing, or, between a good and a bad side, if the good one is not farther. In an article whose blocks are all undecided they are good.
+The page is cut into blocks of text at block-level tags; scripts, styles and comments yield none.
+
+Pass one classifies each block by its words. Bad: blocks inside menus, footers, forms, adverts, comments and the like (by
+tag, role, or a class or id that names nothing else) and blocks of which links hold much of the text. Good: blocks of
+at least MID characters dense in stop words. Blocks of that length that lack them are bad, unless they stand in one container
+with good ones or in an article; where the whole page lacks them, its language is unknown
+and length decides alone. Shorter blocks stay undecided.
+
+Pass two gives every undecided block the label of its nearest decided neighbours, first of those in its own
+container, else of all: good if one side is good and the other is good or missing, or, between a good and a
+bad side, if the good one is not farther. What stands outside an article element says nothing about
+the undecided blocks in it, which are good by themselves. On a page without any good block or article, undecided blocks
+in the container of the first top heading are good.
 
 Kept blocks have their character references decoded, white space turned into
 single spaces and trimmed, and are joined in page order by one space.
 
 Defined cases: null and empty pages give empty text; unclosed comments, scripts and
-tags run to the end of the page; stray end tags are ignored; repeated rows give repeated results; an empty table
-gives no rows; other input columns are ignored.
+tags run to the end of the page; other unclosed elements, such as links, end where that is first noticed; stray quotes in tags belong to
+the attribute they stand in; stray end tags are ignored, in time that grows with the page; repeated rows give repeated
+results; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,165 +43,262 @@ STOP_WORDS = frozenset(
     "le la les de des et est un une que qui dans pour par sur pas au avec ce il plus ne se sont "
     "el los las y que en un una por con para del se no su al lo como más es".split()
 )
-RAW = "script|style|template|noscript|textarea|select|svg|canvas|iframe|object|audio|video|head|title|button|math"
+RAW_TAGS = frozenset("script style template noscript textarea iframe title select svg canvas object audio video math button".split())
+VOID_IF_CLOSED = frozenset("svg math".split())  # may end in />
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset(
     "p div section article main nav header footer aside form menu dialog ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address fieldset legend details summary center body html hr hgroup search".split()
 )
+CONTAINERS = frozenset("div section article main td header footer nav aside form body center details fieldset".split())
 SELF_CLOSED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BAD_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar footer cookie cookies consent notice notices alert newsletter subscribe subscription social share sharing related recommended "
-    "comment comments commentlist disqus replies popup modal overlay login signup copyright pagination pager widget toolbar tags teaser skip".split()
+    "ad ads advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar footer cookie cookies consent notice notices newsletter subscribe subscription social share sharing related recommended "
+    "comment comments commentlist disqus replies popup modal overlay login signup copyright pagination pager toolbar skip".split()
 )
+#: Parts of a name that say where or in what something stands; beside them a bad part still names the whole.
+PLACE_NAMES = frozenset("box bar wrap wrapper container list links link block section area panel inner site page main top bottom left right item items buttons button btn form text message post posts slot unit widget row col primary secondary article reader user the js content".split())
 BAD_OUTSIDE = frozenset("header masthead topbar".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAMES = re.compile(r"[a-z]+")
-SHORT, LONG = 70, 200  # characters
-STOP_HIGH = 0.3
+_ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![^\s/\"'])(class|id|role|hidden|aria-hidden|href|itemprop)(?![^\s/>=])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_PARTS = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # scripts that need about a third of the characters
+MID = 140  # characters
+STOP_LOW = 0.1  # share of a block's words
+STOP_KNOWN = 0.05  # share of a page's words
 LINKS_HIGH = 0.4
 GOOD, BAD, OPEN = 1, -1, 0
 
 
 class _Element:
-    __slots__ = ("tag", "bad", "article")
+    __slots__ = ("tag", "parent", "own_bad", "article", "box", "form", "holds_main", "bad")
+
+    def __init__(self, tag: str, parent: _Element | None, own_bad: bool, article: int):
+        self.tag, self.parent, self.own_bad, self.article, self.holds_main = tag, parent, own_bad, article, False
+        self.bad: bool | None = None
+        self.box = self if parent is None or tag in CONTAINERS else parent.box
+        self.form = self if tag == "form" else parent.form if parent else None
+
+    def is_bad(self) -> bool:
+        """Whether this or an element around it is no part of an article; forms and names around the main part do not count. To be asked when the page is read."""
+        unknown, e = [], self
+        while e is not None and e.bad is None:
+            unknown.append(e)
+            e = e.parent
+        for e in reversed(unknown):
+            e.bad = (e.parent is not None and e.parent.bad) or (e.own_bad and (not e.holds_main or e.tag in ("nav", "aside", "footer")))
+        return self.bad
+
+
+def _is_bad_name(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id says nothing but a bad part (and its place)."""
+    for name in value.split():
+        parts = [x for x in _PARTS.findall(_CAMEL.sub("-", name).lower()) if len(x) > 1]
+        bad = BAD_NAMES if in_article else BAD_NAMES | BAD_OUTSIDE
+        if any(x in bad for x in parts) and all(x in bad or x in PLACE_NAMES for x in parts):
+            return True
+    return False
 
-    def __init__(self, tag: str, bad: bool, article: int):
-        self.tag, self.bad, self.article = tag, bad, article
 
+def _attributes(attrs: str) -> dict[str, str]:
+    return {name.lower(): "".join(values) for name, *values in reversed(_ATTR.findall(attrs))} if attrs else {}
 
-def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
+
+def _is_bad(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Whether an element's tag or names mark it as no part of an article."""
-    if tag in BAD_TAGS or (tag == "header" and not in_article):
+    if tag in BAD_TAGS or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in BAD_ROLES:
         return True
-    if attrs:
-        for name, *values in _ATTR.findall(attrs):
-            name, value = name.lower(), "".join(values).lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in BAD_ROLES):
-                return True
-            if name in ("class", "id"):
-                found = set(_NAMES.findall(value))
-                if found & BAD_NAMES or (not in_article and found & BAD_OUTSIDE):
-                    return True
-    return False
+    return tag not in ("html", "body") and any(_is_bad_name(attrs[k], in_article) for k in ("class", "id") if k in attrs)
 
 
 class Block:
     """Text between block-level tags, and where it stood."""
 
-    __slots__ = ("text", "bad", "article", "linked", "label")
-
-    def __init__(self, text: str, bad: bool, article: int, linked: int):
-        self.text, self.bad, self.article, self.linked, self.label = text, bad, article, linked, OPEN
+    __slots__ = ("text", "element", "linked", "label", "heading")
+
+    def __init__(self, text: str, element: _Element):
+        self.text, self.element, self.linked, self.label, self.heading = text, element, 0, OPEN, element.tag == "h1"
+
+
+class _Parser:
+    """One pass over a page's tags."""
+
+    def __init__(self, page: str):
+        self.page, self.out, self.parts = page, [], []
+        self.top = _Element("", None, False, 0)
+        self.open: Counter[str] = Counter()  # tags of the open elements
+        self.articles = 0
+        self.link: list[tuple[Block, int]] | None = None  # earlier blocks of the open link and its characters there
+        self.in_link = 0  # the open link's characters in the current block
+        self.linked = 0  # characters of closed links in the current block
+
+    def flush(self) -> None:
+        text = " ".join(html.unescape("".join(self.parts)).split())
+        self.parts.clear()
+        block = Block(text, self.top) if text else None
+        if block:
+            block.linked = self.linked
+            self.out.append(block)
+            if self.link is not None and self.in_link:
+                self.link.append((block, self.in_link))
+        self.linked = self.in_link = 0
+
+    def text(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.link is not None:
+            self.in_link += len(piece.strip())
+
+    def close_link(self) -> None:
+        """Only links that are closed count: an unclosed one would hold the rest of the page."""
+        for block, n in self.link or []:
+            block.linked += n
+        self.linked += self.in_link
+        self.link, self.in_link = None, 0
+
+    def pop(self) -> None:
+        self.open[self.top.tag] -= 1
+        self.top = self.top.parent
+
+    def start(self, tag: str, raw: str) -> None:
+        self.flush()
+        for closes in ({"p"} if self.top.tag == "p" else (), SELF_CLOSED.get(tag, ())):
+            while self.top.tag in closes:
+                self.pop()
+        if tag == "hr" or (raw.endswith("/") and tag not in ARTICLE_TAGS and tag != "p" and tag != "div"):
+            return
+        attrs, article = _attributes(raw), self.top.article
+        main = tag in ARTICLE_TAGS or attrs.get("role", "").lower() == "main" or "articlebody" in attrs.get("itemprop", "").lower()
+        if main:
+            self.articles += 1
+            article = self.articles
+        e = self.top if main else None
+        while e is not None and not e.holds_main:
+            e.holds_main, e = True, e.parent
+        if tag == "h1" and self.top.form:  # a form around the page
+            self.top.form.holds_main = True
+        element = _Element(tag, self.top, not main and _is_bad(tag, attrs, bool(article)), article)
+        self.top = element
+        self.open[tag] += 1
+
+    def end(self, tag: str) -> None:
+        self.flush()
+        if self.open[tag]:
+            while self.top.tag != tag:
+                self.pop()
+            self.pop()
+
+    def run(self) -> list[Block]:
+        page, at, last = self.page, 0, len(self.page)
+        lower, no_end = None, set()
+        while at < last and (token := _TOKEN.search(page, at)):
+            if token.start() > at:
+                self.text(page[at : token.start()])
+            at = token.end()
+            tag = (token["tag"] or "").lower()
+            if not tag:
+                continue
+            if token["end"]:
+                if tag == "a":
+                    self.close_link()
+                elif tag in BLOCK_TAGS:
+                    self.end(tag)
+            elif tag in RAW_TAGS:
+                if tag in no_end or (tag in VOID_IF_CLOSED and token["attrs"].endswith("/")):
+                    continue
+                lower = page.lower() if lower is None else lower
+                lower = lower if len(lower) == last else re.sub("[A-Z]", lambda m: m[0].lower(), page)
+                found = lower.find(f"</{tag}", at)
+                if found >= 0:
+                    end = page.find(">", found)
+                    at = end + 1 if end >= 0 else last
+                elif tag in ("script", "style", "template", "textarea", "title", "iframe", "noscript"):
+                    at = last
+                else:
+                    no_end.add(tag)
+            elif tag == "a":
+                self.link, self.in_link = [] if "href" in _attributes(token["attrs"]) else None, 0
+            elif tag == "br":
+                self.parts.append(" ")
+            elif tag in BLOCK_TAGS:
+                self.start(tag, token["attrs"])
+        self.text(page[at:])
+        self.flush()
+        return self.out
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
-    stack = [_Element("", False, 0)]
-    out: list[Block] = []
-    parts: list[str] = []
-    linked, in_link, articles = 0, 0, 0
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            out.append(Block(text, stack[-1].bad, stack[-1].article, linked))
-        linked = 0
-
-    at = 0
-    for token in _TOKEN.finditer(page):
-        if token.start() > at:
-            piece = page[at : token.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-        at = token.end()
-        tag = token["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "a":
-            in_link = 0 if token["end"] else 1
-        elif tag == "br":
-            parts.append(" ")
-        elif tag in BLOCK_TAGS:
-            flush()
-            if token["end"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-            else:
-                closes = SELF_CLOSED.get(tag)
-                while closes and stack[-1].tag in closes:
-                    stack.pop()
-                top = stack[-1]
-                article = top.article
-                if tag in ARTICLE_TAGS or re.search(r"articleBody|role\s*=\s*[\"']?main\b", token["attrs"]):
-                    articles += 1
-                    article = articles
-                if tag != "hr" and not token["attrs"].endswith("/"):
-                    stack.append(_Element(tag, top.bad or _is_bad(tag, token["attrs"], bool(article)), article))
-    parts.append(page[at:])
-    flush()
-    return out
-
-
-def _first_label(b: Block) -> int:
-    words = b.text.lower().split()
-    if b.bad or b.linked > LINKS_HIGH * len(b.text):
-        return BAD
-    stop = sum(w.strip(".,;:!?\"'()») «") in STOP_WORDS for w in words) / len(words)
-    if b.article:
-        return GOOD if len(b.text) >= SHORT or stop >= STOP_HIGH else OPEN
-    if len(b.text) < SHORT:
-        return BAD if b.linked else OPEN
-    if stop >= STOP_HIGH:
-        return GOOD if len(b.text) >= LONG else OPEN
-    return BAD if len(b.text) >= LONG else OPEN
+    return _Parser(page).run()
+
+
+def _first_labels(found: list[Block]) -> None:
+    long: list[tuple[Block, int, int]] = []
+    for b in found:
+        if b.element.is_bad() or b.linked > LINKS_HIGH * len(b.text):
+            b.label = BAD
+        elif len(b.text) + 2 * len(_DENSE.findall(b.text)) >= MID:
+            words = _WORDS.findall(b.text.lower())
+            long.append((b, sum(w in STOP_WORDS for w in words), len(words)))
+    known = sum(n for _, n, _ in long) >= STOP_KNOWN * sum(n for _, _, n in long)
+    boxes = set()
+    weak = []
+    for b, stop, words in long:
+        if not known or stop >= STOP_LOW * words:
+            b.label = GOOD
+            boxes.add(id(b.element.box))
+        elif not b.element.article:
+            weak.append(b)
+    for b in weak:
+        b.label = OPEN if id(b.element.box) in boxes else BAD
+
+
+def _neighbours(found: list[Block], keys: list) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """For each block (label, distance) of the nearest decided blocks with its key before and after it; label 0 for none."""
+    sides = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict = {}
+        side = [(0, 0)] * len(found)
+        for i in order:
+            label, at = last.get(keys[i], (0, i))
+            side[i] = (label, abs(i - at))
+            if found[i].label:
+                last[keys[i]] = (found[i].label, i)
+        sides.append(side)
+    return list(zip(*sides, strict=True))
+
+
+def _inherited(left: tuple[int, int], right: tuple[int, int]) -> int:
+    """The label that two neighbours give; 0 where there is none."""
+    if left[0] == right[0] or not left[0] or not right[0]:
+        return left[0] or right[0]
+    return GOOD if left[1] == right[1] else left[0] if left[1] < right[1] else right[0]
 
 
 def classify(found: list[Block]) -> None:
     """Set each block's label to GOOD or BAD."""
-    for b in found:
-        b.label = _first_label(b)
-    first = [b.label for b in found]
-    n = len(found)
-    before: list[tuple[int, int]] = []
-    last = (0, -1)
-    for i, label in enumerate(first):
-        before.append(last)
-        if label:
-            last = (label, i)
-    after = [(0, n)] * n
-    last = (0, n)
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if first[i]:
-            last = (first[i], i)
+    _first_labels(found)
+    articles = [b.element.article for b in found]
+    near = _neighbours(found, [id(b.element.box) for b in found])
+    wide = _neighbours(found, articles)
+    every = _neighbours(found, [0] * len(found))
+    labels = []
     for i, b in enumerate(found):
-        if b.label:
-            continue
-        (left, at), (right, to) = before[i], after[i]
-        if b.article:  # what stands outside the article says nothing about it
-            left = left if left and found[at].article == b.article else 0
-            right = right if right and found[to].article == b.article else 0
-            b.label = BAD if BAD in (left, right) and GOOD not in (left, right) else GOOD
-        elif left == right or not left or not right:
-            b.label = GOOD if GOOD in (left, right) else BAD
-        else:
-            b.label = GOOD if i - at == to - i else left if i - at < to - i else right
+        label = b.label or _inherited(*near[i])
+        if not label and b.element.article:  # what stands outside the article says nothing about it
+            label = _inherited(*wide[i]) or GOOD
+        labels.append(label or _inherited(*every[i]) or BAD)
+    if GOOD not in labels and not any(articles):
+        box = next((b.element.box for b in found if b.heading and b.label != BAD), None)
+        labels = [GOOD if b.label == OPEN and b.element.box is box else x for b, x in zip(found, labels, strict=True)]
+    for b, label in zip(found, labels, strict=True):
+        b.label = label
 
 
 def main_text(page: str | None) -> str:

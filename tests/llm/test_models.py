@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,54 @@ def test_block_rules():
     assert html_text.main_text(only) == "A B C."
 
 
+def _word_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) if a or b else 1.0
+
+
+def test_rules_need_neither_article_nor_names(spark):
+    """With article as div and all names gone, words decide: the text stays nearly the same."""
+    pages = [r.html for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()]
+    plain = [re.sub(r' class="[^"]*"', "", p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert all("<article" not in p and "class=" not in p for p in plain)
+    assert np.mean([_word_f1(html_text.main_text(a), html_text.main_text(b)) for a, b in zip(plain, pages, strict=True)]) >= 0.95
+
+
+GOOD_TEXT = "This is the first of the sentences that make up the main text of the page, and it is long enough to be decided on by its words alone, as it has many of them."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><a name="top"><div><h1>T</h1><p>{GOOD_TEXT}</p></div></body>',
+        f'<body><a href="#x"><div><h1>T</h1><p>{GOOD_TEXT}</p></div><nav><a href="y">away</a></nav></body>',
+        f"<article><h1>T</h1><p class=it's>{GOOD_TEXT}</p></article>",
+        f'<article><h1>T</h1><p title="it"s">{GOOD_TEXT}</p></article>',
+        f'<div class="post-tags social-sciences"><h1>T</h1><p>{GOOD_TEXT}</p></div>',
+        f'<article class="related"><h1>T</h1><p>{GOOD_TEXT}</p></article>',
+        f"<html><head><title>x</title><body><form><h1>T</h1><p>{GOOD_TEXT}</p></form>",
+        f"<div><h1>T</h1><p>{GOOD_TEXT}</p></div><!--><div class='cookie-notice'>{GOOD_TEXT}</div><div id='sidebarRight'><p>{GOOD_TEXT}</p></div>",
+    ],
+)
+def test_awkward_markup(page):
+    assert html_text.main_text(page) == f"T {GOOD_TEXT}"
+
+
+def test_other_languages():
+    finnish = "Tämä on pitkä kappale, jonka sanoja mikään luettelo ei tunne, mutta se on sivun ainoa teksti ja siksi sen pituus riittää ratkaisemaan, että se kuuluu artikkeliin eikä valikkoon."
+    japanese = "これは長い段落であり、リンクも広告も含まないので、記事の本文として扱われるべきものである。語の間に空白はないが、文字の数だけで十分に判断できる。"
+    for text in (finnish, japanese):
+        page = f"<nav><a href='a'>Menu</a></nav><div><h1>X</h1><p>{text}</p><p>kyllä</p></div><footer>(c)</footer>"
+        assert html_text.main_text(page) == f"X {text} kyllä"
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "</p>", "<p title=\"", "<a href=x>y<p>", "<p>z", "<h1>", "<form><h1>x", "<button>", "<!--", "<", "<a b='"])
+def test_time_grows_with_the_page(piece):
+    began = time.perf_counter()
+    html_text.main_text("<div>" * 1000 + "<a href=y>" + piece * 100_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_awkward(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><p>x y z</p></article>"), (1, "u", None), (5, "u", "<p>" * 50_000)]
     pages = spark.createDataFrame([(*r, "extra", 3) for r in rows], "page_id long, url string, html string, text string, n_chars long")
