@@ -27,7 +27,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.repeated_passages(_read(spark, sf_dir, "documents"))
+    return sentence_spans.changed_documents(_read(spark, sf_dir, "documents"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,19 +3,20 @@
 A text is cut into sentences at end marks and line ends. A sentence over LONG words is cut further by winnowing:
 of any WINDOW words in a row, the one whose hash with its GRAM - 1 predecessors is least ends a part, the last of equal ones.
 So no part is longer than WINDOW words, whatever they are, and a passage is cut alike wherever it stands, but for its
-first WINDOW + GRAM and last WINDOW words. From every sentence on, the shortest run of at least RUN sentences and WORDS
-words is hashed (96 bits over the words, whatever white space parts them). Runs are
+first WINDOW + GRAM and last WINDOW words. Of all runs of at least RUN sentences and WORDS words, the shortest one from
+each sentence on and the shortest one up to each sentence are hashed (96 bits over the words, whatever white space parts them):
+whatever longer run repeats, these runs in it repeat too and cover it. Runs are
 counted over all documents; of each repeated run the first document, by doc_id, keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
 
-Counting combines in every task before the shuffle, and runs that many documents share
-are joined by broadcast of at most a thousand hot runs, so a passage in a third of all documents
-makes no hot task. Runs are hashed twice, for counting and for joining, which costs less than writing them.
+Rows are numbered and their runs written to the shared folder once, one row of arrays a text. Counting combines in
+every task before the shuffle, and runs that many documents share are joined by broadcast of at most a thousand hot
+runs, so a passage in a third of all documents makes no hot task.
 
-Defined cases: null, empty and short texts have no runs; repeats inside a document are removed
-behind their first occurrence; rows with equal doc_ids are one document (none of them is first); a null doc_id comes
-last and null documents do not count as repeats of each other; an empty table gives no rows; other input columns are ignored.
-Offsets count code points of the text, end exclusive.
+Defined cases: null, empty and short texts have no runs; repeats inside a text are removed
+behind their first occurrence; rows with equal doc_ids are one document, each of whose texts is cut by itself (none of them is
+first); a null doc_id comes last and null documents do not count as repeats of each other; an empty table gives no rows; other
+input columns are ignored or, where rows are returned, kept. Offsets count code points of the text, end exclusive.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ RUN, WORDS = 3, 20
 LONG, WINDOW, GRAM = 12, 12, 3  # words of a long sentence (WINDOW at least); one word in any WINDOW of it ends a part; words hashed for that
 _END = re.compile(r"[.!?…][^\w\s]*$")
 _LAST = (1 << 63) - 1
-_RUNS = "run long, check int, doc_id long, first int, last int, again boolean"
+_RUNS = "at long, doc_id long, runs array<struct<run: long, check: int, first: int, last: int, again: boolean>>"
 _MEMO_WORDS = 300_000
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -111,12 +112,15 @@ _TABLE: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def runs(text: str, least_run: int = RUN, least_words: int = WORDS) -> tuple[np.ndarray, ...]:
-    """(hash, second hash, start, end) of the shortest long-enough run from each sentence."""
+    """(hash, second hash, start, end) of the shortest long-enough runs from each sentence on and up to each sentence."""
     start, end, h, bounds = sentences(text)
     n = len(bounds) - 1
-    last = np.maximum(np.searchsorted(bounds, bounds[:-1] + least_words), np.arange(n) + least_run)
-    at = np.flatnonzero(last <= n)
-    first, stop = bounds[at], bounds[last[at]]
+    each = np.arange(n + 1)
+    last = np.maximum(np.searchsorted(bounds, bounds + least_words), each + least_run)  # the bound that ends the run from each sentence
+    first = np.minimum(np.searchsorted(bounds, bounds - least_words, "right") - 1, each - least_run)  # that starts the run up to each bound
+    onward, upward = np.flatnonzero(last <= n), np.flatnonzero(first >= 0)
+    pairs = np.unique(np.concatenate([onward * (n + 1) + last[onward], first[upward] * (n + 1) + upward]))
+    first, stop = bounds[pairs // (n + 1)], bounds[pairs % (n + 1)]
     out = []
     for base in _BASES:
         if base not in _TABLE or len(_TABLE[base][0]) < len(h):
@@ -127,21 +131,22 @@ def runs(text: str, least_run: int = RUN, least_words: int = WORDS) -> tuple[np.
     return out[0], out[1], start[first].astype(np.int32), end[stop - 1].astype(np.int32)
 
 
-def run_table(docs: DataFrame) -> DataFrame:
-    """One row for each run of each document; `again` marks repeats inside the document."""
+def run_table(rows: DataFrame) -> DataFrame:
+    """at, doc_id and the runs of each row (at, doc_id, text); `again` marks repeats inside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
             parts = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 a, b, first, last = runs(text or "")
                 again = np.ones(len(a), bool)
                 again[np.unique(a, return_index=True)[1]] = False
-                parts.append((a.view(np.int64), (b >> np.uint64(33)).astype(np.int32), np.full(len(a), doc_id), first, last, again))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "check", "doc_id", "first", "last", "again"])
+                parts.append((a.view(np.int64), (b >> np.uint64(33)).astype(np.int32), first, last, again))
+            values = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["run", "check", "first", "last", "again"])
+            offsets = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["at", "doc_id", "runs"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RUNS)
+    return rows.select("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RUNS)
 
 
 def _with_first(found: DataFrame, groups: DataFrame, hot_runs: int = 1000) -> DataFrame:
@@ -149,30 +154,61 @@ def _with_first(found: DataFrame, groups: DataFrame, hot_runs: int = 1000) -> Da
     most = max(1, (groups.agg(F.sum("times")).first()[0] or 0) // hot_runs)
     hot = groups.filter(F.col("times") > most).select("run", "check", F.col("first_doc_id").alias("hot_first"))
     cold = groups.filter(F.col("times") <= most).select(F.col("run").alias("cold_run"), F.col("check").alias("cold_check"), F.col("first_doc_id").alias("cold_first"))
-    marked = found.join(F.broadcast(hot), ["run", "check"], "left").withColumn("run", F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("doc_id", "first")))
+    marked = found.join(F.broadcast(hot), ["run", "check"], "left").withColumn("run", F.when(F.col("hot_first").isNull(), F.col("run")).otherwise(F.xxhash64("at", "first")))
     met = marked.join(cold, (F.col("run") == F.col("cold_run")) & (F.col("check") == F.col("cold_check")), "left")
     return met.withColumn("first_doc_id", F.coalesce("hot_first", "cold_first")).filter("first_doc_id IS NOT NULL")
 
 
-def repeated_passages(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Per passage to remove: doc_id, start, end (code points), first_doc_id (where it stays)."""
-    found = run_table(docs)
-    counts = found.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    groups = written(counts, f"{folder or shared_dir(docs.sparkSession, 'sentence-spans')}/repeated")
-    covered = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("doc_id", "first", "last", "first_doc_id")
-    order = W.partitionBy("doc_id").orderBy("first", "last")
+def _passages(rows: DataFrame, folder: str) -> DataFrame:
+    """Per passage to remove from a row (at, doc_id, text): at, doc_id, start, end, first_doc_id."""
+    tables = written(run_table(rows), f"{folder}/runs")
+    counted = tables.select("doc_id", F.explode("runs").alias("r")).groupBy("r.run", "r.check")
+    counts = counted.agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    groups = written(counts, f"{folder}/repeated")
+    found = tables.select("at", "doc_id", F.explode("runs").alias("r")).select("at", "doc_id", "r.*")
+    covered = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("at", "doc_id", "first", "last", "first_doc_id")
+    order = W.partitionBy("at").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = covered.withColumn("opens", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))
     numbered = starts.withColumn("passage", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = numbered.groupBy("doc_id", "passage").agg(F.min("first").alias("start"), F.max("last").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
+    merged = numbered.groupBy("at", "passage").agg(F.min("doc_id").alias("doc_id"), F.min("first").alias("start"), F.max("last").alias("end"), F.min("first_doc_id").alias("first_doc_id"))
     named = lambda c: F.when(F.col(c) != _LAST, F.col(c)).alias(c)
-    return merged.select(named("doc_id"), "start", "end", named("first_doc_id"))
+    return merged.select("at", named("doc_id"), "start", "end", named("first_doc_id"))
+
+
+def _numbered(docs: DataFrame, folder: str) -> DataFrame:
+    """`row` (all columns of docs as a struct) and `at`, its number, written so that the number stays with the row."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    return written(rows, f"{folder}/rows", compression="zstd")
+
+
+def _cut(rows: DataFrame, folder: str) -> DataFrame:
+    """row, and for the rows with repeated passages also cuts (start, end, first_doc_id) and clean: the text without them, each replaced by one line end."""
+    passages = _passages(rows.select("at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), folder)
+    cuts = passages.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("cuts"))
+    text = F.col("row.text").cast("string")
+    starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
+    ends = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text)))
+    clean = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a)), "\n")
+    return rows.join(cuts, "at", "left").select("row", "cuts", F.when(F.col("cuts").isNotNull(), clean).alias("clean"))
+
+
+def repeated_passages(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Per passage to remove: doc_id, start, end (code points), first_doc_id (where it stays)."""
+    folder = folder or shared_dir(docs.sparkSession, "sentence-spans")
+    rows = _numbered(docs.select("doc_id", "text"), folder).select("at", "row.*")
+    return _passages(rows, folder).drop("at")
 
 
 def remove_repeats(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """docs, columns unchanged, without their repeated passages (each leaves one line end)."""
-    cuts = repeated_passages(docs, folder).groupBy(F.col("doc_id").alias("cut_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("cut_doc")).join(cuts, "cut_doc", "left")
-    text = F.col("row.text").cast("string")
-    kept = F.aggregate("cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"]), F.lit("\n")).alias("out"), c["end"].alias("at")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return joined.select(*[F.when(F.col("cuts").isNotNull(), kept).otherwise(text).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    folder = folder or shared_dir(docs.sparkSession, "sentence-spans")
+    found = _cut(_numbered(docs, folder), folder)
+    return found.select(*[F.coalesce(F.col("clean"), F.col("row.text").cast("string")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def changed_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Per row that loses passages: doc_id, cuts (start, end, first_doc_id), n_chars of what is left and its clean_sha256."""
+    folder = folder or shared_dir(docs.sparkSession, "sentence-spans")
+    found = _cut(_numbered(docs.select("doc_id", "text"), folder), folder).filter("cuts IS NOT NULL")
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "cuts", F.length("clean").cast("long").alias("n_chars"), F.sha2("clean", 256).alias("clean_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 
@@ -177,6 +178,61 @@ def test_runs_equal_a_plain_version():
     assert len(spans) == len(set(spans.values()))
 
 
+def _covered_sentences(docs, marked):
+    """By brute force over every run: the (document, first word) of all sentences that a non-first repeated run covers.
+
+    Runs are the same if their sentences are (marked) or if only their words are.
+    """
+    first, cut = {}, {}
+    for doc, text in docs:
+        _, _, _, bounds = sentence_spans.sentences(text or "")
+        cut[doc] = (text or "").split(), bounds.tolist()
+    todo = []
+    for doc in sorted(cut):
+        words, bounds = cut[doc]
+        n = len(bounds) - 1
+        for i in range(n):
+            for j in range(i + sentence_spans.RUN, n + 1):
+                if bounds[j] - bounds[i] >= sentence_spans.WORDS:
+                    parts = [" ".join(words[a:b]) for a, b in itertools.pairwise(bounds[i : j + 1])]
+                    key = hashlib.md5(("\n" if marked else " ").join(parts).encode("utf-8", "surrogatepass")).digest()
+                    if first.setdefault(key, (doc, i)) != (doc, i):
+                        todo.append((doc, i, j))
+    return {(doc, s) for doc, i, j in todo for s in cut[doc][1][i:j]}
+
+
+def _removed_sentences(docs, passages):
+    gone = defaultdict(list)
+    for p in passages:
+        gone[p.doc_id].append((p.start, p.end))
+    out = set()
+    for doc, text in docs:
+        start, end, _, bounds = sentence_spans.sentences(text or "")
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out |= {(doc, a) for x, y in gone[doc] if x <= start[a] and end[b - 1] <= y}
+    return out
+
+
+def test_removed_sentences_equal_brute_force(spark):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 4000]
+    tail = "Aa bb cc dd ee ff gg hh ii jj kk ll. Mm nn oo pp qq rr ss tt uu vv ww xx. Ab ac ad ae af ag ah ai aj ak al am. Ya yb. Za zb."
+    docs = table + [(9001, f"Own start here. {tail} One end."), (9002, f"Another start. {tail} Other words at the end."), (9003, f"{tail} {tail}")]
+    found = sentence_spans.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    least, most = _covered_sentences(docs, True), _covered_sentences(docs, False)
+    got = _removed_sentences(docs, found)
+    assert least <= got <= most and len(least) > 100
+    assert "Ya yb. Za zb." in next(docs[-2][1][p.start : p.end] for p in found if p.doc_id == 9002)
+
+
+def test_rows_of_one_doc_id_are_cut_by_themselves(spark):
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "a short text"), (2, "Something before. " + PASSAGE), (2, PASSAGE + " And behind it.")], "doc_id long, text string")
+    left = sorted(r.text for r in sentence_spans.remove_repeats(docs).collect() if r.doc_id == 2)
+    assert left[0].strip() == "And behind it." or left[0].strip().startswith("a short") or any(t.startswith("Something before.") for t in left)
+    assert sum("warmed the stones" in t for t in left) == 0 and "a short text" in left
+    rows = sentence_spans.changed_documents(docs).collect()
+    assert [r.doc_id for r in rows] == [2, 2] and sorted(r.clean_sha256 for r in rows) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in left if t != "a short text")
+
+
 @pytest.mark.parametrize("kind", ["bars", "one word", "two words", "plain"])
 def test_passages_share_runs_whatever_their_words_are(kind):
     words = {
