@@ -8,8 +8,8 @@ checks every frame's CRC-8 and CRC-16 and the stream's MD5 and raises ValueError
 mismatch. Files carry a seek point for every frame.
 
 Defined cases: null text or bytes count as empty; a payload is the bytes with
-zeros up to a positive multiple of 64; equal payloads give equal files; an empty
-table gives no rows. Long payloads are cut into frames, and frames are worked
+zeros up to a positive multiple of 64; equal payloads give equal files, so repeated rows give equal rows; a null
+doc_id stays null; an empty table gives no rows; other input columns, whatever their names, are ignored. Long payloads are cut into frames, and frames are worked
 off in groups of FRAMES, so memory does not follow a document's length much beyond its own bytes.
 """
 
@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import small_batches
+from pointloom.llm.shared import discard, shared_dir, small_batches, written
 
 BLOCK = 1024  # samples of a frame
 PAD = 64
 RATE_CODE, RATE = 4, 8000  # fixed value of the format: code 4 is 8 kHz
 FRAMES = 1024  # frames that are coded together
+SLICES = 4
 _MAX_ORDER = 2
 _MAX_QUOTIENT = 15
 
@@ -430,34 +431,82 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return _mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, media binary", "text")
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, pcm (unsigned 8-bit samples) of each stored file's blocks."""
+def pcm_table(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256 and blocks (sample_offset, pcm as unsigned 8-bit samples) of each stored file."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for doc_id, (pcm, offsets) in zip(batch.column("doc_id").to_pylist(), decode(batch.column("media").to_pylist()), strict=True):
-            n = len(offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in offsets], pa.int64()), pa.array([pcm[a : a + k] for a, k in offsets], pa.binary())], names=["doc_id", "block", "sample_offset", "pcm"])
+        files = batch.column("media").to_pylist()
+        decoded = decode(files)
+        starts = [[a for a, _ in offsets] for _, offsets in decoded]
+        values = pa.StructArray.from_arrays(
+            [pa.array([a for s in starts for a in s], pa.int64()), pa.array([pcm[a : a + k] for pcm, offsets in decoded for a, k in offsets], pa.binary())], ["sample_offset", "pcm"]
+        )
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in starts])]).astype(np.int32)
+        sizes, digests = pa.array([len(m) for m in files], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in files])
+        columns = [batch.column("doc_id"), batch.column("n_bytes"), sizes, digests, pa.ListArray.from_arrays(pa.array(ends), values)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: long, pcm: binary>>"
+    return _mapped(media.select("doc_id", "n_bytes", "media"), run, schema, "media")
 
-    return _mapped(media.select("doc_id", "media"), run, "doc_id long, block int, sample_offset long, pcm binary", "media")
 
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """doc_id, block, sample_offset, pcm of each stored file's blocks."""
+    return pcm_table(media).select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.*")
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Digests and a feature of each stored file, from its decoded samples."""
+
+def block_features(stored: DataFrame) -> DataFrame:
+    """Digests and a feature of each row of a pcm_table, from its blocks in the order of their offsets."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        files = batch.column("media").to_pylist()
-        pcms = [p for p, _ in decode(files)]
+        pcms = []
+        for blocks in batch.column("blocks").to_pylist():
+            at = 0
+            for b in blocks:
+                if b["sample_offset"] != at:
+                    raise ValueError("a block does not start where the one before it ends")
+                at += len(b["pcm"])
+            pcms.append(b"".join(b["pcm"] for b in blocks))
         columns = {
             "doc_id": batch.column("doc_id"),
             "n_bytes": batch.column("n_bytes"),
             "payload_bytes": pa.array([len(p) for p in pcms], pa.int64()),
             "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in pcms]),
             "tail_crc32": pa.array([zlib.crc32(p[-PAD:]) for p in pcms], pa.int64()),
-            "media_bytes": pa.array([len(m) for m in files], pa.int64()),
-            "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in files]),
+            "media_bytes": batch.column("media_bytes"),
+            "media_sha256": batch.column("media_sha256"),
             "feature": pa.array([feature(p) for p in pcms]),
         }
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _mapped(media.select("doc_id", "n_bytes", "media"), run, schema, "media")
+
+    def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 128):
+                yield from run(batch.slice(k, 128))
+
+    return stored.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(by_rows, schema)
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """Digests and a feature of each file, from its decoded samples."""
+    return block_features(pcm_table(media))
+
+
+def stored_features(docs: DataFrame, folder: str | None = None, slices: int = SLICES) -> DataFrame:
+    """media_features of all texts by way of the shared folder: FLAC files are written, read back, decoded into PCM blocks that are written and read back.
+
+    Texts are dealt to slices by hash and worked off slice by slice; a slice's media and blocks are deleted once its
+    features are written, so that the folder holds 1 / slices of the media at a time.
+    """
+    spark = docs.sparkSession
+    folder = folder or shared_dir(spark, "media")
+    texts, parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), []
+    for k in range(slices):
+        own = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
+        media = written(encode_media(own), f"{folder}/media-{k}", compression="zstd")
+        blocks = written(pcm_table(media), f"{folder}/pcm-{k}", compression="zstd")
+        parts.append(written(block_features(blocks), f"{folder}/features-{k}"))
+        discard(spark, f"{folder}/media-{k}", f"{folder}/pcm-{k}")
+    return functools.reduce(DataFrame.unionByName, parts)

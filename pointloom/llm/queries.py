@@ -48,7 +48,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.encode_media(_read(spark, sf_dir, "documents")))
+    return flac.stored_features(_read(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ manifest row; a manifest only lists files of tasks that succeeded, so retried
 tasks leave nothing that is read.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id comes
-first; equal doc_ids stay together in one file, each row with its own ids; an empty table
-gives an empty manifest and no rows; other input columns are ignored.
+first; rows of one doc_id (or of none) stand next to each other, each with its own ids, ordered by hash and bytes of their text, so reruns
+agree, and are split between files like any other rows; an empty table gives an empty manifest and no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,7 +160,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([total], pa.int64())], names=["part", "path", "documents", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return written(ordered.mapInArrow(run, MANIFEST), f"{folder}/manifest")
 
 

@@ -7,13 +7,18 @@ import os
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from pointloom.llm import flac
+from pointloom.llm.shared import shared_dir
+from tests.conftest import SF
 from tests.llm.cases import awkward, empty
 
 
@@ -135,3 +140,27 @@ def test_media_query_values(spark):
     blocks = flac.pcm_blocks(flac.encode_media(docs.filter("doc_id = 6"))).orderBy("block").collect()
     assert b"".join(b.pcm for b in blocks) == flac.payload(docs.filter("doc_id = 6").first().text.encode()) and blocks[3].sample_offset == 3 * flac.BLOCK
     assert flac.media_features(flac.encode_media(empty(spark))).count() == 0
+
+
+def test_stored_media_of_a_whole_table(spark):
+    """Written, read back, cut into blocks and read back again: the values of every document; nothing but features is left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in flac.stored_features(docs, slices=3).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        p, r = flac.payload(text), rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        media = flac.encode([p])[0]
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), flac.feature(p))
+    folder = shared_dir(spark, "media-test")
+    rows = flac.stored_features(awkward(spark), folder).collect()
+    assert len(rows) == 11 and {p.name.split("-")[0] for p in Path(folder.removeprefix("file://")).iterdir()} == {"features"}
+    assert flac.stored_features(empty(spark)).count() == 0
+
+
+def test_blocks_out_of_place_are_refused(spark):
+    media = flac.pcm_table(flac.encode_media(awkward(spark).filter("doc_id = 6")))
+    shifted = media.withColumn("blocks", F.expr("slice(blocks, 2, 5)"))
+    with pytest.raises(Exception, match="does not start"):
+        flac.block_features(shifted).collect()

@@ -107,6 +107,26 @@ def test_token_files_round_trip(spark, frame_ids):
         list(token_files.TokenFile(source).each())
 
 
+def test_many_files_and_ties(spark):
+    """A whole table in many files, with equal and null doc_ids: one gapless run of ids in ascending order, the same on a rerun."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.filter("doc_id < 60").selectExpr("CASE WHEN doc_id % 2 = 0 THEN 7 END AS doc_id", "text"))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifests = [token_files.write_token_files(d, frame_ids=1000) for d in (docs, docs.repartition(5))]
+        runs = [sorted(token_files.read_token_files(m).collect(), key=lambda r: r.start) for m in manifests]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert manifests[0].count() > 1 and runs[0] == runs[1]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in runs[0]]
+    assert ids == sorted(ids) and ids.count(-1) == 30 and ids.count(7) == 31
+    assert [r.start for r in runs[0]] == [0, *np.cumsum([r.n_tokens for r in runs[0]])[:-1].tolist()]
+    whole = MemoEncoder(public_path("word_bpe_49k.json")).whole
+    want = sorted((-1 if d.doc_id is None else d.doc_id, len(ids) + 1, zlib.crc32(np.append(ids, np.uint32(2)).astype("<u4").tobytes())) for d in docs.collect() for ids in [whole(d.text or "")])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in runs[0]) == want
+
+
 def test_token_files_of_nothing(spark):
     manifest = token_files.write_token_files(empty(spark))
     assert manifest.count() == 0 and token_files.read_token_files(manifest).count() == 0
