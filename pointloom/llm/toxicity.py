@@ -8,13 +8,14 @@ them out into one table over their joint states. A clause's weight is what the
 composed machine emits for it; only clauses with an insult or a threat can emit.
 A text's score is a logistic function of its clauses' summed weight.
 
-Insult stems beyond the small fixed lists, and the two logistic parameters, are
+Insults beyond the small fixed lists, and the two logistic parameters, are
 learned from a bounded sample of labelled rows: SAMPLE_ROWS, those with the smallest hashes
-of doc_id, outside the held-out fifth. A stem is kept if its appearance in toxic
-rows alone is too unlikely to be chance.
+of doc_id, outside the held-out fifth. A word is an insult if its appearance in toxic rows is too unlikely to be
+chance. Where most of a stem's known forms lean to toxic rows, all its longer forms are insults, those never seen
+too, but for exceptions that clean rows hold; the bare stem is not.
 
-Defined cases: null and empty texts emit nothing and get the score of weight 0; rows
-without a label are scored but not learned from; without any label the fixed
+Defined cases: null and empty texts emit nothing and get the score of weight 0; very long texts are scored whole, clause by
+clause, in time that grows with their length; repeated and tied rows are scored alike; rows without a label are scored but not learned from; without any label the fixed
 lists and fixed parameters are used; equal texts get equal scores; other input columns are ignored.
 """
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.language_id import remainder
-from pointloom.llm.shared import small_batches
+from pointloom.llm.shared import shared_dir, small_batches, written
 
 SAMPLE_ROWS = 4000
 #: Fixed lists of the grammar, in English, German, French and Spanish.
@@ -46,8 +47,9 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER, END = range(8)
 TOKENS = re.compile(r"[^\W\d_]+|[\"“”„«»]|[.!?;:\n]")
 _ENDS = re.compile(r"[.!?;:\n]")
 STEM_MIN, STEM_MAX = 4, 8
-CHANCE = 11.0  # least log of how unlikely a stem's toxic appearances are by chance
-PEER = 0.2
+CHANCE = 11.0  # least log of how unlikely a word's toxic appearances are by chance
+PRECISE = 0.8  # least share of toxic rows among those with a learned word or family
+FORMS = 5  # least number of a family's forms that lean to toxic rows
 NEGATION_REACH = 3
 
 
@@ -98,24 +100,27 @@ def compose(parts: tuple[Transducer, ...], target_factor: float = 1.5, negated:
 
 
 class ToxicityModel:
-    """Insult stems and words, and the logistic function of a text's weight."""
+    """Learned insults, and the logistic function of a text's weight.
 
-    def __init__(self, stems: tuple[str, ...] = (), slope: float = 4.0, base: float = -2.0):
-        self.stems, self.slope, self.base = tuple(sorted(set(stems))), slope, base
+    words are insults as they are, stems with at least one more letter, except for exceptions.
+    """
+
+    def __init__(self, words: tuple[str, ...] = (), stems: tuple[str, ...] = (), exceptions: tuple[str, ...] = (), slope: float = 4.0, base: float = -2.0):
+        self.words, self.stems, self.exceptions = (tuple(sorted(set(x))) for x in (words, stems, exceptions))
+        self.slope, self.base = slope, base
         self._start()
 
     def _start(self) -> None:
         fixed = {w: s for s, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-        self.symbols = fixed | dict.fromkeys('"“”„«»', QUOTE) | dict.fromkeys(".!?;:\n", END)
+        self.symbols = dict.fromkeys(self.exceptions, OTHER) | dict.fromkeys(self.words, INSULT) | fixed
+        self.symbols |= dict.fromkeys('"“”„«»', QUOTE) | dict.fromkeys(".!?;:\n", END) | dict.fromkeys(set(self.stems) - set(self.words) - set(fixed), OTHER)
         self.nexts, self.weights = compose(grammar())
-        whole = [re.escape(w) + r"(?![^\W\d_])" for w in sorted({*INSULTS, *THREATS, *(s[:-1] for s in self.stems if s.endswith("$"))})]
-        starts = [re.escape(s) for s in self.stems if not s.endswith("$")]
-        self.symbols |= {s[:-1]: INSULT for s in self.stems if s.endswith("$")}
-        self.starts = tuple(s for s in self.stems if not s.endswith("$"))
+        whole = [re.escape(w) + r"(?![^\W\d_])" for w in sorted({*INSULTS, *THREATS, *self.words})]
+        starts = [re.escape(s) + r"(?=[^\W\d_])" for s in self.stems]
         self.hits = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(starts + whole)})")
 
     def __getstate__(self) -> dict:
-        return {"stems": self.stems, "slope": self.slope, "base": self.base}
+        return {k: getattr(self, k) for k in ("words", "stems", "exceptions", "slope", "base")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -124,7 +129,7 @@ class ToxicityModel:
     def symbol(self, token: str) -> int:
         found = self.symbols.get(token)
         if found is None:
-            found = INSULT if self.starts and token.startswith(self.starts) else OTHER
+            found = INSULT if self.stems and token.startswith(self.stems) else OTHER
         return found
 
     def clauses(self, text: str) -> Iterator[tuple[int, int]]:
@@ -153,62 +158,50 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-(self.base + self.slope * math.log1p(self.weight(text)))))
 
 
-def learn_stems(texts: list[str], toxic: list[int]) -> tuple[str, ...]:
-    """Word stems (or whole words, marked by $) that toxic rows hold and others do not, best first.
+def _unlikely(hits: int, rows: int, share: float) -> float:
+    """Minus the log of the probability of at least so many hits in rows that hit with probability share."""
+    log = lambda k: math.lgamma(rows + 1) - math.lgamma(k + 1) - math.lgamma(rows - k + 1) + k * math.log(share) + (rows - k) * math.log1p(-share)
+    terms = [log(k) for k in range(hits, rows + 1)]
+    return -(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
 
-    Copies count once (rows with the same two longest words are taken for copies).
-    Of stems that cover the same rows the longest counts. A stem must cover more rows
-    than chance explains: rows that no stem before it covers, or a fair part
-    (PEER) of what the stem that it most shares rows with covers.
-    """
-    positive, negative, rows = Counter(), Counter(), {}
-    words_of = [set(TOKENS.findall(t.lower())) for t in texts]
-    copies = [tuple(sorted(words, key=lambda w: (-len(w), w))[:2]) for words in words_of]
-    first = {c: i for i, c in reversed([*enumerate(copies)])}
-    for i, (words, y) in enumerate(zip(words_of, toxic, strict=True)):
-        if y and first[copies[i]] == i:
-            positive.update({w[:k] for w in words for k in range(STEM_MIN, min(STEM_MAX, len(w)) + 1)} | {w + "$" for w in words if len(w) >= 3})
-    n_toxic = sum(toxic)
-    share = max(n_toxic, 1) / max(len(texts), 1)
-    enough = max(3, math.ceil(CHANCE / max(1e-9, -math.log(min(share, 0.999)))))
-    kept = {s for s, c in positive.items() if c >= enough}
-    for i, (words, y) in enumerate(zip(words_of, toxic, strict=True)):
-        own = {w[:k] for w in words for k in range(STEM_MIN, min(STEM_MAX, len(w)) + 1)} | {w + "$" for w in words}
-        for s in own & kept:
-            if y:
-                rows.setdefault(s, set()).add(first[copies[i]])
-            else:
-                negative[s] += 1
-    left = {s: r for s, r in rows.items() if negative[s] <= 0.02 * len(r)}
-    found: list[str] = []
-    taken: list[set[int]] = []
-    covered: set[int] = set()
+
+def row_words(text: str) -> tuple[list[str], str]:
+    """The distinct words of a text, and what tells its copies: its two longest words."""
+    words = sorted({w for w in TOKENS.findall(text.lower()) if len(w) >= 3})
+    return words, " ".join(sorted(words, key=lambda w: (-len(w), w))[:2])
+
+
+def learn_insults(positive: Counter, negative: Counter, rows: tuple[int, int]) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+    """(words, stems, exceptions) that toxic rows hold and others do not, from the number of toxic and other rows with each word and the numbers of (other, toxic) rows."""
+    share = min(max(rows[1] / max(sum(rows), 1), 1e-6), 0.999)
+    precise = lambda w: positive[w] >= PRECISE * (positive[w] + negative[w])
+    words = {w for w, c in positive.items() if c >= 3 and precise(w) and _unlikely(c, c + negative[w], share) >= CHANCE}
+
+    toxic_forms, clean_forms = {}, Counter()
+    for w in positive.keys() | negative.keys():
+        p, n = positive[w], negative[w]
+        for k in range(STEM_MIN, min(STEM_MAX, len(w) - 1) + 1):
+            if p >= 2 and precise(w):
+                toxic_forms.setdefault(w[:k], set()).add(w)
+            elif n >= 2:
+                clean_forms[w[:k]] += 1
+    left = {s: f for s, f in toxic_forms.items() if len(f) >= FORMS and len(f) >= PRECISE * (len(f) + clean_forms[s])}
+    stems: list[str] = []
     while left:
-        best = max(left, key=lambda s: (len(left[s]), -negative[s], len(s), s))
+        best = max(left, key=lambda s: (len(left[s]), len(s), s))
         own = left.pop(best)
-        if len(own) < enough:
+        if len(own) < FORMS:
             break
-        peer = max((len(own & t), len(t)) for t in taken)[1] if taken else 0
-        if len(own - covered) < enough and len(own) < PEER * peer:
-            continue
-        found.append(best)
-        taken.append(own)
-        covered |= own
-        # Longer forms of the stem say nothing new; shorter ones must cover rows of their own.
-        stem = best.rstrip("$")
-        for s in [s for s in left if s.startswith(stem) or stem.startswith(s.rstrip("$"))]:
-            if s.startswith(stem) or len(left[s] - own) < enough:
-                del left[s]
-    return tuple(found)
-
-
-def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Stems and logistic parameters from labelled texts."""
-    if not any(toxic) or all(toxic):
-        return ToxicityModel()
-    model = ToxicityModel(learn_stems(texts, toxic))
-    x = np.log1p([model.weight(t) for t in texts])
-    y = np.array(toxic, float)
+        stems.append(best)
+        left = {s: f - own for s, f in left.items()}
+    ruled = lambda w: any(w.startswith(s) and len(w) > len(s) for s in stems)
+    exceptions = {w for w, n in negative.items() if n >= 2 and not precise(w) and ruled(w)}
+    return tuple(w for w in words if not ruled(w)), tuple(stems), tuple(exceptions)
+
+
+def calibrated(model: ToxicityModel, weights: list[float], toxic: list[int]) -> ToxicityModel:
+    """The model with the logistic parameters that fit the weights of labelled texts."""
+    x, y = np.log1p(weights), np.array(toxic, float)
     a, b = 0.0, 0.0
     for _ in range(50):  # Newton steps with a weak prior
         p = 1 / (1 + np.exp(-np.clip(b + a * x, -30, 30)))
@@ -219,16 +212,42 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return ToxicityModel(model.stems, float(a), float(b)) if a > 0 else model
+    return ToxicityModel(model.words, model.stems, model.exceptions, float(a), float(b)) if a > 0 else model
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """A model from at most sample_rows labelled documents outside the held-out fifth."""
+    """A model from at most sample_rows labelled documents outside the held-out fifth.
+
+    Words are counted and texts weighed in tasks; the driver gets the sample's vocabulary and one number a row. Copies
+    count once: rows of one label with the same two longest words are taken for copies.
+    """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     chosen = known.filter(remainder("doc_id", 5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator())
-    return fit([t for _, t, _ in found], [int(y > 0) for _, _, y in found])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sample = written(found.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic")), f"{shared_dir(spark, 'toxicity')}/sample")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = [row_words(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([c for _, c in rows], pa.string()), pa.array([w for w, _ in rows], pa.list_(pa.string()))], names=["toxic", "copy", "words"])
+
+    once = sample.mapInArrow(words, "toxic int, copy string, words array<string>").groupBy("toxic", "copy").agg(F.min("words").alias("words"))
+    once = written(once, f"{shared_dir(spark, 'toxicity')}/words")
+    n = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return ToxicityModel()
+    counted = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).filter("p + n >= 2")
+    table = counted.toArrow().to_pydict()
+    positive, negative = (Counter({w: c for w, c in zip(table["word"], table[k], strict=True) if c}) for k in ("p", "n"))
+    model = ToxicityModel(*learn_insults(positive, negative, (n[0], n[1])))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([model.weight(t) for t in batch.column("text").to_pylist()], pa.float64())], names=["doc_id", "toxic", "weight"])
+
+    weighed = sorted(tuple(r) for r in sample.mapInArrow(weigh, "doc_id long, toxic int, weight double").collect())
+    return calibrated(model, [w for *_, w in weighed], [y for _, y, _ in weighed])
 
 
 def with_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
