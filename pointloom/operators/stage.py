@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,14 +56,24 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return written(df, shared_dir(df.sparkSession, name))
 
 
+def is_hot(groups: DataFrame, keys: list[str], size: str, hot_groups: int = 1000) -> Column | None:
+    """Whether a row's keys have the hash of a group that holds more than 1 / hot_groups of all entries; None if there is no such group.
+
+    `size` counts a group's entries, so there are at most hot_groups of them, whose hashes become constants of the plan.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hash_of = f"xxhash64({', '.join(f'`{k}`' for k in keys)})"
+    hot = groups.filter(F.col(size) > max(1, total // hot_groups)).select(F.expr(hash_of)).collect()
+    return F.expr(f"{hash_of} IN ({', '.join(f'{h}L' for (h,) in hot)})") if hot else None
+
+
 def join_groups(entries: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_groups: int = 1000) -> DataFrame:
     """entries joined with the one row of their group, however large a group is.
 
-    `size` counts a group's entries, so at most hot_groups groups hold more than
-    1 / hot_groups of all entries. Those rows are broadcast; the rest is an ordinary join.
+    The rows of hot groups (`is_hot`), about hot_groups at most, are broadcast; the rest is an ordinary join.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    most = max(1, total // hot_groups)
-    hot, cold = groups.filter(F.col(size) > most), groups.filter(F.col(size) <= most)
-    by_hot = entries.join(F.broadcast(hot), keys)
-    return by_hot.unionByName(entries.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    hot = is_hot(groups, keys, size, hot_groups)
+    if hot is None:
+        return entries.join(groups, keys)
+    by_hot = entries.filter(hot).join(F.broadcast(groups.filter(hot)), keys)
+    return by_hot.unionByName(entries.filter(~hot).join(groups.filter(~hot), keys))
