@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import SPACE, discard, join_groups, row_rank, shared_dir, text_column, written
+from pointloom.llm.shared import SPACE, discard, is_hot, join_groups, row_rank, shared_dir, text_column, written
 
 MAX_DEPTH = 18
 BUCKET_TEXTS = 1 << 8
@@ -79,7 +79,7 @@ def build_index(rows: DataFrame, folder: str, key_bits: int = 64, bucket_texts:
     """(index, a function that adds each key's bucket). The index: bucket, key, chain, sha256, rank and keep_id of the row that stays, group_size."""
     spark = rows.sparkSession
     keys = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")), f"{folder}/keys")
-    total, n_rows = keys.agg(F.count(F.lit(1)), F.sum("times")).first()
+    total = keys.count()
     capacity = max(bucket_texts, total >> (MAX_DEPTH - 2))
     bits = min(MAX_DEPTH, key_bits, 3 + max(0, math.ceil(math.log2(max(1, total) / capacity))))
     prefix = F.shiftrightunsigned("key", key_bits - bits).cast("int")
@@ -91,10 +91,12 @@ def build_index(rows: DataFrame, folder: str, key_bits: int = 64, bucket_texts:
         slot = F.shiftrightunsigned("key", key_bits - depth).cast("int") if depth else F.lit(0)
         return df.withColumn("slot", slot).join(slots, "slot").drop("slot")
 
-    hot = F.broadcast(keys.filter(F.col("times") > max(1, (n_rows or 0) // 1000)).select("key"))
-    cold = rows.join(hot, "key", "left_anti").select("key", "body", "rank", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    combined = rows.join(hot, "key", "left_semi").groupBy("key", "body").agg(F.min("rank").alias("rank"), F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    owned = in_buckets(cold.unionByName(combined)).repartition("bucket")
+    hot = is_hot(keys, ["key"], "times")
+    cold = rows if hot is None else rows.filter(~hot)
+    dealt = cold.select("key", "body", "rank", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    if hot is not None:
+        dealt = dealt.unionByName(rows.filter(hot).groupBy("key", "body").agg(F.min("rank").alias("rank"), F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    owned = in_buckets(dealt).repartition("bucket")
     chained = owned.groupBy("bucket", "key", "body").agg(F.min("rank").alias("rank"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     slim = chained.select("bucket", "key", F.sha2("body", 256).alias("sha256"), "rank", "keep_id", "group_size")
     index = slim.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "key").orderBy("sha256")))
