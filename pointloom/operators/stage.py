@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan refers to any more; otherwise they stay until the driver's memory is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df, written once to a new shared folder and read again.
 
