@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import shared_dir, small_batches, written
+from pointloom.llm.shared import discard, free_shuffles, shared_dir, small_batches, written
 from pointloom.llm.shingles import _mix
 
 RUN, WORDS = 3, 20
@@ -159,12 +159,18 @@ def _with_first(found: DataFrame, groups: DataFrame, hot_runs: int = 1000) -> Da
     return met.withColumn("first_doc_id", F.coalesce("hot_first", "cold_first")).filter("first_doc_id IS NOT NULL")
 
 
-def _passages(rows: DataFrame, folder: str) -> DataFrame:
-    """Per passage to remove from a row (at, doc_id, text): at, doc_id, start, end, first_doc_id."""
-    tables = written(run_table(rows), f"{folder}/runs")
+def _repeated(tables: DataFrame, folder: str) -> DataFrame:
+    """The runs that occur more than once: run, check, first_doc_id, times."""
     counted = tables.select("doc_id", F.explode("runs").alias("r")).groupBy("r.run", "r.check")
     counts = counted.agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    groups = written(counts, f"{folder}/repeated")
+    return written(counts, f"{folder}/repeated")
+
+
+def _passages(rows: DataFrame, folder: str) -> DataFrame:
+    """Per passage to remove from a row (at, doc_id, text): at, doc_id, start, end, first_doc_id."""
+    tables = written(run_table(rows), f"{folder}/runs", compression="zstd")
+    groups = _repeated(tables, folder)
+    free_shuffles(rows.sparkSession)  # those of the counting, before all runs are dealt again
     found = tables.select("at", "doc_id", F.explode("runs").alias("r")).select("at", "doc_id", "r.*")
     covered = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("at", "doc_id", "first", "last", "first_doc_id")
     order = W.partitionBy("at").orderBy("first", "last")
@@ -182,10 +188,19 @@ def _numbered(docs: DataFrame, folder: str) -> DataFrame:
     return written(rows, f"{folder}/rows", compression="zstd")
 
 
-def _cut(rows: DataFrame, folder: str) -> DataFrame:
-    """row, and for the rows with repeated passages also cuts (start, end, first_doc_id) and clean: the text without them, each replaced by one line end."""
+def _cuts(rows: DataFrame, folder: str) -> DataFrame:
+    """at and the sorted cuts of the rows with repeated passages; the runs are deleted."""
     passages = _passages(rows.select("at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), folder)
     cuts = passages.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("cuts"))
+    cuts = written(cuts, f"{folder}/cuts")
+    discard(rows.sparkSession, f"{folder}/runs", f"{folder}/repeated")
+    return cuts
+
+
+def _cut(rows: DataFrame, folder: str) -> DataFrame:
+    """row, and for the rows with repeated passages also cuts (start, end, first_doc_id) and clean: the text without them, each replaced by one line end."""
+    cuts = _cuts(rows, folder)
+    free_shuffles(rows.sparkSession)
     text = F.col("row.text").cast("string")
     starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
     ends = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text)))

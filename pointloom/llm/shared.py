@@ -9,9 +9,9 @@ import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pointloom.operators.stage import discard, is_hot, join_groups, shared_dir, written
+from pointloom.operators.stage import discard, free_shuffles, is_hot, join_groups, shared_dir, written
 
-__all__ = ["NOT_SPACE", "SPACE", "discard", "is_hot", "join_groups", "ranked_row", "row_rank", "shared_dir", "small_batches", "text_column", "written"]
+__all__ = ["NOT_SPACE", "SPACE", "discard", "free_shuffles", "is_hot", "join_groups", "ranked_row", "row_rank", "shared_dir", "small_batches", "text_column", "written"]
 
 #: ASCII white space, as the contracts of these operators name it.
 SPACE = r"[\x20\x09-\x0D]"
