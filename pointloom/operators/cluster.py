@@ -137,7 +137,7 @@ def hashed_triples(points: DataFrame, rounds: int, key: str = "point_id", seed:
     """`rounds` triples of different points, drawn by hash: reruns draw the same."""
     parts = []
     for slot in range(3):
-        order = F.xxhash64(F.col(key), F.lit(seed), F.lit(slot))
+        order = F.conv(F.substring(F.md5(F.concat_ws(",", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(slot))).cast("binary")), 1, 15), 16, 10).cast("long")
         parts.append(points.select(F.col(key), order.alias("h")).orderBy("h", key).limit(rounds).select(F.row_number().over(W.orderBy("h", key)).alias("hypothesis"), F.col(key).alias("abc"[slot])))
     out = parts[0].join(parts[1], "hypothesis").join(parts[2], "hypothesis")
     return out.filter("a <> b AND b <> c AND a <> c")

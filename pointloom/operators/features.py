@@ -47,24 +47,27 @@ def moments(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def moment_volume(n: Column, s: dict[str, Column], q: dict[str, Column]) -> Column:
-    """Root of the determinant of the covariance (plus 1e-8 I), at least 1e-12."""
-    cov = [q[a + b] / n - s[a] / n * (s[b] / n) + (1e-8 if a == b else 0.0) for a, b in PAIRS]
+def moment_volume(n: Column, s: dict[str, Column], q: dict[str, Column], start: float) -> Column:
+    """Root of the determinant (at least 1e-12) of the covariance plus start times the identity."""
+    cov = [q[a + b] / n - s[a] / n * (s[b] / n) + (start if a == b else 0.0) for a, b in PAIRS]
     return F.sqrt(F.greatest(g.determinant(*cov), F.lit(1e-12)))
 
 
-def merge_costs(stats: DataFrame, key: str) -> DataFrame:
-    """V(i and j) - V(i) - V(j) for all pairs i < j of a table of moments (clusters of one frame)."""
+def merge_costs(stats: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """V(i and j) - V(i) - V(j) for the edges (i, j) between rows of a table of moments.
+
+    Covariances start at 1e-6 of the identity, and a merge adds 1e-8 of it.
+    """
     names = ["n", *[f"s{c}" for c in P], *[f"q{a}{b}" for a, b in PAIRS]]
     a = stats.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in names])
     b = stats.select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in names])
 
-    def volume(get) -> Column:
-        return moment_volume(get("n"), {c: get(f"s{c}") for c in P}, {x + y: get(f"q{x}{y}") for x, y in PAIRS})
+    def volume(get, start: float = 1e-6) -> Column:
+        return moment_volume(get("n"), {c: get(f"s{c}") for c in P}, {x + y: get(f"q{x}{y}") for x, y in PAIRS}, start)
 
     both = lambda c: F.col(f"a_{c}") + F.col(f"b_{c}")
-    cost = volume(both) - volume(lambda c: F.col(f"a_{c}")) - volume(lambda c: F.col(f"b_{c}"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", cost.alias("cost"))
+    cost = volume(both, 1.01e-6) - volume(lambda c: F.col(f"a_{c}")) - volume(lambda c: F.col(f"b_{c}"))
+    return edges.select("i", "j").join(a, "i").join(b, "j").select("i", "j", cost.alias("cost"))
 
 
 def circle_fit(points: DataFrame, by: Sequence[str]) -> DataFrame:

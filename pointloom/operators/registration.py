@@ -53,7 +53,7 @@ def multistart(surface: Surface, points: np.ndarray, config: Config = DEFAULT, z
     m = points.mean(axis=0)
     starts = [np.array([m[0], m[1], wrap(2 * np.pi * k / config.yaw_starts)]) for k in range(config.yaw_starts)]
     first = sorted(range(len(starts)), key=lambda k: (score(surface, points, starts[k], z, config.sigma_field), k))[: config.yaw_kept]
-    fits = [gauss_newton(surface, points, starts[k], z, config, 3 * config.newton_rounds) for k in first]
+    fits = [gauss_newton(surface, points, starts[k], z, config, config.newton_rounds) for k in first]
     scores = [score(surface, points, p, z, config.sigma_field) for p in fits]
     best = int(np.argmin(scores))
     return fits[best], scores[best]

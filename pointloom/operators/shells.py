@@ -150,25 +150,27 @@ def split_boxes(points: np.ndarray, voxel: float = 0.04, solidity: float = 0.35,
     return out
 
 
+def _near_pairs(boxes: list[Box], margin: float) -> list[tuple[int, int]]:
+    """Pairs i < j, in order, of boxes whose centres are nearer than their largest half-extents and the margin together."""
+    centers, reach = np.array([b.center for b in boxes]), np.array([b.extents.max() for b in boxes])
+    apart = np.linalg.norm(centers[:, None] - centers[None], axis=2)
+    return [(int(i), int(j)) for i, j in np.argwhere(np.triu(apart < reach[:, None] + reach[None] + margin, 1))]
+
+
 def merge_boxes(boxes: list[Box], voxel: float = 0.04, solidity: float = 0.35, margin: float = 0.10) -> list[Box]:
-    """Join boxes in order with the first later one that is near and leaves a solid box, until none does."""
-    boxes, changed = list(boxes), True
-    while changed:
-        changed, out, used = False, [], set()
-        for i, a in enumerate(boxes):
-            if i in used:
-                continue
-            for j in range(i + 1, len(boxes)):
-                b = boxes[j]
-                if j in used or np.linalg.norm(a.center - b.center) >= a.extents.max() + b.extents.max() + margin:
-                    continue
-                both = upright_box(np.vstack([a.points, b.points]), voxel)
+    """Boxes joined pair by pair, each at most once a round and with the first near one that leaves a solid box, until a round joins none."""
+    boxes = list(boxes)
+    while len(boxes) > 1:
+        kept = np.ones(len(boxes), bool)
+        joined = np.zeros(len(boxes), bool)
+        for i, j in _near_pairs(boxes, margin):
+            if kept[i] and kept[j] and not joined[i]:
+                both = upright_box(np.vstack([boxes[i].points, boxes[j].points]), voxel)
                 if both is not None and both.solidity >= solidity:
-                    a, changed = both, True
-                    used.add(j)
-                    break
-            out.append(a)
-        boxes = out
+                    boxes[i], kept[j], joined[i] = both, False, True
+        if not joined.any():
+            break
+        boxes = [b for b, k in zip(boxes, kept, strict=True) if k]
     return boxes
 
 

@@ -111,7 +111,7 @@ def corners(points: DataFrame, by: Sequence[str], config: Config = DEFAULT) -> D
     return points.select(*keys, *P).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", two_plane_share double, corner boolean")
 
 
-def cascade(points: DataFrame, by: Sequence[str], config: Config = DEFAULT, extent_mean: Sequence[float] = (0.38, 0.38, 0.42), extent_sigma: Sequence[float] = (0.1, 0.1, 0.1), least_likelihood: float = -15.0) -> DataFrame:
+def cascade(points: DataFrame, by: Sequence[str], config: Config = DEFAULT, extent_mean: Sequence[float] = (0.38, 0.38, 0.42), extent_sigma: Sequence[float] = (0.15, 0.15, 0.18), least_likelihood: float = -15.0) -> DataFrame:
     """Features of each cluster of at least min_cluster points and `passes`: solid enough, no corner, voluminous, of a body's extents."""
     keys = list(by)
     large = A.at_least(points, keys, config.min_cluster)

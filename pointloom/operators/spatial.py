@@ -119,18 +119,21 @@ def voxel_first(points: DataFrame, size: float, by: Sequence[str] = (), key: str
 
 def field_value(points: DataFrame, primitives: DataFrame, key: str = "point_id", default: float = 0.08) -> DataFrame:
     """Implicit field at each point: sum of kernel times alpha_v minus slope / r times D . alpha_g over the
-    primitives whose support holds it; `default` where none does. Primitives of one model are few (hundreds).
+    primitives (px, py, pz, support h) whose support holds it; `default` where none does. Points meet primitives by
+    grid cells as wide as the widest support.
     """
-    from pointloom.functions.geometry import norm, wendland, wendland_slope
-
-    d = [F.col(c) - F.col(f"p{c}") for c in P]
-    prims = F.broadcast(primitives) if primitives.limit(10_001).count() <= 10_000 else primitives
-    near = points.join(prims, norm(d) < F.col("h"))
-    r = norm(d)
-    u = r / F.col("h")
-    pull = sum((v * F.col(f"alpha_g{c}") for v, c in zip(d, P, strict=True)), F.lit(0.0))
-    term = wendland(u) * F.col("alpha_v") - F.when(r > 1e-9, wendland_slope(u) / F.col("h") / r).otherwise(0.0) * pull
-    sums = near.groupBy(key).agg(F.sum(term).alias("field"))
+    from pointloom.functions.geometry import wendland, wendland_slope
+
+    widest = primitives.agg(F.max("h")).first()[0]
+    if not widest:
+        return points.withColumn("field", F.lit(default))
+    placed = primitives.select(*[F.col(f"p{c}").alias(c) for c in P], "h", "alpha_v", *[f"alpha_g{c}" for c in P])
+    near = radius_join(points.select(key, *P), placed, widest).filter(F.col("d") < F.col("b.h"))
+    r, h = F.col("d"), F.col("b.h")
+    u = r / h
+    pull = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * F.col(f"b.alpha_g{c}") for c in P), F.lit(0.0))
+    term = wendland(u) * F.col("b.alpha_v") - F.when(r > 1e-9, wendland_slope(u) / h / r).otherwise(0.0) * pull
+    sums = near.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(term).alias("field"))
     return points.join(sums, key, "left").withColumn("field", F.coalesce("field", F.lit(default)))
 
 

@@ -105,8 +105,8 @@ def volumetricity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.volumetricity(pts(spark, sf_dir), ["frame_id"]).select("frame_id", F.round("volumetricity", 6).alias("volumetricity"))
 
 
-def _det(n: str, s, q) -> str:
-    c = {a + b: f"({q(a + b)} / {n} - {s(a)} / {n} * ({s(b)} / {n}) + {'1e-8' if a == b else '0.0'})" for a, b in A.PAIRS}
+def _det(n: str, s, q, start: str) -> str:
+    c = {a + b: f"({q(a + b)} / {n} - {s(a)} / {n} * ({s(b)} / {n}) + {start if a == b else '0.0'})" for a, b in A.PAIRS}
     det = f"{c['xx']} * ({c['yy']} * {c['zz']} - {c['yz']} * {c['yz']}) - {c['xy']} * ({c['xy']} * {c['zz']} - {c['yz']} * {c['xz']}) + {c['xz']} * ({c['xy']} * {c['yz']} - {c['yy']} * {c['xz']})"
     return f"sqrt(greatest({det}, 1e-12))"
 
@@ -116,11 +116,14 @@ MOMENTS = "m AS (SELECT frame_id AS k, CAST(count(*) AS DOUBLE) AS n, " + ", ".j
 
 @query(
     f"WITH {PTS}, {MOMENTS} SELECT a.k AS i, b.k AS j, round("
-    + _det("(a.n + b.n)", lambda c: f"(a.s{c} + b.s{c})", lambda c: f"(a.q{c} + b.q{c})") + " - " + _det("a.n", lambda c: f"a.s{c}", lambda c: f"a.q{c}") + " - " + _det("b.n", lambda c: f"b.s{c}", lambda c: f"b.q{c}")
+    + _det("(a.n + b.n)", lambda c: f"(a.s{c} + b.s{c})", lambda c: f"(a.q{c} + b.q{c})", "1.01e-6") + " - " + _det("a.n", lambda c: f"a.s{c}", lambda c: f"a.q{c}", "1e-6") + " - " + _det("b.n", lambda c: f"b.s{c}", lambda c: f"b.q{c}", "1e-6")
     + ", 8) + 0.0 AS cost FROM m a JOIN m b ON a.k < b.k"
 )
 def moments_merge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.merge_costs(A.moments(pts(spark, sf_dir), ["frame_id"]), "frame_id").select("i", "j", (F.round("cost", 8) + 0.0).alias("cost"))
+    stats = A.moments(pts(spark, sf_dir), ["frame_id"])
+    frames = stats.select(F.col("frame_id").alias("i"))  # the labels of the view: few
+    edges = frames.join(frames.toDF("j"), F.col("i") < F.col("j"))
+    return A.merge_costs(stats, "frame_id", edges).select("i", "j", (F.round("cost", 8) + 0.0).alias("cost"))
 
 
 @query(

@@ -17,7 +17,8 @@ from pointloom.operators.registration import register_clusters
 from pointloom.operators.stage import shared_dir
 from pointloom.plans import feature_queries  # noqa: F401  its SQL for dbscan holds here too
 from pointloom.plans.registry import ORACLES, query
-from pointloom.plans.views import big_pts, pts, shells, table
+from pointloom.plans.track_sql import FITS, track_sql
+from pointloom.plans.views import PTS, big_pts, pts, shells, table
 from pointloom.streaming.buffer import accumulate
 from pointloom.streaming.tracker import track_batch, track_stream
 
@@ -143,23 +144,24 @@ def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))") / 1e6 / 40000
     pose = lambda c: F.when(k % 7 != 0, c)
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("track"), k.alias("frame"), seconds.alias("ts"), pose(F.sin(seconds)).alias("px"), pose(F.cos(seconds)).alias("py"), pose(F.col("value") / 100).alias("yaw"), (k % 3 == 0).alias("is_target")
+        F.col("user_id").alias("track"), k.alias("frame"), seconds.alias("ts"), pose(F.sin(seconds)).alias("px"), pose(F.cos(seconds)).alias("py"), pose(F.col("value") / 100).alias("yaw"), (k % 3 == 0).alias("is_target"),
+        (F.col("value") / 1000).alias("z_ground"),
     )
 
 
-_TRACKED = ["track", "frame", "lifecycle", "fsm_state", "accepted", *("x", "y", "yaw", "health")]
+_TRACKED = ["track", "frame", "lifecycle", "fsm_state", "accepted"]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if c in ("x", "y", "yaw", "health") else F.col(c) for c in _TRACKED])
+    return df.select(*_TRACKED, *[(F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "yaw", "health")], (F.round("nis", 4) + 0.0).alias("nis"))
 
 
-@query(name="track_batch")
+@query(track_sql(), name="track_batch")
 def tracked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(track_batch(_fits(spark, sf_dir)))
 
 
-@query(name="track_stream")
+@query(track_sql(), name="track_stream")
 def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the same rows, run to its end into a table."""
     folder = shared_dir(spark, "track-stream")
@@ -171,18 +173,42 @@ def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.read.parquet(f"{folder}/out"))
 
 
-@query()
+def _buffer_sql() -> str:
+    """The points of each frame behind its own two those of its last frames; over the cap, one point a voxel."""
+    moved = "cos(-0.2 * tau) * px - sin(-0.2 * tau) * py - 0.1 * tau AS x, sin(-0.2 * tau) * px + cos(-0.2 * tau) * py AS y, z, intensity"
+    corner = ", ".join(f"min({c}) OVER (PARTITION BY track, frame) AS l{c}" for c in "xyz")
+    cell = ", ".join(f"CASE WHEN size > {WIDE.buffer_cap} THEN CAST(floor(({c} - l{c}) / {WIDE.buffer_voxel}) AS BIGINT) ELSE {'i' if c == 'x' else 0} END AS c{c}" for c in "xyz")
+    return f"""WITH {FITS}, b AS (SELECT track, frame, ts, zx, zy, row_number() OVER (PARTITION BY track ORDER BY ts, frame) AS n FROM rows WHERE zx IS NOT NULL),
+    p AS (SELECT track, frame, ts, n, k, zx + k * 0.1::DOUBLE AS px, zy AS py, 0.2::DOUBLE + k * 0.1::DOUBLE AS z, 100.0::DOUBLE + frame % 5 + k AS intensity FROM b, range(2) t(k)),
+    h AS (SELECT b.track, b.frame, b.ts, (p.n - b.n + {WIDE.buffer_window}) * 2 + p.k AS i, b.ts - p.ts AS tau, px, py, z, intensity FROM b JOIN p ON p.track = b.track AND p.n BETWEEN b.n - {WIDE.buffer_window - 1} AND b.n - 1 WHERE b.ts - p.ts > 1e-4 AND b.ts - p.ts <= 1.0),
+    cloud AS (SELECT track, frame, k AS i, px AS x, py AS y, z, intensity FROM p UNION ALL SELECT track, frame, i, {moved} FROM h),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY track, frame) AS size, {corner} FROM cloud), cells AS (SELECT *, {cell} FROM sized)
+    SELECT track, frame, round(avg(x), 5) + 0.0 AS x, round(avg(y), 5) + 0.0 AS y, round(arg_min(intensity, i), 2) AS intensity FROM cells GROUP BY track, frame, cx, cy, cz"""
+
+
+@query(_buffer_sql())
 def motion_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _fits(spark, sf_dir).filter("px IS NOT NULL")
-    point = lambda d: F.struct((F.col("px") + d).alias("x"), F.col("py").alias("y"), F.lit(0.2 + d).alias("z"), F.lit(100.0).alias("intensity"))
+    point = lambda d: F.struct((F.col("px") + d).alias("x"), F.col("py").alias("y"), (F.lit(0.2) + F.lit(d)).alias("z"), (F.lit(100.0) + F.col("frame") % 5 + int(d > 0)).alias("intensity"))
     frames = rows.select("track", "frame", "ts", F.lit(0.1).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.2).alias("omega"), F.array(point(0.0), point(0.1)).alias("points"))
-    return accumulate(frames, WIDE).select("track", "frame", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("intensity", 2).alias("intensity"))
+    return accumulate(frames, WIDE).select("track", "frame", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"), F.round("intensity", 2).alias("intensity"))
 
 
-@query()
+def _ransac_sql(threshold: float, rounds: int, seed: int = 42) -> str:
+    draws = ", ".join(f"s{k} AS (SELECT point_id, row_number() OVER (ORDER BY CAST('0x' || substr(md5(point_id || ',{seed},{k}'), 1, 15) AS BIGINT), point_id) AS hypothesis FROM pts)" for k in range(3))
+    return f"""WITH {PTS}, {draws}, t AS (SELECT hypothesis, s0.point_id AS a, s1.point_id AS b, s2.point_id AS c FROM s0 JOIN s1 USING (hypothesis) JOIN s2 USING (hypothesis) WHERE hypothesis <= {rounds} AND s0.point_id <> s1.point_id AND s1.point_id <> s2.point_id AND s0.point_id <> s2.point_id),
+    v AS (SELECT hypothesis, p.x AS ax, p.y AS ay, p.z AS az, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz FROM t JOIN pts p ON p.point_id = a JOIN pts q ON q.point_id = b JOIN pts r ON r.point_id = c),
+    m AS (SELECT *, uy * vz - uz * vy AS rx, uz * vx - ux * vz AS ry, ux * vy - uy * vx AS rz FROM v),
+    k AS (SELECT *, CASE WHEN rz < 0 THEN -1.0 ELSE 1.0 END / sqrt(rx * rx + ry * ry + rz * rz) AS k FROM m WHERE rx * rx + ry * ry + rz * rz > 1e-24),
+    planes AS (SELECT hypothesis, rx * k AS nx, ry * k AS ny, rz * k AS nz, -(rx * k * ax + ry * k * ay + rz * k * az) AS d FROM k),
+    counted AS (SELECT *, (SELECT count(*) FROM pts WHERE abs(nx * x + ny * y + nz * z + d) < {threshold}) AS inliers FROM planes)
+    SELECT round(nx, 6) + 0.0 AS nx, round(ny, 6) + 0.0 AS ny, round(nz, 6) + 0.0 AS nz, round(d, 6) + 0.0 AS d, inliers FROM counted ORDER BY inliers DESC, hypothesis LIMIT 1"""
+
+
+@query(_ransac_sql(0.08, 100))
 def ransac_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.ransac_plane(pts(spark, sf_dir), 0.08, 100)
-    return found.select(*[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")], "inliers")
+    return found.select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("nx", "ny", "nz", "d")], "inliers")
 
 
 @query(ORACLES["dbscan"])

@@ -89,4 +89,4 @@ def online_tracking(frames: DataFrame, points: DataFrame, shells: DataFrame, sur
     fits = register_clusters(online_candidates(points, shells, z_ground, config), surface, config=config)
     best = A.best_by(fits, ["frame_id"], "score", "cluster", ["px", "py", "yaw", "is_target"])
     rows = frames.join(best, frames["frame"] == best["frame_id"], "left")
-    return track_batch(rows.select("track", "frame", "ts", "px", "py", "yaw", F.coalesce("is_target", F.lit(False)).alias("is_target")), config)
+    return track_batch(rows.select("track", "frame", "ts", "px", "py", "yaw", F.coalesce("is_target", F.lit(False)).alias("is_target"), F.lit(float(z_ground)).alias("z_ground")), config)

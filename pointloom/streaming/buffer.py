@@ -16,12 +16,12 @@ from pointloom.config import DEFAULT, Config
 
 
 def accumulate(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0) -> DataFrame:
-    """Per frame (track, frame, ts seconds, vx, vy, omega, points array<struct x, y, z, intensity>) its points and
-    those of its past frames, moved by the frame's velocity.
+    """Per frame (track, frame, ts seconds, vx, vy, omega, points array<struct x, y, z, intensity>) its points and, behind
+    them, those of its past frames from the oldest on, moved by the frame's velocity.
 
     A frame of at least buffer_trigger points stays alone. Past frames are those among the last
     buffer_window non-empty ones whose age lies in (1e-4, reach_s]. Over buffer_cap points,
-    one point a voxel stays: its mean place and its first intensity.
+    one point a voxel stays, counted from the cloud's least corner: its mean place and its first intensity.
     """
     full = frames.filter(F.size("points") > 0)
     w = W.partitionBy("track").orderBy("ts", "frame").rowsBetween(1 - config.buffer_window, -1)
@@ -34,11 +34,13 @@ def accumulate(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0
         return F.transform(p["points"], lambda q: F.struct((c * q["x"] - s * q["y"] - F.col("vx") * tau).alias("x"), (s * q["x"] + c * q["y"] - F.col("vy") * tau).alias("y"), q["z"].alias("z"), q["intensity"].alias("intensity")))
 
     own = F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["intensity"].alias("intensity")))
-    with_past = F.when(F.size("points") >= config.buffer_trigger, own).otherwise(F.concat(F.flatten(F.transform("past", moved)), own))
-    rows = full.withColumn("past", kept).withColumn("cloud", with_past).select("track", "frame", "ts", F.size("cloud").alias("n"), F.posexplode("cloud").alias("i", "q"))
-    rows = rows.select("track", "frame", "ts", "n", "i", "q.x", "q.y", "q.z", "q.intensity")
+    with_past = F.when(F.size("points") >= config.buffer_trigger, own).otherwise(F.concat(own, F.flatten(F.transform("past", moved))))
+    clouds = full.withColumn("past", kept).withColumn("cloud", with_past)
+    low = lambda c: F.array_min(F.transform("cloud", lambda q: q[c])).alias(f"l{c}")
+    rows = clouds.select("track", "frame", "ts", F.size("cloud").alias("n"), *map(low, "xyz"), F.posexplode("cloud").alias("i", "q"))
+    rows = rows.select("track", "frame", "ts", "n", "i", "lx", "ly", "lz", "q.x", "q.y", "q.z", "q.intensity")
     v = config.buffer_voxel
-    key = [F.when(F.col("n") > config.buffer_cap, F.floor(F.col(c) / v)).otherwise(F.col("i") if c == "x" else 0).alias(f"v{c}") for c in "xyz"]
+    key = [F.when(F.col("n") > config.buffer_cap, F.floor((F.col(c) - F.col(f"l{c}")) / v)).otherwise(F.col("i") if c == "x" else 0).alias(f"v{c}") for c in "xyz"]
     cells = rows.select("*", *key).groupBy("track", "frame", "ts", "vx", "vy", "vz")
     return cells.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.min_by("intensity", "i").alias("intensity")).select("track", "frame", "ts", "x", "y", "z", "intensity")
 
@@ -48,20 +50,19 @@ _FRAME_OUT = "track long, frame long, ts double, x double, y double, z double, i
 
 def _cloud(frame, past: list, config: Config, reach_s: float) -> list[tuple[float, float, float, float]]:
     """One frame's accumulated points, as `accumulate` gives them."""
-    own = [(p["x"], p["y"], p["z"], p["intensity"]) for p in frame.points]
-    rows = []
-    if len(own) < config.buffer_trigger:
+    rows = [(p["x"], p["y"], p["z"], p["intensity"]) for p in frame.points]
+    if len(rows) < config.buffer_trigger:
         for ts, points in past:
             tau = frame.ts - ts
             if 1e-4 < tau <= reach_s:
                 c, s = math.cos(-frame.omega * tau), math.sin(-frame.omega * tau)
                 rows += [(c * x - s * y - frame.vx * tau, s * x + c * y - frame.vy * tau, z, i) for x, y, z, i in points]
-    rows += own
     if len(rows) <= config.buffer_cap:
         return rows
+    low = [min(r[k] for r in rows) for k in range(3)]
     cells: dict[tuple[int, int, int], list] = {}
     for r in rows:
-        cells.setdefault(tuple(math.floor(v / config.buffer_voxel) for v in r[:3]), []).append(r)
+        cells.setdefault(tuple(math.floor((v - m) / config.buffer_voxel) for v, m in zip(r[:3], low, strict=True)), []).append(r)
     return [(*(sum(r[k] for r in cell) / len(cell) for k in range(3)), cell[0][3]) for cell in cells.values()]
 
 

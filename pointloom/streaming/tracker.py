@@ -2,7 +2,8 @@
 
 The same `step` runs in a batch fold per track and in a stateful stream, so both
 give the same rows. All times are event times. Every row is one frame of a track: the pose of its
-best fit and whether that is the target, or nulls where nothing was fitted.
+best fit and whether that is the target, or nulls where nothing was fitted. The body's middle is HALF_HEIGHT above the
+ground, which a column z_ground gives (0 without it).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pointloom.config import DEFAULT, Config
@@ -126,17 +128,22 @@ def _run(track: int, t: Track, rows: pd.DataFrame, config: Config) -> pd.DataFra
     for r in rows.sort_values(["ts", "frame"]).itertuples():
         z = None if pd.isna(r.px) else (r.px, r.py, r.yaw)
         accepted, nis = step(t, r.ts, z, z is not None and bool(r.is_target), config)
-        out.append((track, r.frame, r.ts, t.x[0], t.x[1], HALF_HEIGHT, t.x[2], *t.x[3:], t.health, t.lifecycle, STATE_NUMBER[t.lifecycle], t.still, accepted, nis))
+        out.append((track, r.frame, r.ts, t.x[0], t.x[1], r.z_ground + HALF_HEIGHT, t.x[2], *t.x[3:], t.health, t.lifecycle, STATE_NUMBER[t.lifecycle], t.still, accepted, nis))
     return pd.DataFrame(out, columns=_COLUMNS).astype({"nis": float})
 
 
+def _inputs(fits: DataFrame) -> DataFrame:
+    ground = F.coalesce(F.col("z_ground").cast("double"), F.lit(0.0)) if "z_ground" in fits.columns else F.lit(0.0)
+    return fits.select("track", "frame", "ts", "px", "py", "yaw", "is_target", ground.alias("z_ground"))
+
+
 def track_batch(fits: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Fold the frames (track, frame, ts seconds, px, py, yaw, is_target) of each track in event order."""
+    """Fold the frames (track, frame, ts seconds, px, py, yaw, is_target, z_ground if known) of each track in event order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _run(int(pdf["track"].iloc[0]), Track(), pdf, config)
 
-    return fits.select("track", "frame", "ts", "px", "py", "yaw", "is_target").groupBy("track").applyInPandas(run, OUTPUT)
+    return _inputs(fits).groupBy("track").applyInPandas(run, OUTPUT)
 
 
 def track_stream(fits: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -152,5 +159,4 @@ def track_stream(fits: DataFrame, config: Config = DEFAULT) -> DataFrame:
         state.update((t.to_json(),))
         yield out
 
-    rows = fits.select("track", "frame", "ts", "px", "py", "yaw", "is_target")
-    return rows.groupBy("track").applyInPandasWithState(run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return _inputs(fits).groupBy("track").applyInPandasWithState(run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
