@@ -9,9 +9,11 @@ whatever longer run repeats, these runs in it repeat too and cover it. Runs are
 counted over all documents; of each repeated run the first document, by doc_id, keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
 
-Rows are numbered and their runs written to the shared folder once, one row of arrays a text. Counting combines in
+Rows are numbered and their runs written to the shared folder once, one row a text with an array for each of SLICES
+equal ranges of the hash. Ranges are counted and joined one after the other, and each one's shuffles are freed before
+the next, so the runs on disk at once are a SLICES-th of all, however many there are. Counting combines in
 every task before the shuffle, and runs that many documents share are joined by broadcast of at most a thousand hot
-runs, so a passage in a third of all documents makes no hot task.
+runs a range, so a passage in a third of all documents makes no hot task.
 
 Defined cases: null, empty and short texts have no runs; repeats inside a text are removed
 behind their first occurrence; rows with equal doc_ids are one document, each of whose texts is cut by itself (none of them is
@@ -21,6 +23,7 @@ input columns are ignored or, where rows are returned, kept. Offsets count code
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -38,7 +41,9 @@ RUN, WORDS = 3, 20
 LONG, WINDOW, GRAM = 12, 12, 3  # words of a long sentence (WINDOW at least); one word in any WINDOW of it ends a part; words hashed for that
 _END = re.compile(r"[.!?…][^\w\s]*$")
 _LAST = (1 << 63) - 1
-_RUNS = "at long, doc_id long, runs array<struct<run: long, check: int, first: int, last: int, again: boolean>>"
+SLICES = 4  # ranges of run hashes, joined one after the other; a power of two
+_RUN = ["run", "check", "first", "last", "again"]
+_RUNS = "at long, doc_id long, " + ", ".join(f"runs{k} array<struct<run: long, check: int, first: int, last: int, again: boolean>>" for k in range(SLICES))
 _MEMO_WORDS = 300_000
 _SPACES = np.array([chr(i).isspace() for i in range(0x3001)])
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -132,7 +137,7 @@ def runs(text: str, least_run: int = RUN, least_words: int = WORDS) -> tuple[np.
 
 
 def run_table(rows: DataFrame) -> DataFrame:
-    """at, doc_id and the runs of each row (at, doc_id, text); `again` marks repeats inside the text."""
+    """at, doc_id and the runs of each row (at, doc_id, text) by slice; `again` marks repeats inside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
@@ -141,10 +146,18 @@ def run_table(rows: DataFrame) -> DataFrame:
                 a, b, first, last = runs(text or "")
                 again = np.ones(len(a), bool)
                 again[np.unique(a, return_index=True)[1]] = False
-                parts.append((a.view(np.int64), (b >> np.uint64(33)).astype(np.int32), first, last, again))
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["run", "check", "first", "last", "again"])
-            offsets = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["at", "doc_id", "runs"])
+                parts.append((a, (b >> np.uint64(33)).astype(np.int32), first, last, again))
+            n = len(parts)
+            row = np.repeat(np.arange(n), [len(p[0]) for p in parts])
+            a, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+            slices = a // np.uint64((1 << 64) // SLICES)
+            lists = []
+            for k in range(SLICES):
+                of = slices == k
+                values = pa.StructArray.from_arrays([pa.array(c[of]) for c in (a.view(np.int64), *rest)], _RUN)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[of], minlength=n))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), values))
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("doc_id"), *lists], names=["at", "doc_id", *[f"runs{k}" for k in range(SLICES)]])
 
     return rows.select("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _RUNS)
 
@@ -159,20 +172,31 @@ def _with_first(found: DataFrame, groups: DataFrame, hot_runs: int = 1000) -> Da
     return met.withColumn("first_doc_id", F.coalesce("hot_first", "cold_first")).filter("first_doc_id IS NOT NULL")
 
 
-def _repeated(tables: DataFrame, folder: str) -> DataFrame:
+def _repeated(found: DataFrame) -> DataFrame:
     """The runs that occur more than once: run, check, first_doc_id, times."""
-    counted = tables.select("doc_id", F.explode("runs").alias("r")).groupBy("r.run", "r.check")
-    counts = counted.agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    return written(counts, f"{folder}/repeated")
+    return found.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
+def _covered(rows: DataFrame, folder: str) -> DataFrame:
+    """The runs to remove, of all slices: at, doc_id, first, last, first_doc_id; the table of all runs is deleted."""
+    spark, out = rows.sparkSession, []
+    tables = written(run_table(rows), f"{folder}/runs", compression="zstd")
+    for k in range(SLICES):
+        found = tables.select("at", "doc_id", F.explode(f"runs{k}").alias("r")).select("at", "doc_id", "r.*")
+        groups = written(_repeated(found), f"{folder}/repeated-{k}")
+        free_shuffles(spark)  # those of the counting, before the runs are dealt again
+        removed = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("at", "doc_id", "first", "last", "first_doc_id")
+        out.append(written(removed, f"{folder}/covered-{k}", compression="zstd"))
+        discard(spark, f"{folder}/repeated-{k}")
+        del found, groups, removed
+        free_shuffles(spark)
+    discard(spark, f"{folder}/runs")
+    return functools.reduce(DataFrame.union, out)
 
 
 def _passages(rows: DataFrame, folder: str) -> DataFrame:
     """Per passage to remove from a row (at, doc_id, text): at, doc_id, start, end, first_doc_id."""
-    tables = written(run_table(rows), f"{folder}/runs", compression="zstd")
-    groups = _repeated(tables, folder)
-    free_shuffles(rows.sparkSession)  # those of the counting, before all runs are dealt again
-    found = tables.select("at", "doc_id", F.explode("runs").alias("r")).select("at", "doc_id", "r.*")
-    covered = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("at", "doc_id", "first", "last", "first_doc_id")
+    covered = _covered(rows, folder)
     order = W.partitionBy("at").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
     starts = covered.withColumn("opens", F.coalesce((F.col("first") > reached).cast("int"), F.lit(1)))
@@ -189,11 +213,11 @@ def _numbered(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def _cuts(rows: DataFrame, folder: str) -> DataFrame:
-    """at and the sorted cuts of the rows with repeated passages; the runs are deleted."""
+    """at and the sorted cuts of the rows with repeated passages; the tables of runs are deleted."""
     passages = _passages(rows.select("at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), folder)
     cuts = passages.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id"))).alias("cuts"))
     cuts = written(cuts, f"{folder}/cuts")
-    discard(rows.sparkSession, f"{folder}/runs", f"{folder}/repeated")
+    discard(rows.sparkSession, *[f"{folder}/covered-{k}" for k in range(SLICES)])
     return cuts
 
 
