@@ -16,21 +16,23 @@ def share_pct(condition: Column) -> Column:
     return F.avg(condition.cast("double")) * 100
 
 
-def latency_report(metrics: DataFrame, by: str, limit_ms: float = 100.0) -> DataFrame:
+def latency_report(metrics: DataFrame, by: str | list[str], limit_ms: float = 100.0, digits: int = 4) -> DataFrame:
     """Frames, mean, exact percentiles and share of frames within the limit."""
-    t = "latency_total_ms"
-    p = [F.round(F.percentile(t, q), 4).alias(f"latency_p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return metrics.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg(t), 4).alias("latency_mean"), *p, F.round(share_pct(F.col(t) <= limit_ms), 4).alias("real_time_pct"))
+    t, r = "latency_total_ms", lambda c: F.round(c, digits)
+    p = [r(F.percentile(t, q)).alias(f"latency_p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
+    return metrics.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), r(F.avg(t)).alias("latency_mean"), *p, r(share_pct(F.col(t) <= limit_ms)).alias("real_time_pct"))
 
 
-def nis_report(metrics: DataFrame, by: str, limit: float) -> DataFrame:
+def nis_report(metrics: DataFrame, by: str | list[str], limit: float, digits: int = 4) -> DataFrame:
     """Mean and 95th percentile of the normalised innovation, and the share within the chi-square limit."""
-    return metrics.groupBy(by).agg(F.round(F.avg("nis"), 4).alias("nis_mean"), F.round(F.percentile("nis", 0.95), 4).alias("nis_p95"), F.round(share_pct(F.col("nis") <= limit), 4).alias("consistent_pct"))
+    r = lambda c: F.round(c, digits)
+    return metrics.groupBy(by).agg(r(F.avg("nis")).alias("nis_mean"), r(F.percentile("nis", 0.95)).alias("nis_p95"), r(share_pct(F.col("nis") <= limit)).alias("consistent_pct"))
 
 
-def fsm_report(metrics: DataFrame, by: str) -> DataFrame:
+def fsm_report(metrics: DataFrame, by: str | list[str], digits: int = 4) -> DataFrame:
     """Shares of frames in the active (2) and coasting (3) states."""
-    return metrics.groupBy(by).agg(F.round(share_pct(F.col("fsm_state") == 2), 4).alias("active_pct"), F.round(share_pct(F.col("fsm_state") == 3), 4).alias("coasting_pct"))
+    r = lambda c: F.round(c, digits)
+    return metrics.groupBy(by).agg(r(share_pct(F.col("fsm_state") == 2)).alias("active_pct"), r(share_pct(F.col("fsm_state") == 3)).alias("coasting_pct"))
 
 
 def bag_summary(metrics: DataFrame, tracks: DataFrame, by: str, order: Sequence[str]) -> DataFrame:

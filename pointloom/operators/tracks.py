@@ -16,7 +16,7 @@ def polyline(rows: DataFrame, by: str, order: Sequence[str], ends: dict[str, str
     return out.filter(F.col(next(iter(ends.values()))).isNotNull())
 
 
-def path_length(rows: DataFrame, by: str, order: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+def path_length(rows: DataFrame, by: str | list[str], order: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Length of each track's path in the plane; 0 for a single row."""
     w = W.partitionBy(by).orderBy(*order)
     dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
@@ -59,12 +59,12 @@ def clamped_fold(rows: DataFrame, by: str, order: Sequence[str], delta: Column,
     return rows.groupBy(by).agg(folded.alias("health"), F.count(F.lit(1)).alias("rows"))
 
 
-def sessions(rows: DataFrame, by: str, order: Sequence[str], seconds: Column, gap_s: float) -> DataFrame:
+def sessions(rows: DataFrame, by: str | list[str], order: Sequence[str], seconds: Column, gap_s: float) -> DataFrame:
     """Runs of rows with no gap over gap_s: session number, rows, first and last second."""
     w = W.partitionBy(by).orderBy(*order)
     opens = F.coalesce((seconds - F.lag(seconds).over(w) > gap_s).cast("int"), F.lit(1))
     numbered = rows.withColumn("at", seconds).withColumn("opens", opens).withColumn("session", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "session").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first_s"), F.max("at").alias("last_s"))
+    return numbered.groupBy(*([by] if isinstance(by, str) else by), "session").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("first_s"), F.max("at").alias("last_s"))
 
 
 def widest_gap(values: DataFrame, by: str, column: str, bins: float, least_gap: float, low: float = 0.15, high: float = 0.85) -> DataFrame:
