@@ -13,13 +13,20 @@ P = ["x", "y", "z"]
 
 
 class _Groups:
-    """Disjoint sets with additive moments."""
+    """Disjoint sets with additive moments.
+
+    A point's covariance is START of the identity; a merge takes the mean of both parts' by size, and adds GROWTH of it.
+    """
+
+    START, GROWTH, LEAST = 1e-6, 1e-8, 1e-12  # LEAST: of a determinant
 
     def __init__(self, points: np.ndarray):
         self.parent = list(range(len(points)))
         self.n = np.ones(len(points))
         self.s = points.copy()
         self.q = points[:, :, None] * points[:, None, :]
+        self.ridge = np.full(len(points), self.START)
+        self.v = np.full(len(points), max(self.START**3, self.LEAST) ** 0.5)
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -27,18 +34,20 @@ class _Groups:
             i = self.parent[i]
         return i
 
-    def volume(self, *ids: int) -> float:
-        n, s, q = (sum(x[i] for i in ids) for x in (self.n, self.s, self.q))
-        if n == 1:
-            return 1e-9
-        m = s / n
-        return float(np.sqrt(max(np.linalg.det(q / n - np.outer(m, m) + 1e-8 * np.eye(3)), 1e-12)))
+    def merged(self, i: int, j: int) -> tuple[float, float]:
+        """Ridge and volume of two groups as one."""
+        n = self.n[i] + self.n[j]
+        ridge = (self.n[i] * self.ridge[i] + self.n[j] * self.ridge[j]) / n + self.GROWTH
+        m = (self.s[i] + self.s[j]) / n
+        c = (self.q[i] + self.q[j]) / n - np.outer(m, m) + ridge * np.eye(3)
+        return ridge, max(float(np.linalg.det(c)), self.LEAST) ** 0.5
 
     def cost(self, i: int, j: int) -> float:
-        return self.volume(i, j) - self.volume(i) - self.volume(j)
+        return float(self.merged(i, j)[1] - self.v[i] - self.v[j])
 
     def join(self, i: int, j: int) -> int:
         i, j = min(i, j), max(i, j)
+        self.ridge[i], self.v[i] = self.merged(i, j)
         self.parent[j] = i
         self.n[i] += self.n[j]
         self.s[i] += self.s[j]

@@ -20,8 +20,8 @@ def _local_base() -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, as a URI.
 
-    Where the setting is absent, a local session (as in tests) gets a temporary
-    folder; on a cluster that is an error, since executors could not see it.
+    A setting without a scheme lies on the session's default file system. Where it is absent, a local session
+    (as in tests) gets a temporary folder; on a cluster that is an error, since executors could not see it.
     """
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
@@ -29,9 +29,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         master = conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base()
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
+        base = f"file://{_local_base()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
