@@ -1,8 +1,8 @@
 """Near-duplicates by banded MinHash with sequential Bayesian verification.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes; WORDS words unless told otherwise), a
-   digest of that set, and a signature of BANDS * ROWS minima. Documents with one digest
-   are one class; its smallest doc_id stands for it from here on.
+   digest of that set, and a signature of BANDS * ROWS minima. Rows are numbered, and written so that the number stays;
+   those with one digest are one class, for which its first row stands from here on.
 2. Classes that share a band's minima are candidates. At similarity 0.8 a pair shares no
    band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-6.
 3. In each bucket all members are first compared with its smallest member. Signatures
@@ -12,7 +12,8 @@
    BLOCK of its pairs and hashed once there. Links give components.
 4. In buckets that still hold several components, all pairs across components
    are compared the same way: those of small buckets as rows; large buckets are
-   dealt in blocks of members outside the largest component against blocks of all members, and
+   dealt in blocks, of bounded weight of text, of members outside the largest component against blocks of all members.
+   Blocks are pruned by signatures alone; texts are fetched only for members that stand in a surviving pair, and
    only links leave a block. A pair is compared in the first band it shares.
    Pairs within a component need no comparison, as they cannot change the result.
 
@@ -22,8 +23,9 @@ are joined by broadcast of one row a key (`join_groups`), so hot band keys and h
 Tables with texts and signatures are deleted from the shared folder once the result is written there.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; one
-word is a set of one; repeated rows and equal texts are one class; doc_id names a document,
-so rows that share it are one node; a null doc_id joins its class without a name of its own; an empty table gives no rows; other input columns are ignored.
+word is a set of one; repeated rows and equal texts are one class; every row is a document of its own, also where
+doc_ids repeat or are null: a component has the smallest doc_id in it, and where all are null component_id is null and
+the first row is kept; a very long text counts as several members of a block; an empty table gives no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ BATCH = 40  # minima compared before each look at the posterior
 SMALL_BUCKET = 24
 BLOCK = 256
 
-_FEATURES = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
+_FEATURES = "at long, doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
+HEAVY = 2048  # shingles of a text that counts as one more member when blocks are dealt
 
 
 def min_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -88,8 +91,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, digest, sig (the low byte of each minimum), bands."""
+def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """at, doc_id, n_shingles, digest, sig (the low byte of each minimum), bands of rows (at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
@@ -97,15 +100,16 @@ def features(docs: DataFrame, words: int = WORDS) -> DataFrame:
             sigs = [signature(s, BANDS * ROWS) for s in sets]
             full = [len(s) > 0 for s in sets]
             columns = [
+                batch.column("at"),
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) for s in sets], pa.binary()),
                 pa.array([g.astype(np.uint8).tobytes() if f else None for g, f in zip(sigs, full, strict=True)], pa.binary()),
                 pa.array([band_keys(g) if f else [] for g, f in zip(sigs, full, strict=True)], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "n_shingles", "digest", "sig", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES)
+    return rows.select("at", "doc_id", "text").mapInArrow(run, _FEATURES)
 
 
 def bucket_members(reps: DataFrame, folder: str) -> DataFrame:
@@ -153,50 +157,59 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, mi
     return ordered.mapInArrow(lambda batches: _exact_links(batches, percent, words), "a long, b long")
 
 
+def _block_pairs(table: pa.Table, percent: int, miss: float) -> list[tuple[int, np.ndarray]]:
+    """For each outsider of a block pair the members of other components that its signature doesn't rule out, likest first."""
+    outsider = table.column("outsider").to_numpy(zero_copy_only=False).astype(bool)
+    out, own = np.flatnonzero(outsider), np.flatnonzero(~outsider)
+    if not len(out) or not len(own):
+        return []
+    n, band = table.num_rows, table.column("band")[0].as_py()
+    rep, comp = (table.column(c).to_numpy() for c in ("rep", "component"))
+    outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    todo = []
+    for i in out.tolist():
+        # Pairs of two outsiders come up twice in a bucket; an earlier shared band has compared the pair already.
+        others = own[(comp[own] != comp[i]) & ~(outside[own] & (rep[own] <= rep[i]))]
+        others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)] if band else others
+        others = others[survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], percent, miss)]
+        if len(others):
+            todo.append((i, others[np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")]))
+    return todo
+
+
+def _block_survivors(table: pa.Table, percent: int, miss: float) -> pa.Table:
+    """The rows of a block pair that stand in any pair left to compare."""
+    needed = sorted({x for i, others in _block_pairs(table, percent, miss) for x in (i, *others.tolist())})
+    return table.take(pa.array(needed, pa.int64()))
+
+
 def _block_links(table: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
     """Links across components between the outsiders and the members of one block pair."""
-    rows = table.to_pydict()
+    rep, comp, texts = (table.column(c).to_pylist() for c in ("rep", "component", "text"))
+    names = {c: c for c in set(comp)}
+
+    def root(c: int) -> int:
+        while names[c] != c:
+            c = names[c]
+        return c
+
+    sets = shingle_sets(texts, words)
     found: list[tuple[int, int]] = []
-    out = [i for i, o in enumerate(rows["outsider"]) if o]
-    own = [i for i, o in enumerate(rows["outsider"]) if not o]
-    if out and own:
-        n = len(rows["rep"])
-        rep, comp = np.array(rows["rep"]), np.array(rows["component"])
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(n, -1)
-        bands, band = np.array(rows["bands"]), rows["band"][0]
-        names = {c: c for c in set(rows["component"])}
-
-        def root(c: int) -> int:
-            while names[c] != c:
-                c = names[c]
-            return c
-
-        needed: set[int] = set()
-        todo: list[tuple[int, np.ndarray]] = []
-        own_at = np.array(own)
-        for i in out:
-            others = own_at[comp[own_at] != comp[i]]
-            # Pairs of two outsiders come up twice in a bucket; an earlier shared band has compared the pair already.
-            others = others[~(np.array([rows["outside"][j] for j in others.tolist()], bool) & (rep[others] <= rep[i]))] if len(others) else others
-            others = others[~(bands[others, :band] == bands[i, :band]).any(axis=1)] if len(others) and band else others
-            if len(others):
-                others = others[survivors(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], percent, miss)]
-            if len(others):
-                order = np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")
-                todo.append((i, others[order]))
-                needed.update([i, *others.tolist()])
-        at = sorted(needed)
-        sets = dict(zip(at, shingle_sets([rows["text"][i] for i in at], words), strict=True))
-        for i, others in todo:
-            for j in others.tolist():
-                a, b = root(rows["component"][i]), root(rows["component"][j])
-                if a != b and jaccard_linked(sets[i], sets[j], percent):
-                    names[max(a, b)] = min(a, b)
-                    found.append((rows["rep"][i], rows["rep"][j]))
+    for i, others in _block_pairs(table, percent, miss):
+        for j in others.tolist():
+            a, b = root(comp[i]), root(comp[j])
+            if a != b and jaccard_linked(sets[i], sets[j], percent):
+                names[max(a, b)] = min(a, b)
+                found.append((rep[i], rep[j]))
     a, b = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+_BLOCK_ROW = "key long, band int, rep long, component long, outside boolean, outsider boolean, row int, col int, sig binary, bands array<long>"
+
+
 def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int, folder: str) -> DataFrame:
     """Links between members of one bucket that lie in different components."""
     labelled = members.join(components, members.rep == components.node, "left").select("key", "band", "rep", "size", "center", F.coalesce("component", "rep").alias("component"))
@@ -210,35 +223,41 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
     pairs = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     links = verify(pairs, reps, texts, percent, miss, words, f"{folder}/small")
 
-    large = active.filter(F.col("size") > SMALL_BUCKET)
-    counts = large.groupBy("key", "component").count()
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("times"))
+    # Blocks are dealt by the weight of their texts, first with signatures alone; texts follow for what these leave.
+    large = active.filter(F.col("size") > SMALL_BUCKET).join(reps.select("rep", "weight"), "rep")
+    counts = large.groupBy("key", "component").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("count"))
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("weight", "component")).alias("main"), F.max("weight").alias("most"), F.sum("weight").alias("all"), F.sum("count").alias("times"))
     placed = join_groups(large, written(main, f"{folder}/main"), ["key"], "times").withColumn("outside", F.col("component") != F.col("main"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    outside_blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    outside_blocks = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
     at = F.xxhash64("rep")
     columns = ["key", "band", "rep", "component", "outside", "outsider", "row", "col"]
     outsiders = placed.filter("outside").withColumn("outsider", F.lit(True)).withColumn("row", F.pmod(at, outside_blocks).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), blocks - 1)))
     everyone = placed.withColumn("outsider", F.lit(False)).withColumn("col", F.pmod(at, blocks).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), outside_blocks - 1)))
-    dealt = outsiders.select(*columns).unionByName(everyone.select(*columns))
-    full = dealt.join(reps.select("rep", "sig", "bands"), "rep").join(texts, "rep")
-    in_blocks = full.groupBy("key", "row", "col").applyInArrow(lambda table: _block_links(table, percent, miss, words), "a long, b long")
+    dealt = outsiders.select(*columns).unionByName(everyone.select(*columns)).join(reps.select("rep", "sig", "bands"), "rep")
+    dealt = dealt.select(*[c.split()[0] for c in _BLOCK_ROW.split(", ")])
+    left = written(dealt.groupBy("key", "row", "col").applyInArrow(lambda table: _block_survivors(table, percent, miss), _BLOCK_ROW), f"{folder}/survivors", compression="zstd")
+    in_blocks = left.join(texts, "rep").groupBy("key", "row", "col").applyInArrow(lambda table: _block_links(table, percent, miss, words), "a long, b long")
     return links.unionByName(in_blocks)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, folder: str | None = None) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, folder: str | None = None, row: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept, and row if that column (a number of each row that a second scan gives again) is named."""
     folder = folder or shared_dir(docs.sparkSession, "near-dedup")
     work = f"{folder}/work"
-    feats = written(features(docs, words), f"{work}/features")
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows if row else written(rows, f"{work}/rows", compression="zstd")
+    feats = written(features(rows, words), f"{work}/features")
     full = feats.filter("n_shingles > 0")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")), f"{work}/classes")
-    named = classes.select("digest", F.col("rep")).filter("rep IS NOT NULL")
-    reps = written(full.join(named, (full.doc_id == named.rep) & (full.digest == named.digest), "left_semi").select(F.col("doc_id").alias("rep"), "sig", "bands"), f"{work}/reps")
+    classes = full.groupBy("digest").agg(F.min("at").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
+    classes = written(classes, f"{work}/classes")
+    weight = (1 + F.col("n_shingles") / HEAVY).cast("long").alias("weight")
+    reps = written(full.join(classes.select(F.col("rep").alias("at")), "at", "left_semi").select(F.col("at").alias("rep"), weight, "sig", "bands"), f"{work}/reps")
 
     members = bucket_members(reps, work)
     wanted = members.select("rep").distinct()
-    plain = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").cast("binary").alias("text")).filter("text IS NOT NULL")
+    plain = rows.filter("text IS NOT NULL").select(F.col("at").alias("rep"), F.col("text").cast("binary").alias("text"))
     texts = written(plain.join(wanted, "rep", "left_semi"), f"{work}/texts")
 
     stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
@@ -253,10 +272,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     single = merged.join(components.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("rep"), "root")
     labels = last.unionByName(single)
 
-    groups = classes.join(labels, "rep", "left").select("digest", "class_size", F.coalesce("root", "rep").alias("component_id"))
-    entries = full.select("doc_id", "n_shingles", "digest")
-    linked = join_groups(entries, written(groups, f"{work}/groups"), ["digest"], "class_size").select("doc_id", "n_shingles", "component_id")
-    alone = feats.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    result = written(linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), f"{folder}/result")
+    # A component has the smallest of its doc_ids, and a first row for the case that it has none.
+    groups = written(classes.join(labels, "rep", "left").select("digest", "class_size", "rep", "least", F.coalesce("root", "rep").alias("root")), f"{work}/roots")
+    named = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.min("rep").alias("first"), F.count(F.lit(1)).alias("times"))
+    groups = join_groups(groups.select("digest", "class_size", "root"), written(named, f"{work}/named"), ["root"], "times").select("digest", "class_size", "component_id", "first")
+    entries = full.select("at", "doc_id", "n_shingles", "digest")
+    linked = join_groups(entries, written(groups, f"{work}/groups"), ["digest"], "class_size").select("at", "doc_id", "n_shingles", "component_id", "first")
+    alone = feats.filter("n_shingles = 0").select("at", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("at").alias("first"))
+    kept = F.when(F.col("component_id").isNull(), F.col("at") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = linked.unionByName(alone).withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept", *([F.col("at").alias("row")] if row else []))
+    result = written(found, f"{folder}/result")
     discard(docs.sparkSession, work)
     return result

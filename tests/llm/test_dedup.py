@@ -105,6 +105,78 @@ def test_large_bucket_of_near_copies_and_stragglers(spark):
     assert sum(got[i] != want[i] for i in want) == 0
 
 
+def _plain_sets(texts, words):
+    """Word tuples by the definition, with nothing of the library's."""
+    out = []
+    for t in texts:
+        seq = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(seq[i : i + words]) for i in range(len(seq) - words + 1)} if len(seq) >= words else {tuple(seq)} if seq else set())
+    return out
+
+
+def _plain_components(sets):
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def _expected(rows, words):
+    """Per row (doc_id, n_shingles, component_id, kept); rows are (doc_id, text)."""
+    sets = _plain_sets([t for _, t in rows], words)
+    comp = _plain_components(sets)
+    least, first = {}, {}
+    for i, c in enumerate(comp):
+        ids = [x for x in (least.get(c), rows[i][0]) if x is not None]
+        least[c], first[c] = min(ids, default=None), min(first.get(c, i), i)
+    return [(rows[i][0], len(s), least[c], rows[i][0] == least[c] if least[c] is not None else first[c] == i) for i, (s, c) in enumerate(zip(sets, comp, strict=True))]
+
+
+def test_near_rows_without_ids_keep_their_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, other = " ".join(words), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (None, f"{text} z"), (7, f"{text} y"), (None, other), (None, f"{other} z"), (3, "alone here"), (3, f"{text} x"), (3, "alone here")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 2)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(_expected(rows, 2), key=repr)
+    one = near_dedup.near_duplicates(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, doc_id long, text string"), 2, row="n")
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in sorted(one.collect(), key=lambda r: r.row)] == _expected(rows, 2)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_near_duplicates_by_the_definition_alone(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs, 2).collect())) == sorted(_expected(rows, 2))
+
+
+def test_blocks_are_dealt_by_weight(spark, monkeypatch):
+    """Chains of near copies around one center, in many small blocks: links across components must all be found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HEAVY", 40)
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 6)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for family in range(12):
+        start = list(base)
+        for i in rng.choice(90, int(rng.integers(3, 9)), replace=False):
+            start[i] = f"f{family}-{i}"
+        for k in range(12):
+            words = list(start)
+            for i in rng.choice(90, int(rng.integers(0, 3)), replace=False):
+                words[i] = f"x{family}-{k}-{i}"
+            rows.append((len(rows), " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted(map(tuple, got)) == sorted(_expected(rows, 2))
+
+
 def test_near_awkward(spark):
     got = near_dedup.near_duplicates(awkward(spark), 2).collect()
     assert len(got) == 11

@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -155,7 +156,7 @@ def test_stored_media_of_a_whole_table(spark):
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), flac.feature(p))
     folder = shared_dir(spark, "media-test")
     rows = flac.stored_features(awkward(spark), folder).collect()
-    assert len(rows) == 11 and {p.name.split("-")[0] for p in Path(folder.removeprefix("file://")).iterdir()} == {"features"}
+    assert len(rows) == 11 and {p.name.split("-")[0] for p in Path(urlparse(folder).path).iterdir()} == {"features"}
     assert flac.stored_features(empty(spark)).count() == 0
 
 
