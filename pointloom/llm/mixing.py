@@ -6,25 +6,28 @@ its source's size and the excess is shared again, which is the level at which
 min(cap * size, level * weight) sums to the budget.
 
 A source takes every document floor(target / size) times and, once more, those
-whose hash of doc_id lies below a threshold. The threshold comes from histograms: sizes are summed by
+whose hash of doc_id and text lies below a threshold. The threshold comes from histograms: sizes are summed by
 source and hash bucket, the bucket in which the budget runs out is
 found, and only that bucket is summed again by the next bits, until it holds
-one hash. Nothing is sorted by hash, and smaller budgets take subsets of what
+one hash. Where that hash holds several rows, which are copies with one doc_id, the same is done once more with a hash of their row numbers. Nothing is sorted by hash, and smaller budgets take subsets of what
 larger ones take. Sums combine in every task before the shuffle, so a source
 that holds most rows is no hot key.
 
-Defined cases: null text has size 0; a null source is a source of its own; rows with
-equal doc_ids share a hash and are taken together; equal prefixes go on to finer bits; an empty table gives no rows;
-other input columns are ignored. The last hash is taken if that ends nearer to the target.
+Defined cases: null text has size 0; a null source is a source of its own; rows that share a doc_id, or have none, are told
+apart by their text; of equal rows as many are taken as come nearest to the target, and which of them does not matter, as they
+are equal; equal prefixes go on to finer bits; a very long text is one row that is taken whole or not; an empty table gives no rows;
+other input columns are ignored. The last row is taken if that ends nearer to the target.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import NOT_SPACE, SPACE, shared_dir, text_column, written
+from pointloom.llm.shared import NOT_SPACE, SPACE, discard, shared_dir, text_column, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -37,9 +40,14 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, f"{SPACE}*{NOT_SPACE}+{SPACE}*", "x")) * F.when(F.length(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))) > 0, 1).otherwise(0)
 
 
-def hash_cell(doc_id: Column) -> Column:
-    """A fixed pseudo-random number of HASH_BITS bits for a doc_id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _bits(text: Column) -> Column:
+    """A fixed pseudo-random number of HASH_BITS bits."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hash_cell(doc_id: Column, text: Column) -> Column:
+    """A number of HASH_BITS bits for a doc_id and its text."""
+    return _bits(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -63,52 +71,76 @@ def _with_sources(rows: DataFrame, sources: DataFrame, few: bool, how: str = "in
 
 
 def thresholds(sizes: DataFrame, aims: DataFrame, folder: str, few: bool) -> DataFrame:
-    """source -> the hash below which documents are taken once more.
+    """source, cell, below, rest, rows: the cell at which a source's budget runs out, the sizes under it, what is left of the budget, and the rows of that cell.
 
     sizes: source, size, cell. aims: source, budget. Each round sums only the documents in
-    the bucket where the budget of their source runs out.
+    the bucket where the budget of their source runs out. A source whose budget does not run out has no row.
     """
-    spark = sizes.sparkSession
     state = aims.filter("budget > 0").select("source", "budget", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"))
-    done = spark.createDataFrame([], "source string, threshold long")
+    found = []
     for used in range(0, HASH_BITS, STEP_BITS):
         rest = HASH_BITS - used
         inside = _with_sources(sizes.filter("size > 0"), state, few).filter(F.shiftright("cell", rest) == F.col("bucket"))
         fine = F.shiftright("cell", rest - STEP_BITS).alias("bucket")
-        sums = inside.groupBy("source", "budget", "below", fine).agg(F.sum("size").alias("size"), F.min("cell").alias("first"), F.max("cell").alias("last"))
+        sums = inside.groupBy("source", "budget", "below", fine).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.min("cell").alias("first"), F.max("cell").alias("last"))
         w = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
         crossed = sums.withColumn("upto", F.col("below") + F.sum("size").over(w)).filter("upto >= budget")
-        edge = crossed.groupBy("source").agg(F.min_by(F.struct("budget", "bucket", (F.col("upto") - F.col("size")).alias("below"), "upto", "first", "last"), "bucket").alias("e")).select("source", "e.*")
+        edge = crossed.groupBy("source").agg(F.min_by(F.struct("budget", "bucket", (F.col("upto") - F.col("size")).alias("below"), "upto", "rows", "first", "last"), "bucket").alias("e")).select("source", "e.*")
         edge = written(edge, f"{folder}/edge-{used}")
-        nearer = F.col("upto") - F.col("budget") < F.col("budget") - F.col("below")
         one = edge.filter(F.col("first") == F.col("last"))
-        done = done.unionByName(one.select("source", (F.col("first") + nearer.cast("long")).alias("threshold")))
+        found.append(one.select("source", F.col("first").alias("cell"), "below", "upto", (F.col("budget") - F.col("below")).alias("rest"), "rows"))
         state = edge.filter(F.col("first") != F.col("last")).select("source", "budget", "bucket", "below")
         if state.isEmpty():
             break
-    return done
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearer() -> Column:
+    """Whether taking the cell at the edge ends nearer to the budget than leaving it."""
+    return F.col("upto") - F.col("below") - F.col("rest") < F.col("rest")
+
+
+def _limits(sizes: DataFrame, aims: DataFrame, folder: str, few: bool) -> DataFrame:
+    """source, cell, tie: a source takes its rows below the cell, and those of the cell whose tie lies below the tie."""
+    edges = thresholds(sizes, aims, f"{folder}/cells", few)
+    every = F.lit(1 << HASH_BITS)
+    alone = edges.filter("rows = 1").select("source", "cell", F.when(_nearer(), every).otherwise(0).alias("tie"))
+    tied = written(edges.filter("rows > 1").select("source", "cell", F.col("rest").alias("budget")), f"{folder}/tied")
+    if tied.isEmpty():
+        return alone
+    copies = _with_sources(sizes.withColumnRenamed("cell", "of"), tied, few).filter("of = cell").select("source", "size", F.col("tie").alias("cell"))
+    found = thresholds(copies, tied.select("source", "budget"), f"{folder}/ties", few)
+    last = found.select(F.col("source").alias("in_source"), (F.col("cell") + _nearer().cast("long")).alias("tie"))
+    split = tied.join(last, F.col("source").eqNullSafe(F.col("in_source")), "left").select("source", "cell", F.coalesce("tie", every).alias("tie"))
+    return alone.unionByName(split)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, folder: str | None = None, row: str | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken (words the mix takes), copies, and row if that column is named."""
     folder = folder or shared_dir(docs.sparkSession, "mixing")
     own = [F.col(row).alias("row")] if row else []
-    sizes = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text_column().cast("string")).cast("long").alias("size"))
-    sizes = written(sizes.withColumn("cell", hash_cell(F.col("doc_id"))), f"{folder}/sizes")
+    text = text_column().cast("string")
+    sizes = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).cast("long").alias("size"), hash_cell(F.col("doc_id"), text).alias("cell"))
+    # Row numbers are written with the rows, so that they stay.
+    sizes = written(sizes.withColumn("tie", _bits(F.monotonically_increasing_id().cast("string"))), f"{folder}/sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = written(sources.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), f"{folder}/sources")
     few = sources.count() <= SMALL_SOURCES
-    limits = thresholds(sizes, sources, folder, few)
-    aims = _with_sources(sources, limits, few, "left").select("source", "source_size", "target", "passes", "threshold")
-    copies = F.col("passes") + F.coalesce((F.col("cell") < F.col("threshold")).cast("long"), F.lit(0))
-    return _with_sources(sizes, aims, few).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["row"] if row else []))
+    limits = _limits(sizes, sources, folder, few).select("source", F.col("cell").alias("last_cell"), F.col("tie").alias("last_tie"))
+    aims = _with_sources(sources, limits, few, "left").select("source", "source_size", "target", "passes", "last_cell", "last_tie")
+    once = (F.col("cell") < F.col("last_cell")) | ((F.col("cell") == F.col("last_cell")) & (F.col("tie") < F.col("last_tie")))
+    copies = F.col("passes") + F.coalesce(once.cast("long"), F.lit(0))
+    found = _with_sources(sizes, aims, few).withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["row"] if row else []))
+    result = written(found, f"{folder}/result")
+    discard(docs.sparkSession, *[f"{folder}/{name}" for name in ("sizes", "sources", "cells", "ties", "tied")])
+    return result
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS cell
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS cell
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS most,
