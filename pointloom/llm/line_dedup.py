@@ -38,16 +38,20 @@ def line_key(line: Column) -> Column:
 
 
 def _numbered(docs: DataFrame, folder: str) -> DataFrame:
-    """`at`, `row` (all columns of docs) and `lines`, written so that the number stays with the row."""
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-    rows = docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), lines.alias("lines"))
-    return written(rows, f"{folder}/rows", compression="zstd")
+    """`at`, `text` and `row` (all other columns of docs), written so that the number stays with the row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return written(docs.select(F.monotonically_increasing_id().alias("at"), F.col("text").cast("string").alias("text"), row.alias("row")), f"{folder}/rows", compression="zstd")
+
+
+def _lines() -> Column:
+    """The lines of a text; null is one empty line."""
+    return F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
 
 def line_hashes(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """at, doc, pos, h1, h2 of every line whose key has at least min_chars code points."""
     doc = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
-    lines = rows.select("at", doc, F.posexplode("lines").alias("pos", "line"))
+    lines = rows.select("at", doc, F.posexplode(_lines()).alias("pos", "line"))
     keys = lines.select("at", "doc", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
     return keys.select("at", "doc", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -65,9 +69,10 @@ def dropped_lines(rows: DataFrame, folder: str, min_chars: int = MIN_CHARS, min_
 
 
 def _kept(docs: DataFrame, folder: str, min_chars: int, min_docs: int) -> DataFrame:
-    """row, lines, n_dropped and kept: the text that is left."""
+    """row, null (no text), lines, n_dropped and kept: the text that is left."""
     rows = _numbered(docs, folder)
     drops = written(dropped_lines(rows, folder, min_chars, min_docs), f"{folder}/drops")
+    discard(docs.sparkSession, *[f"{folder}/{name}" for name in ("hashes", "many", "candidates", "frequent")])
     n = F.size("lines")
     # The runs of lines between two dropped ones; each line is copied once.
     starts = F.concat(F.array(F.lit(0)), F.transform("drops", lambda d: d + 1))
@@ -75,13 +80,15 @@ def _kept(docs: DataFrame, folder: str, min_chars: int, min_docs: int) -> DataFr
     runs = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("lines", a + 1, b - a)))
     # A row that loses all its lines joins none, which is the empty text.
     kept = F.array_join(F.when(F.col("drops").isNull(), F.col("lines")).otherwise(runs), "\n")
-    return rows.join(drops, "at", "left").select("row", "lines", F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"), kept.alias("kept"))
+    # The table of drops grows with the input: both sides are sorted and merged at every size.
+    met = rows.select("at", "row", F.col("text").isNull().alias("null"), _lines().alias("lines")).join(drops.hint("merge"), "at", "left")
+    return met.select("row", "null", "lines", F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"), kept.alias("kept"))
 
 
 def _cleared(df: DataFrame, folder: str) -> DataFrame:
     """df, written to the folder, which loses all other tables."""
     result = written(df, f"{folder}/result", compression="zstd")
-    discard(df.sparkSession, *[f"{folder}/{name}" for name in ("rows", "hashes", "many", "candidates", "frequent", "drops")])
+    discard(df.sparkSession, f"{folder}/rows", f"{folder}/drops")
     return result
 
 
@@ -97,7 +104,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     """docs, columns unchanged, without the lines that other documents hold; texts that lose none stay as they are, null included."""
     folder = folder or shared_dir(docs.sparkSession, "line-dedup")
     found = _kept(docs, folder, min_chars, min_docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("row.text").cast("string"))
+    text = F.when(~F.col("null"), F.col("kept"))
     return _cleared(found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]), folder)
 
 
