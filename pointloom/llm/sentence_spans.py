@@ -6,7 +6,7 @@ So no part is longer than WINDOW words, whatever they are, and a passage is cut
 first WINDOW + GRAM and last WINDOW words. Of all runs of at least RUN sentences and WORDS words, the shortest one from
 each sentence on and the shortest one up to each sentence are hashed (96 bits over the words, whatever white space parts them):
 whatever longer run repeats, these runs in it repeat too and cover it. Runs are
-counted over all documents; of each repeated run the first document, by doc_id, keeps its first
+counted over all documents; of each repeated run the first row, by doc_id and number, keeps its first
 occurrence, and every sentence that another occurrence covers is removed.
 
 Rows are numbered and their runs written to the shared folder once, one row a text with an array for each of SLICES
@@ -16,8 +16,8 @@ every task before the shuffle, and runs that many documents share are joined by
 runs a range, so a passage in a third of all documents makes no hot task.
 
 Defined cases: null, empty and short texts have no runs; repeats inside a text are removed
-behind their first occurrence; rows with equal doc_ids are one document, each of whose texts is cut by itself (none of them is
-first); a null doc_id comes last and null documents do not count as repeats of each other; an empty table gives no rows; other
+behind their first occurrence; rows that share a doc_id, and rows without one, which come last, follow each other in the order of
+their numbers, so that the first of them stays whole; an empty table gives no rows; other
 input columns are ignored or, where rows are returned, kept. Offsets count code points of the text, end exclusive.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointloom.llm.shared import discard, free_shuffles, shared_dir, small_batches, written
+from pointloom.llm.shared import discard, free_shuffles, join_groups, shared_dir, small_batches, written
 from pointloom.llm.shingles import _mix
 
 RUN, WORDS = 3, 20
@@ -177,17 +177,30 @@ def _repeated(found: DataFrame) -> DataFrame:
     return found.groupBy("run", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 
+def _later_rows(found: DataFrame, groups: DataFrame, folder: str) -> DataFrame:
+    """Of the runs that rows of the smallest doc_id of a group share, those of all rows but the first: where doc_ids repeat or are null, rows come in the order of their numbers."""
+    key = ["run", "check"]
+    level = join_groups(found.filter("NOT again"), groups, key, "times").filter("doc_id = first_doc_id").drop("times")
+    level = written(level, f"{folder}/level", compression="zstd")
+    firsts = level.groupBy(*key).agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return join_groups(level, written(firsts, f"{folder}/firsts"), key, "times").filter("at > first_at")
+
+
 def _covered(rows: DataFrame, folder: str) -> DataFrame:
     """The runs to remove, of all slices: at, doc_id, first, last, first_doc_id; the table of all runs is deleted."""
     spark, out = rows.sparkSession, []
     tables = written(run_table(rows), f"{folder}/runs", compression="zstd")
+    shared_ids = not tables.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    columns = ["at", "doc_id", "first", "last", "first_doc_id"]
     for k in range(SLICES):
         found = tables.select("at", "doc_id", F.explode(f"runs{k}").alias("r")).select("at", "doc_id", "r.*")
         groups = written(_repeated(found), f"{folder}/repeated-{k}")
         free_shuffles(spark)  # those of the counting, before the runs are dealt again
-        removed = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select("at", "doc_id", "first", "last", "first_doc_id")
+        removed = _with_first(found, groups).filter("again OR doc_id > first_doc_id").select(*columns)
+        if shared_ids:
+            removed = removed.unionByName(_later_rows(found, groups, folder).select(*columns))
         out.append(written(removed, f"{folder}/covered-{k}", compression="zstd"))
-        discard(spark, f"{folder}/repeated-{k}")
+        discard(spark, f"{folder}/repeated-{k}", f"{folder}/level", f"{folder}/firsts")
         del found, groups, removed
         free_shuffles(spark)
     discard(spark, f"{folder}/runs")

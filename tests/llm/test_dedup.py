@@ -305,6 +305,13 @@ def test_rows_of_one_doc_id_are_cut_by_themselves(spark):
     assert [r.doc_id for r in rows] == [2, 2] and sorted(r.clean_sha256 for r in rows) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in left if t != "a short text")
 
 
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_rows_that_share_an_id_keep_one_copy(spark, doc_id):
+    rows = [(doc_id, PASSAGE), (doc_id, PASSAGE), (doc_id, "In front. " + PASSAGE), (9 if doc_id is None else 3, "no passage here")]
+    left = [r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert sum("warmed the stones" in t for t in left) == 1 and PASSAGE in left and "no passage here" in left
+
+
 @pytest.mark.parametrize("kind", ["bars", "one word", "two words", "plain"])
 def test_passages_share_runs_whatever_their_words_are(kind):
     words = {
