@@ -12,7 +12,7 @@ Pass two gives every undecided block the label of its nearest decided neighbours
 container, else of all: good if one side is good and the other is good or missing, or, between a good and a
 bad side, if the good one is not farther. What stands outside an article element says nothing about
 the undecided blocks in it, which are good by themselves. On a page without any good block or article, undecided blocks
-in the container of the first top heading are good.
+in the container of the first top heading are good, or, where that leaves none, all undecided blocks.
 
 Kept blocks have their character references decoded, white space turned into
 single spaces and trimmed, and are joined in page order by one space.
@@ -43,8 +43,8 @@ STOP_WORDS = frozenset(
     "le la les de des et est un une que qui dans pour par sur pas au avec ce il plus ne se sont "
     "el los las y que en un una por con para del se no su al lo como más es".split()
 )
-RAW_TAGS = frozenset("script style template noscript textarea iframe title select svg canvas object audio video math button".split())
-VOID_IF_CLOSED = frozenset("svg math".split())  # may end in />
+RAW_TAGS = frozenset("script style template noscript textarea iframe title select svg canvas button".split())
+VOID_IF_CLOSED = frozenset(["svg"])  # may end in />
 BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BLOCK_TAGS = frozenset(
@@ -297,6 +297,8 @@ def classify(found: list[Block]) -> None:
     if GOOD not in labels and not any(articles):
         box = next((b.element.box for b in found if b.heading and b.label != BAD), None)
         labels = [GOOD if b.label == OPEN and b.element.box is box else x for b, x in zip(found, labels, strict=True)]
+    if GOOD not in labels:  # a page of short blocks alone: all that nothing speaks against
+        labels = [GOOD if b.label == OPEN else x for b, x in zip(found, labels, strict=True)]
     for b, label in zip(found, labels, strict=True):
         b.label = label
 

@@ -266,6 +266,13 @@ def test_pages_awkward(spark):
     assert html_text.extract_text(pages.filter("false")).count() == 0
 
 
+def test_short_pages_and_embedded_content_keep_their_text():
+    assert html_text.main_text("<p>Just one line.</p>") == "Just one line."
+    assert html_text.main_text("<div class=nav><p>Home</p></div><p>One.</p><p>Two.</p><footer>End</footer>") == "One. Two."
+    assert html_text.main_text("<article><p>Euler: <math><mi>e</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "Euler: e=1 holds."
+    assert html_text.main_text("<article><p>See <object>the drawing</object> and <video>no video here</video>.</p></article>") == "See the drawing and no video here."
+
+
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_mix_meets_its_targets(spark, which):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if which == "table" else awkward(spark)
