@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from pointloom.sources import tables as T
-from pointloom.sources.mcap import MAGIC, McapSource, decode_cloud
+from pointloom.sources.mcap import MAGIC, McapReader, McapSource, McapStreamReader, PushingReader, decode_cloud
 
 
 def _cdr(xyz, intensity=True, step=16):
@@ -52,6 +53,136 @@ def _mcap(messages, compression="zstd"):
     return MAGIC + _record(1, _text("") + _text("")) + schema + channel + _record(6, chunk) + MAGIC
 
 
+def _bag(chunks, indexed=True, ended=True, topics=("/points",), compression="zstd", loose=()):
+    """A file of several chunks; a chunk is a list of (channel, ns, message). Channels stand in the first chunk and, if indexed, in the summary."""
+    schema = _record(3, struct.pack("<H", 1) + _text("sensor_msgs/msg/PointCloud2") + _text("ros2msg") + _text(""))
+    declared = schema + b"".join(_record(4, struct.pack("<HH", n, 1) + _text(t) + _text("cdr") + struct.pack("<I", 0)) for n, t in enumerate(topics, 1))
+    message = lambda c, ns, m: _record(5, struct.pack("<HIQQ", c, 0, ns, 0) + m)
+    out, index = MAGIC + _record(1, _text("") + _text("")), []
+    for k, rows in enumerate(chunks):
+        inner = (b"" if k else declared) + b"".join(message(*r) for r in rows)
+        packed = zstandard.ZstdCompressor().compress(inner) if compression else inner
+        times = [ns for _, ns, _ in rows] or [0]
+        body = struct.pack("<QQQI", min(times), max(times), len(inner), zlib.crc32(inner)) + _text(compression) + struct.pack("<Q", len(packed)) + packed
+        held = b"".join(struct.pack("<HQ", c, 0) for c in sorted({c for c, _, _ in rows}))
+        index.append(_record(8, struct.pack("<QQQQI", min(times), max(times), len(out), len(body) + 9, len(held)) + held + struct.pack("<Q", 0) + _text(compression) + struct.pack("<QQ", len(packed), len(inner))))
+        out += _record(6, body)
+    out += b"".join(message(*r) for r in loose)
+    if not ended:
+        return out
+    out += _record(15, struct.pack("<I", 0))
+    start = len(out) if indexed else 0
+    return out + (declared + b"".join(index) if indexed else b"") + _record(2, struct.pack("<QQI", start, 0, 0)) + MAGIC
+
+
+def _cloud_at(i):
+    return _cdr([(i, 0, 0), (i, 1, 0)])
+
+
+def _seconds(chunks):
+    """`chunks` chunks of three frames each, a second a frame."""
+    return [[(1, 10**9 * (3 * k + j), _cloud_at(3 * k + j)) for j in range(3)] for k in range(chunks)]
+
+
+def _bytes(reader):
+    return sum(p.bytes for p in reader.partitions())
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_mcap_is_split_by_chunks(spark, tmp_path, indexed):
+    spark.dataSource.register(McapSource)
+    (tmp_path / "a.mcap").write_bytes(_bag(_seconds(8), indexed))
+    df = spark.read.format("mcap_points").option("split_bytes", 1).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == (8 if indexed else 1)
+    rows = df.orderBy("frame_id").collect()
+    assert [r.ts_ns for r in rows] == [10**9 * i for i in range(24)] and [r.points[1].x for r in rows] == list(range(24))
+    assert len({r.frame_id for r in rows}) == 24 and {r.topic for r in rows} == {"/points"}
+    some = spark.read.format("mcap_points").option("start_ns", 10**9 * 7).option("end_ns", 10**9 * 10).load(str(tmp_path))
+    assert sorted(r.ts_ns // 10**9 for r in some.collect()) == [7, 8, 9, 10]
+    options = {"path": str(tmp_path)}
+    assert not indexed or _bytes(McapReader(options | {"start_ns": str(10**9 * 21)})) < _bytes(McapReader(options)) / 4
+
+
+def test_mcap_takes_filters(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    spark.dataSource.register(McapSource)
+    chunks = [[(1, 10**9 * k, _cloud_at(k))] if k % 2 else [(2, 10**9 * k, _cloud_at(k))] for k in range(8)]
+    (tmp_path / "a.mcap").write_bytes(_bag(chunks, topics=("/left", "/right")))
+    reader = PushingReader({"path": str(tmp_path)})
+    filters = [GreaterThan(("ts_ns",), 10**9 * 2), LessThanOrEqual(("ts_ns",), 10**9 * 6), EqualTo(("topic",), "/left")]
+    assert list(reader.pushFilters(filters)) == filters and sum(len(p.pieces) for p in reader.partitions()) == 2
+    conf = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "true")
+    try:
+        df = spark.read.format("mcap_points").option("pushdown", "true").load(str(tmp_path)).filter(f"ts_ns > {2 * 10**9} AND ts_ns <= {6 * 10**9} AND topic = '/left'")
+        assert sorted(r.ts_ns // 10**9 for r in df.collect()) == [3, 5]
+        other = spark.read.format("mcap_points").option("pushdown", "true").option("topic", "/right").load(str(tmp_path)).filter("topic = '/left'")
+        assert other.count() == 0
+    finally:
+        spark.conf.set(conf, before)
+    assert {r.topic for r in spark.read.format("mcap_points").option("topic", "/left").load(str(tmp_path)).collect()} == {"/left"}
+    assert {r.topic for r in spark.read.format("mcap_points").option("topic", "/none").load(str(tmp_path)).collect()} == {"/left", "/right"}
+
+
+def test_mcap_damage_is_reported(spark, tmp_path):
+    spark.dataSource.register(McapSource)
+    whole = _bag(_seconds(3), compression="", loose=[(1, 99, _cloud_at(99)), (1, 98, _cloud_at(98))], indexed=False)
+    (tmp_path / "loose.mcap").write_bytes(whole)
+    assert spark.read.format("mcap_points").load(str(tmp_path / "loose.mcap")).select("frame_id").distinct().count() == 11
+    (tmp_path / "cut.mcap").write_bytes(whole[: len(whole) * 2 // 3])  # a recording that broke off
+    assert 0 < spark.read.format("mcap_points").load(str(tmp_path / "cut.mcap")).count() < 9
+    bad = bytearray(_bag(_seconds(3), compression=""))
+    at = bad.index(_cloud_at(4)) + 70
+    bad[at] ^= 0xFF
+    (tmp_path / "bad.mcap").write_bytes(bytes(bad))
+    rows = spark.read.format("mcap_points").load(str(tmp_path / "bad.mcap")).collect()
+    assert len(rows) == 7 and [r.error for r in rows if r.error] == ["ValueError: a chunk does not match its checksum"]
+    assert spark.read.format("mcap_points").option("mode", "DROPMALFORMED").load(str(tmp_path / "bad.mcap")).count() == 6
+    with pytest.raises(Exception, match="checksum"):
+        spark.read.format("mcap_points").option("mode", "FAILFAST").load(str(tmp_path / "bad.mcap")).count()
+    (tmp_path / "none.mcap").write_bytes(_bag([[]], indexed=False, topics=()))
+    with pytest.raises(Exception, match="no point-cloud topic"):
+        spark.read.format("mcap_points").load(str(tmp_path / "none.mcap")).count()
+
+
+def test_mcap_stream_neither_loses_nor_repeats(spark, tmp_path):
+    """Files arrive, one grows, and the stream is started anew each time: at the end the batch scan's frames are there, once each."""
+    spark.dataSource.register(McapSource)
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    (tmp_path / "in").mkdir()
+
+    def run():
+        stream = spark.readStream.format("mcap_points").load(src)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(out).count() if (tmp_path / "out").exists() else 0
+
+    (tmp_path / "in" / "b.mcap").write_bytes(_bag(_seconds(2)))
+    assert run() == 6 and run() == 6
+    (tmp_path / "in" / "a.mcap").write_bytes(_bag(_seconds(3), ended=False))  # sorts before b and is still being written
+    assert run() == 15
+    whole = _bag(_seconds(5), loose=[(1, 7, _cloud_at(7))], indexed=False)
+    (tmp_path / "in" / "a.mcap").write_bytes(whole)
+    assert run() == 22 and run() == 22
+    key = lambda r: (r.topic, r.ts_ns, [tuple(p) for p in r.points])
+    batch = spark.read.format("mcap_points").load(src).collect()
+    stream = spark.read.parquet(out).collect()
+    assert sorted(map(key, batch)) == sorted(map(key, stream)) and len({r.frame_id for r in stream}) == 22
+
+
+def test_mcap_stream_replays_a_batch_as_it_was(tmp_path):
+    (tmp_path / "a.mcap").write_bytes(_bag(_seconds(2), ended=False))
+    reader = McapStreamReader({"path": str(tmp_path)})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    rows = [r for p in reader.partitions(start, end) for r in reader.read(p)]
+    (tmp_path / "a.mcap").write_bytes(_bag(_seconds(4)))
+    again = McapStreamReader({"path": str(tmp_path)})  # a restart: the file has grown since
+    assert [r for p in again.partitions(start, end) for r in again.read(p)] == rows and len(rows) == 6
+    rest = [r for p in again.partitions(end, again.latestOffset()) for r in again.read(p)]
+    assert len(rest) == 6 and not {r[0] for r in rows} & {r[0] for r in rest}
+
+
 def test_mcap_source(spark, tmp_path):
     spark.dataSource.register(McapSource)
     good, bad = _cdr([(1, 2, 3), (float("nan"), 0, 0), (4, 5, 6)]), b"\x00\x01\x00\x00short"
