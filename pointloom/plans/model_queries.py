@@ -20,7 +20,8 @@ from pointloom.plans.registry import ORACLES, query
 from pointloom.plans.track_sql import FITS, track_sql
 from pointloom.plans.views import PTS, big_pts, pts, shells, table
 from pointloom.streaming.buffer import accumulate
-from pointloom.streaming.tracker import track_batch, track_stream
+from pointloom.streaming.tracker import OUTPUT as TRACK_OUTPUT
+from pointloom.streaming.tracker import state_store, track_batch, track_stream
 
 WIDE = Config(dbscan_eps=0.15, dbscan_min_points=6, body_extents=(0.8, 0.8, 0.8), volumetricity_min=0.1, bandwidth=0.12, buffer_cap=6, buffer_trigger=3)
 
@@ -163,14 +164,18 @@ def tracked_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(track_sql(), name="track_stream")
 def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over the same rows, run to its end into a table."""
+    """The stream over the same rows, in as many micro-batches as files, run to its end into a table."""
     folder = shared_dir(spark, "track-stream")
     fits = _fits(spark, sf_dir)
-    fits.write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(fits.schema).parquet(f"{folder}/in")
-    q = track_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return _rounded(spark.read.parquet(f"{folder}/out"))
+    fits.write.parquet(f"{folder}/in")
+    # The rows of an event table lie in its files in no order, so all wait until a last row without a frame moves the clock past them.
+    clock = fits.agg(F.lit(-1).cast("long").alias("track"), (F.max("ts") + 1e9).alias("ts"))
+    fits.limit(0).unionByName(clock, allowMissingColumns=True).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(fits.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
+    with state_store(spark):
+        q = track_stream(stream, delay="100 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return _rounded(spark.read.schema(TRACK_OUTPUT).parquet(f"{folder}/out"))
 
 
 def _buffer_sql() -> str:

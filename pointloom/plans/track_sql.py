@@ -41,9 +41,9 @@ def _step(config: Config) -> str:
     moved = ["x0 + gx * dt", "x1 + gy * dt", _wrapped("x2 + x5 * dt"), "x3", "x4", "x5"]
     left = {(i, j): " + ".join([f"p{i}{j}", *(f"{v} * p{k}{j}" for (a, k), v in jacobian.items() if a == i)]) for i in N for j in N}
     body = _level(body, *[f"CASE WHEN started THEN {moved[i]} ELSE x{i} END AS y{i}" for i in N], *[f"{v} AS l{i}{j}" for (i, j), v in left.items()])
-    both = {(i, j): " + ".join([f"l{i}{j}", *(f"{v} * l{i}{k}" for (a, k), v in jacobian.items() if a == j), *([f"{Q[i, i]} * dt"] if i == j else [])]) for i in N for j in N}
+    both = {(i, j): " + ".join([f"l{i}{j}", *(f"{v} * l{i}{k}" for (a, k), v in jacobian.items() if a == j), *([f"{Q[i]} * dt"] if i == j else [])]) for i in N for j in N}
     body = _level(body, *[f"CASE WHEN started THEN {v} ELSE p{i}{j} END AS q{i}{j}" for (i, j), v in both.items()])
-    noise = {i: f"{R[i, i]} * CASE WHEN target THEN 1.0::DOUBLE ELSE {LOW_CONFIDENCE}::DOUBLE END" for i in range(3)}
+    noise = {i: f"{R[i]} * CASE WHEN target THEN 1.0::DOUBLE ELSE {LOW_CONFIDENCE}::DOUBLE END" for i in range(3)}
     body = _level(body, "zx - y0 AS i0", "zy - y1 AS i1", f"{_wrapped('zw - y2')} AS i2", *[f"q{i}{j}{' + ' + noise[i] if i == j else ''} AS s{i}{j}" for i in range(3) for j in range(3)])
     det, inverse = _inverse("s", "v")
     body = _level(_level(body, det), inverse)

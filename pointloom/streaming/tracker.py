@@ -4,38 +4,54 @@ The same `step` runs in a batch fold per track and in a stateful stream, so both
 give the same rows. All times are event times. Every row is one frame of a track: the pose of its
 best fit and whether that is the target, or nulls where nothing was fitted. The body's middle is HALF_HEIGHT above the
 ground, which a column z_ground gives (0 without it).
+
+The batch sorts rows by track and time and folds them as they come, so no track need fit into memory. The stream holds a
+track's typed state and the rows that the watermark has not passed: rows that come out of order are put in order before they are
+taken, rows behind the watermark are dropped by Spark, and a track that stays silent for `end_after_s` ends by its timer.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import contextlib
+from collections.abc import Iterable, Iterator
+from dataclasses import astuple, dataclass, field
+from itertools import groupby
+from math import atan2, ceil, cos, hypot, isnan, sin
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pointloom.config import DEFAULT, Config
-from pointloom.operators.registration import wrap
 
 #: Lifecycle states and their numbers, fixed values.
 SEARCHING, ACTIVE, COASTING = "SEARCHING", "ACTIVE", "COASTING"
 STATE_NUMBER = {SEARCHING: 1, ACTIVE: 2, COASTING: 3}
-R = np.diag([0.01, 0.01, 0.02])
-Q = np.diag([0.02, 0.02, 0.03, 0.005, 0.005, 0.005])
+#: Variances of a measured pose, of the process by second, and of a standing body's velocity.
+R = (0.01, 0.01, 0.02)
+Q = (0.02, 0.02, 0.03, 0.005, 0.005, 0.005)
+STILL = (1e-3, 1e-3, 1e-3)
 HALF_HEIGHT = 0.24
 LOW_CONFIDENCE = 5.0  # factor of R for fits that are not the target
+Matrix = list[list[float]]
+
+
+def _wrapped(angle: float) -> float:
+    return atan2(sin(angle), cos(angle))
+
+
+def _diagonal(value: float) -> Matrix:
+    return [[value if i == j else 0.0 for j in range(6)] for i in range(6)]
 
 
 @dataclass
 class Track:
-    """State of one track."""
+    """State of one track; small plain lists, on which 6 x 6 arithmetic is quickest."""
 
-    x: np.ndarray = field(default_factory=lambda: np.zeros(6))
-    p: np.ndarray = field(default_factory=lambda: 0.1 * np.eye(6))
+    x: list[float] = field(default_factory=lambda: [0.0] * 6)
+    p: Matrix = field(default_factory=lambda: _diagonal(0.1))
     started: bool = False
     health: float = 0.0
     lifecycle: str = SEARCHING
@@ -43,39 +59,57 @@ class Track:
     last_ts: float | None = None
     still: bool = False
 
-    def to_json(self) -> str:
-        return json.dumps([self.x.tolist(), self.p.tolist(), self.started, self.health, self.lifecycle, self.last_target, self.last_ts, self.still])
-
-    @classmethod
-    def from_json(cls, text: str) -> Track:
-        x, p, *rest = json.loads(text)
-        return cls(np.array(x), np.array(p), *rest)
-
 
 def predict(t: Track, dt: float) -> None:
     """Move a started track by its body-frame velocity."""
     if not t.started:
         return
-    c, s = np.cos(t.x[2]), np.sin(t.x[2])
-    vx, vy, w = t.x[3:]
-    f = np.eye(6)
-    f[0, 2:5] = (-vx * s - vy * c) * dt, c * dt, -s * dt
-    f[1, 2:5] = (vx * c - vy * s) * dt, s * dt, c * dt
-    f[2, 5] = dt
-    t.x[:3] += np.array([vx * c - vy * s, vx * s + vy * c, w]) * dt
-    t.x[2] = wrap(t.x[2])
-    t.p = f @ t.p @ f.T + Q * dt
-
-
-def _correct(t: Track, h: np.ndarray, r: np.ndarray, innovation: np.ndarray) -> None:
-    gain = t.p @ h.T @ np.linalg.inv(h @ t.p @ h.T + r)
-    t.x = t.x + gain @ innovation
-    t.p = (np.eye(6) - gain @ h) @ t.p
-    t.x[2] = wrap(t.x[2])
-
-
-def _snap(t: Track, z: np.ndarray, ts: float) -> None:
-    t.x = np.concatenate([z, np.zeros(3)])
+    c, s = cos(t.x[2]), sin(t.x[2])
+    gx, gy = t.x[3] * c - t.x[4] * s, t.x[3] * s + t.x[4] * c
+    t.x[0] += gx * dt
+    t.x[1] += gy * dt
+    t.x[2] = _wrapped(t.x[2] + t.x[5] * dt)
+    # The Jacobian is the identity and seven entries, in the first three rows.
+    a, b, e = -gy * dt, c * dt, -s * dt
+    f, g, h = gx * dt, s * dt, c * dt
+    p = t.p
+    p0, p1, p2, p3, p4, p5 = p
+    p[0] = [u + a * v + b * w + e * z for u, v, w, z in zip(p0, p2, p3, p4)]  # noqa: B905
+    p[1] = [u + f * v + g * w + h * z for u, v, w, z in zip(p1, p2, p3, p4)]  # noqa: B905
+    p[2] = [u + dt * v for u, v in zip(p2, p5)]  # noqa: B905
+    for i, r in enumerate(p):
+        r[0] += a * r[2] + b * r[3] + e * r[4]
+        r[1] += f * r[2] + g * r[3] + h * r[4]
+        r[2] += dt * r[5]
+        r[i] += Q[i] * dt
+
+
+def _inverse(p: Matrix, at: int, noise: tuple[float, ...], factor: float = 1.0) -> Matrix:
+    """Inverse of the 3 x 3 part of p from `at` on plus a diagonal, by cofactors."""
+    (a, b, c), (d, e, f), (g, h, k) = (p[at + i][at : at + 3] for i in range(3))
+    a, e, k = a + noise[0] * factor, e + noise[1] * factor, k + noise[2] * factor
+    u, v, w = e * k - f * h, f * g - d * k, d * h - e * g
+    det = a * u + b * v + c * w
+    return [[u / det, (c * h - b * k) / det, (b * f - c * e) / det], [v / det, (a * k - c * g) / det, (c * d - a * f) / det], [w / det, (b * g - a * h) / det, (a * e - b * d) / det]]
+
+
+def _correct(t: Track, at: int, inverse: Matrix, innovation: list[float]) -> None:
+    """Take a measurement of the three state variables from `at` on."""
+    (a, b, c), (d, e, f), (g, h, k) = inverse
+    y0, y1, y2 = innovation
+    first, second, third = t.p[at : at + 3]
+    p = []
+    for i, r in enumerate(t.p):
+        u, v, w = r[at : at + 3]
+        k0, k1, k2 = u * a + v * d + w * g, u * b + v * e + w * h, u * c + v * f + w * k
+        t.x[i] += k0 * y0 + k1 * y1 + k2 * y2
+        p.append([q - (k0 * q0 + k1 * q1 + k2 * q2) for q, q0, q1, q2 in zip(r, first, second, third)])  # noqa: B905
+    t.p = p
+    t.x[2] = _wrapped(t.x[2])
+
+
+def _snap(t: Track, z: tuple[float, float, float], ts: float) -> None:
+    t.x = [*map(float, z), 0.0, 0.0, 0.0]
     t.started, t.lifecycle, t.last_target = True, ACTIVE, ts
 
 
@@ -92,13 +126,12 @@ def step(t: Track, ts: float, z: tuple[float, float, float] | None, target: bool
                 t.__init__()
                 t.last_ts = now
         return False, None
-    z = np.array(z, float)
     nis = None
     if t.started:
-        innovation = z - t.x[:3]
-        innovation[2] = wrap(innovation[2])
-        h = np.eye(3, 6)
-        nis = float(innovation @ np.linalg.solve(h @ t.p @ h.T + R * (1 if target else LOW_CONFIDENCE), innovation))
+        y = [z[0] - t.x[0], z[1] - t.x[1], _wrapped(z[2] - t.x[2])]
+        inverse = _inverse(t.p, 0, R, 1.0 if target else LOW_CONFIDENCE)
+        y0, y1, y2 = y
+        nis = sum(v * (r[0] * y0 + r[1] * y1 + r[2] * y2) for v, r in zip(y, inverse, strict=True))
     if target:
         _snap(t, z, ts)
         t.health = min(100.0, t.health + 25)
@@ -112,51 +145,124 @@ def step(t: Track, ts: float, z: tuple[float, float, float] | None, target: bool
         t.health = max(0.0, t.health - 5)
         return False, nis
     t.health = min(100.0, t.health + 5)
-    _correct(t, h, R * LOW_CONFIDENCE, innovation)
-    t.still = bool(np.hypot(*t.x[3:5]) < 0.03 and t.last_target is not None and ts - t.last_target < 1.0)
+    _correct(t, 0, inverse, y)
+    t.still = hypot(t.x[3], t.x[4]) < 0.03 and t.last_target is not None and ts - t.last_target < 1.0
     if t.still:
-        _correct(t, np.hstack([np.zeros((3, 3)), np.eye(3)]), 1e-3 * np.eye(3), -t.x[3:])
+        _correct(t, 3, _inverse(t.p, 3, STILL), [-v for v in t.x[3:]])
     return True, nis
 
 
 OUTPUT = "track long, frame long, ts double, x double, y double, z double, yaw double, vx double, vy double, omega double, health double, lifecycle string, fsm_state int, still boolean, accepted boolean, nis double"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_INPUT = ["frame", "ts", "px", "py", "yaw", "is_target", "z_ground"]
 
 
-def _run(track: int, t: Track, rows: pd.DataFrame, config: Config) -> pd.DataFrame:
-    out = []
-    for r in rows.sort_values(["ts", "frame"]).itertuples():
-        z = None if pd.isna(r.px) else (r.px, r.py, r.yaw)
-        accepted, nis = step(t, r.ts, z, z is not None and bool(r.is_target), config)
-        out.append((track, r.frame, r.ts, t.x[0], t.x[1], r.z_ground + HALF_HEIGHT, t.x[2], *t.x[3:], t.health, t.lifecycle, STATE_NUMBER[t.lifecycle], t.still, accepted, nis))
-    return pd.DataFrame(out, columns=_COLUMNS).astype({"nis": float})
+def _row(track: int, t: Track, frame: int | None, ts: float, z_ground: float, accepted: bool, nis: float | None) -> tuple:
+    return (track, frame, ts, t.x[0], t.x[1], z_ground + HALF_HEIGHT, *t.x[2:], t.health, t.lifecycle, STATE_NUMBER[t.lifecycle], t.still, accepted, nis)
 
 
-def _inputs(fits: DataFrame) -> DataFrame:
-    ground = F.coalesce(F.col("z_ground").cast("double"), F.lit(0.0)) if "z_ground" in fits.columns else F.lit(0.0)
-    return fits.select("track", "frame", "ts", "px", "py", "yaw", "is_target", ground.alias("z_ground"))
+def fold(track: int, t: Track, rows: Iterable[tuple], config: Config = DEFAULT, end_after_s: float | None = None) -> Iterator[tuple]:
+    """Output of the rows (in the order of _INPUT, by time) of one track. A track that has been silent for longer than end_after_s starts anew."""
+    for frame, ts, px, py, yaw, is_target, z_ground in rows:
+        if end_after_s is not None and t.last_ts is not None and ts - t.last_ts > end_after_s:
+            t.__init__()
+        z = None if px is None or isnan(px) else (px, py, yaw)
+        accepted, nis = step(t, ts, z, z is not None and bool(is_target), config)
+        yield _row(track, t, frame, ts, z_ground, accepted, nis)
 
 
-def track_batch(fits: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Fold the frames (track, frame, ts seconds, px, py, yaw, is_target, z_ground if known) of each track in event order."""
+def _inputs(fits: DataFrame) -> DataFrame:
+    ground = F.coalesce(F.col("z_ground").cast("double"), F.lit(0.0)) if "z_ground" in fits.columns else F.lit(0.0)
+    pose = [F.col(c).cast("double").alias(c) for c in ("px", "py", "yaw")]
+    return fits.select(F.col("track").cast("long").alias("track"), F.col("frame").cast("long").alias("frame"), F.col("ts").cast("double").alias("ts"), *pose, F.coalesce("is_target", F.lit(False)).alias("is_target"), ground.alias("z_ground"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run(int(pdf["track"].iloc[0]), Track(), pdf, config)
 
-    return _inputs(fits).groupBy("track").applyInPandas(run, OUTPUT)
+_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in OUTPUT.split(", ")])
 
 
-def track_stream(fits: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The same over a stream: state per track lives in the state store; rows of a micro-batch are put in event order.
+def track_batch(fits: DataFrame, config: Config = DEFAULT, end_after_s: float | None = None) -> DataFrame:
+    """Fold the frames (track, frame, ts seconds, px, py, yaw, is_target, z_ground if known) of each track in event order."""
 
-    Rows that arrive after later ones of an earlier micro-batch are taken as the least time step on.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, Track()
+        for batch in batches:
+            out = []
+            tracks = batch.column("track").to_pylist()
+            rows = zip(*(batch.column(c).to_pylist() for c in _INPUT), strict=True)
+            for track, group in groupby(zip(tracks, rows, strict=True), key=lambda r: r[0]):
+                if (track,) != last:
+                    last, t = (track,), Track()
+                out += fold(track, t, (r for _, r in group), config, end_after_s)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW) if out else pa.RecordBatch.from_pylist([], _ARROW)
+
+    return _inputs(fits).repartition("track").sortWithinPartitions("track", "ts", "frame").mapInArrow(run, OUTPUT)
+
+
+_STATE = "x array<double>, p array<array<double>>, started boolean, health double, lifecycle string, last_target double, last_ts double, still boolean"
+_WAITING = "frame long, ts double, px double, py double, yaw double, is_target boolean, z_ground double"
+
+
+class Tracker(StatefulProcessor):
+    """A track in the state store: its filter as one typed value, and the rows ahead of the watermark as a list."""
+
+    def __init__(self, config: Config, end_after_s: float | None):
+        self.config, self.end_after_s = config, end_after_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.track, self.waiting = handle.getValueState("track", _STATE), handle.getListState("waiting", _WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = pd.concat(list(rows))
+        frames = frames[frames["frame"].notna()].astype({"frame": "int64"})  # rows without a frame only move the clock
+        fresh = list(frames[_INPUT].astype(object).where(frames[_INPUT].notna(), None).itertuples(index=False, name=None))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(fresh)
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def _wake(self, rows: list[tuple]) -> None:
+        """A timer for when the watermark reaches the first of the rows."""
+        self.handle.registerTimer(ceil(min(r[1] for r in rows) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        due, rest = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[1], r[0])), [r for r in rows if r[1] > now]
+        out: list[tuple] = []
+        t = Track(*([list(v) if i == 0 else [list(r) for r in v] if i == 1 else v for i, v in enumerate(self.track.get())])) if self.track.exists() else Track()
+        if due:
+            out += fold(int(key[0]), t, due, self.config, self.end_after_s)
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self._wake(rest)
+            self.track.update(astuple(t))
+            if self.end_after_s is not None:
+                self.handle.registerTimer(ceil((t.last_ts + self.end_after_s) * 1000) + 1)
+        elif self.end_after_s is not None and t.last_ts is not None and now - t.last_ts > self.end_after_s and not any(r[1] - t.last_ts <= self.end_after_s for r in rest):
+            ended = t.last_ts + self.end_after_s
+            out.append(_row(int(key[0]), Track(), None, ended, 0.0, False, None))
+            self.track.clear()
+        yield pd.DataFrame(out, columns=_COLUMNS).astype({"nis": float})
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that typed state and timers need, while a stream is started."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def track_stream(fits: DataFrame, config: Config = DEFAULT, delay: str = "2 seconds", end_after_s: float | None = None) -> DataFrame:
+    """The same over a stream; to be started inside `state_store`.
+
+    Rows may come up to `delay` out of order, later ones are dropped. A frame's row is put out when the watermark passes it; rows whose
+    frame is null only move the clock. Where end_after_s is given, a track silent for longer puts out a last row without a frame, and its state is gone.
     """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t = Track.from_json(state.get[0]) if state.exists else Track()
-        rows = pd.concat(list(batches))
-        out = _run(int(key[0]), t, rows, config)
-        state.update((t.to_json(),))
-        yield out
-
-    return _inputs(fits).groupBy("track").applyInPandasWithState(run, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    rows = _inputs(fits).withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("at", delay)
+    return rows.groupBy("track").transformWithStateInPandas(Tracker(config, end_after_s), OUTPUT, "Append", "EventTime")
