@@ -1,8 +1,8 @@
 """Near-duplicates by banded MinHash with sequential Bayesian verification.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes; WORDS words unless told otherwise), a
-   digest of that set, and a signature of BANDS * ROWS minima. Rows are numbered, and written so that the number stays;
-   those with one digest are one class, for which its first row stands from here on.
+   digest of that set, and a signature of BANDS * ROWS minima. Rows are told apart by doc_id, or, where ids repeat or are
+   null, by numbers that are written with them; those with one digest are one class, for which its first row stands from here on.
 2. Classes that share a band's minima are candidates. At similarity 0.8 a pair shares no
    band with probability (1 - 0.8 ** ROWS) ** BANDS, about 5e-6.
 3. In each bucket all members are first compared with its smallest member. Signatures
@@ -50,7 +50,7 @@ BATCH = 40  # minima compared before each look at the posterior
 SMALL_BUCKET = 24
 BLOCK = 256
 
-_FEATURES = "at long, doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"
+_FEATURES = "at long, doc_id long, row long, n_shingles long, digest binary, sig binary, bands array<long>"
 HEAVY = 2048  # shingles of a text that counts as one more member when blocks are dealt
 
 
@@ -92,7 +92,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """at, doc_id, n_shingles, digest, sig (the low byte of each minimum), bands of rows (at, doc_id, text)."""
+    """at, doc_id, row, n_shingles, digest, sig (the low byte of each minimum), bands of rows (at, doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, max_bytes=1 << 20):
@@ -100,16 +100,15 @@ def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
             sigs = [signature(s, BANDS * ROWS) for s in sets]
             full = [len(s) > 0 for s in sets]
             columns = [
-                batch.column("at"),
-                batch.column("doc_id"),
+                *(batch.column(c) for c in ("at", "doc_id", "row")),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) for s in sets], pa.binary()),
                 pa.array([g.astype(np.uint8).tobytes() if f else None for g, f in zip(sigs, full, strict=True)], pa.binary()),
                 pa.array([band_keys(g) if f else [] for g, f in zip(sigs, full, strict=True)], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "n_shingles", "digest", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "doc_id", "row", "n_shingles", "digest", "sig", "bands"])
 
-    return rows.select("at", "doc_id", "text").mapInArrow(run, _FEATURES)
+    return rows.select("at", "doc_id", "row", "text").mapInArrow(run, _FEATURES)
 
 
 def bucket_members(reps: DataFrame, folder: str) -> DataFrame:
@@ -241,13 +240,20 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
     return links.unionByName(in_blocks)
 
 
+def _numbered(docs: DataFrame, row: str | None, folder: str) -> DataFrame:
+    """at, doc_id, row, text, where at tells rows apart and stays with its row: the doc_id if no two rows share one, else a given number of the row, else one that is written with it."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
+    named = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("doc_id IS NULL OR rows > 1").isEmpty()
+    if named or row:
+        return rows.withColumn("at", F.col("doc_id" if named else "row"))
+    return written(rows.withColumn("at", F.monotonically_increasing_id()), folder, compression="zstd")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, miss: float = MISS, folder: str | None = None, row: str | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, and row if that column (a number of each row that a second scan gives again) is named."""
+    """Per row: doc_id, n_shingles, component_id, kept; and, if a column row (a number of each row that a second scan gives again) is named, row and component, a number of its component that is never null."""
     folder = folder or shared_dir(docs.sparkSession, "near-dedup")
     work = f"{folder}/work"
-    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
-    rows = docs.select(number.alias("at"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows if row else written(rows, f"{work}/rows", compression="zstd")
+    rows = _numbered(docs, row, f"{work}/rows")
     feats = written(features(rows, words), f"{work}/features")
     full = feats.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("at").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
@@ -258,7 +264,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members = bucket_members(reps, work)
     wanted = members.select("rep").distinct()
     plain = rows.filter("text IS NOT NULL").select(F.col("at").alias("rep"), F.col("text").cast("binary").alias("text"))
-    texts = written(plain.join(wanted, "rep", "left_semi"), f"{work}/texts")
+    # The members grow with the input: both sides are sorted and merged at every size.
+    texts = written(plain.join(wanted.hint("merge"), "rep", "left_semi"), f"{work}/texts")
+    discard(docs.sparkSession, f"{work}/rows")
 
     stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     first = written(verify(stars, reps, texts, percent, miss, words, f"{work}/stars"), f"{work}/links")
@@ -276,11 +284,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = written(classes.join(labels, "rep", "left").select("digest", "class_size", "rep", "least", F.coalesce("root", "rep").alias("root")), f"{work}/roots")
     named = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.min("rep").alias("first"), F.count(F.lit(1)).alias("times"))
     groups = join_groups(groups.select("digest", "class_size", "root"), written(named, f"{work}/named"), ["root"], "times").select("digest", "class_size", "component_id", "first")
-    entries = full.select("at", "doc_id", "n_shingles", "digest")
-    linked = join_groups(entries, written(groups, f"{work}/groups"), ["digest"], "class_size").select("at", "doc_id", "n_shingles", "component_id", "first")
-    alone = feats.filter("n_shingles = 0").select("at", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("at").alias("first"))
+    entries = full.select("at", "doc_id", "row", "n_shingles", "digest")
+    linked = join_groups(entries, written(groups, f"{work}/groups"), ["digest"], "class_size").select("at", "doc_id", "row", "n_shingles", "component_id", "first")
+    alone = feats.filter("n_shingles = 0").select("at", "doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("at").alias("first"))
     kept = F.when(F.col("component_id").isNull(), F.col("at") == F.col("first")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = linked.unionByName(alone).withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept", *([F.col("at").alias("row")] if row else []))
+    found = linked.unionByName(alone).withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept", *(["row", F.col("first").alias("component")] if row else []))
     result = written(found, f"{folder}/result")
     discard(docs.sparkSession, work)
     return result

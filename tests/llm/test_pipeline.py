@@ -18,7 +18,7 @@ from tests.llm.cases import awkward, empty, water_fill
 
 def test_queries_are_registered_once_each():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_stages_keep_columns_and_take_effect(spark):
