@@ -52,9 +52,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id."""
     rows = _numbered(docs, "near-rows")
-    groups = near_dedup.near_duplicates(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("at"), "component_id")
+    groups = near_dedup.near_duplicates(_named(rows, "doc_id", "text"), row="at").select(F.col("row").alias("at"), "component")
     ranked = _named(rows, "doc_id").select("at", row_rank(F.col("doc_id").cast("long"), F.col("at")).alias("rank"))
-    kept = groups.join(ranked, "at").groupBy("component_id").agg(F.min("rank").alias("rank")).select(ranked_row(F.col("rank")).alias("at"))
+    kept = groups.join(ranked, "at").groupBy("component").agg(F.min("rank").alias("rank")).select(ranked_row(F.col("rank")).alias("at"))
     return _unpacked(rows.join(kept, "at", "left_semi"), docs.columns)
 
 
