@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g
 from pointloom.operators.graph import connected_components
+from pointloom.operators.neighbours import components, within
 from pointloom.operators.spatial import eps_pairs, knn_within
 from pointloom.operators.stage import staged
 
@@ -39,32 +40,19 @@ def dbscan(points: DataFrame, eps: float, min_points: int, by: Sequence[str] = (
 
 
 def _dbscan_frame(xyz: np.ndarray, ids: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Cluster of each point of one frame (-1: noise); cell lists bound the comparisons."""
-    n = len(ids)
-    cell = np.floor(xyz / eps).astype(np.int64)
-    table: dict[tuple[int, int, int], list[int]] = {}
-    for i, c in enumerate(map(tuple, cell)):
-        table.setdefault(c, []).append(i)
-    near: list[np.ndarray] = []
-    for i in range(n):
-        a, b, c = cell[i]
-        cand = np.array([j for da in (-1, 0, 1) for db in (-1, 0, 1) for dc in (-1, 0, 1) for j in table.get((a + da, b + db, c + dc), ())])
-        near.append(cand[np.sqrt(((xyz[cand] - xyz[i]) ** 2).sum(axis=1)) <= eps])
-    core = np.array([len(x) >= min_points for x in near], bool)
+    """Cluster of each point of one frame (-1: noise)."""
+    order = np.argsort(ids, kind="stable")
+    xyz, n = xyz[order], len(ids)
+    i, j = within(xyz, eps)
+    core = np.bincount(i, minlength=n) >= min_points
+    both = core[i] & core[j]
+    root = components(n, i[both], j[both])  # places by id, so the least place has the least id
+    reached = np.full(n, n)
+    from_core = core[j] & ~core[i]
+    np.minimum.at(reached, i[from_core], root[j[from_core]])
+    place = np.where(core, root, reached)
     out = np.full(n, -1, np.int64)
-    for i in np.argsort(ids, kind="stable"):
-        if core[i] and out[i] < 0:
-            stack = [i]
-            out[i] = ids[i]
-            while stack:
-                for j in near[stack.pop()]:
-                    if core[j] and out[j] < 0:
-                        out[j] = ids[i]
-                        stack.append(j)
-    for i in np.flatnonzero(~core):
-        reached = out[near[i][core[near[i]]]] if len(near[i]) else np.zeros(0)
-        if len(reached):
-            out[i] = reached.min()
+    out[order] = np.where(place < n, ids[order][np.minimum(place, n - 1)], -1)
     return out
 
 

@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from pointloom.operators.graph import connected_components
+from pointloom.operators.neighbours import nearest
+from pointloom.operators.spatial import knn_within
+from pointloom.operators.stage import staged
 
 P = ["x", "y", "z"]
 
@@ -57,49 +66,80 @@ class _Groups:
 
 def neighbour_edges(points: np.ndarray, k: int, radius: float) -> list[tuple[int, int]]:
     """Pairs i < j with j among i's k nearest (i counts) and nearer than radius."""
-    out = []
-    for i in range(len(points)):
-        d = ((points - points[i]) ** 2).sum(axis=1)
-        near = np.argsort(d, kind="stable")[:k]
-        out += [(i, int(j)) for j in near if i < j and d[j] < radius * radius]
-    return out
+    near, d = nearest(points, k, radius)
+    i, rank = np.nonzero((near > np.arange(len(points))[:, None]) & (d < radius))
+    return list(zip(i.tolist(), near[i, rank].tolist(), strict=True))
 
 
-def agglomerate(points: np.ndarray, k: int = 12, radius: float = 0.10, components: int = 30) -> np.ndarray:
-    """Group of each point: neighbours merge by least growth of volume until `components` groups or no edges are left."""
+Merge = tuple[float, int, int]  # cost, and the first points of the two groups
+
+
+def merges(points: np.ndarray, edges: list[tuple[int, int]]) -> Iterator[Merge]:
+    """The merges of neighbouring groups by least growth of volume, ties by their first points, until no edges are left."""
     groups = _Groups(np.asarray(points, float))
-    near: dict[int, set[int]] = {i: set() for i in range(len(points))}
-    heap = []
-    for i, j in neighbour_edges(groups.s, k, radius):
-        near[i].add(j)
-        near[j].add(i)
-        heap.append((groups.cost(i, j), i, j, 0, 0))
+    near: dict[int, set[int]] = {}
+    for i, j in edges:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    heap = [(groups.cost(i, j), i, j, 0, 0) for i, j in edges]
     heapq.heapify(heap)
-    version, left = [0] * len(points), len(points)
-    while heap and left > components:
-        _, i, j, vi, vj = heapq.heappop(heap)
+    version = [0] * len(points)
+    while heap:
+        cost, i, j, vi, vj = heapq.heappop(heap)
         if groups.parent[i] != i or groups.parent[j] != j or version[i] != vi or version[j] != vj:
             continue  # one side has grown since
         r = groups.join(i, j)
         version[r] += 1
-        left -= 1
+        yield cost, i, j
         near[r] = {groups.root(x) for x in near.pop(i) | near.pop(j)} - {r}
         for x in near[r]:
             near[x] = {groups.root(y) for y in near[x]} - {x}
-            heapq.heappush(heap, (groups.cost(r, x), min(r, x), max(r, x), version[min(r, x)], version[max(r, x)]))
-    return np.array([groups.root(i) for i in range(len(points))])
+            heapq.heappush(heap, (groups.cost(min(r, x), max(r, x)), min(r, x), max(r, x), version[min(r, x)], version[max(r, x)]))
 
 
-def agglomerate_frames(points: DataFrame, by: str = "frame_id", key: str = "point_id", k: int = 12, radius: float = 0.10, components: int = 30) -> DataFrame:
-    """point -> group, named by its first point. The budget of groups holds for a frame as a whole, so a (voxel-reduced) frame is one task."""
+def agglomerate(points: np.ndarray, k: int = 12, radius: float = 0.10, components: int = 30) -> np.ndarray:
+    """Group of each point, named by its first: neighbours merge until `components` groups or no edges are left."""
+    parent = np.arange(len(points))
+    for _, i, j in islice(merges(points, neighbour_edges(np.asarray(points, float), k, radius)), max(0, len(points) - components)):
+        parent[parent == j] = i
+    return parent
+
+
+_MERGES = "{by} long, part long, seq long, high double, hi long, hj long, i long, j long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        ids = pdf[key].to_numpy()
-        found = agglomerate(pdf[P].to_numpy(float), k, radius, components)
-        return pd.DataFrame({by: pdf[by].to_numpy(), key: ids, "cluster": ids[found]})
 
-    return points.select(by, key, *P).groupBy(by).applyInPandas(run, f"{by} long, {key} long, cluster long")
+def agglomerate_frames(points: DataFrame, by: str = "frame_id", key: str = "point_id", k: int = 12, radius: float = 0.10, components: int = 30) -> DataFrame:
+    """point -> group, named by its first point, as `agglomerate` gives it for each frame; `key` tells points of all frames apart.
+
+    Neighbours are found by a grid join and cut into connected parts, which cannot merge with each other: each part is
+    merged in a task of its own, down to nothing. Taken together, a frame's merges come in the order of the dearest merge that
+    each had to wait for in its part. The last of them, as many as the frame has groups to spare, are undone; what the others connect are the groups.
+    """
+    rows = staged(points.select(by, key, *P), "agglomerate")
+    edges = staged(knn_within(rows, k, radius, [by], key).filter((F.col("i") < F.col("j")) & (F.col("d") < radius)).select(by, "i", "j"), "agglomerate")
+    parts = staged(connected_components(edges, "i", "j").toDF(key, "part"), "agglomerate")
+
+    def run(cloud: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        cloud = cloud.sort_values(key)
+        ids = cloud[key].to_numpy()
+        ends = zip(np.searchsorted(ids, links["i"]).tolist(), np.searchsorted(ids, links["j"]).tolist(), strict=True)
+        out, high = [], (-np.inf, -1, -1)
+        for seq, (cost, i, j) in enumerate(merges(cloud[P].to_numpy(float), sorted(ends))):
+            high = max(high, (cost, int(ids[i]), int(ids[j])))
+            out.append((cloud[by].iloc[0], cloud["part"].iloc[0], seq, *high, ids[i], ids[j]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGES.format(by=by).split(", ")])
+
+    clouds, links = rows.join(parts, key), edges.join(parts.toDF("i", "owner"), "i").select(by, "owner", "i", "j")
+    found = staged(clouds.groupBy("part").cogroup(links.groupBy("owner")).applyInPandas(run, _MERGES.format(by=by)), "agglomerate")
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("points"))
+    spare = found.groupBy(by).agg(F.count(F.lit(1)).alias("merges")).join(counts, by).select(by, (F.col("merges") - F.greatest(F.col("points") - components, F.lit(0))).alias("spare"))
+    # Merges leave a group each, so no more than `components` are to be undone.
+    last = W.partitionBy(by).orderBy(*[F.col(c).desc() for c in ("high", "hi", "hj", "seq")])
+    undone = found.withColumn("back", F.row_number().over(last)).filter(F.col("back") <= components).join(spare, by).filter("back <= spare")
+    cut = undone.groupBy("part").agg(F.min("seq").alias("cut"))
+    kept = found.join(cut, "part", "left").filter("cut IS NULL OR seq < cut").select("i", "j")
+    groups = connected_components(kept, "i", "j").toDF(key, "cluster")
+    return rows.select(by, key).join(groups, key, "left").select(by, key, F.coalesce("cluster", key).alias("cluster"))
 
 
 @dataclass
@@ -136,8 +176,7 @@ def without_outliers(points: np.ndarray, k: int = 20, deviations: float = 1.0) -
     """Points whose mean distance to their k nearest is not far above the mean."""
     if len(points) <= k:
         return points
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)) if len(points) <= 1500 else None
-    mean = np.sort(d, axis=1)[:, :k].mean(axis=1) if d is not None else np.array([np.sort(np.sqrt(((points - p) ** 2).sum(axis=1)))[:k].mean() for p in points])
+    mean = nearest(points, k)[1].mean(axis=1)
     return points[mean <= mean.mean() + deviations * mean.std(ddof=1)]
 
 

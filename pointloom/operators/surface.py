@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.config import DEFAULT, Config
+from pointloom.operators.neighbours import nearest
 from pointloom.operators.solids import hull_volume
 from pointloom.operators.spatial import knn_within
 
@@ -100,10 +101,8 @@ def build_surface(points: np.ndarray, normals: np.ndarray, m: int = 200, config:
     x = points - centroid
     chosen = farthest(x, m)
     p, n = x[chosen], normals[chosen]
-    h = np.empty(len(p))
-    for i, q in enumerate(p):
-        mean = normals[np.argsort(((x - q) ** 2).sum(axis=1), kind="stable")[:k]].mean(axis=0)
-        h[i] = config.bandwidth * np.clip(np.linalg.norm(mean), config.bandwidth_min / config.bandwidth, 1.0)
+    resultant = np.linalg.norm(normals[nearest(x, min(k, len(x)))[0][chosen]].mean(axis=1), axis=1)
+    h = config.bandwidth * np.clip(resultant, config.bandwidth_min / config.bandwidth, 1.0)
     noise = np.tile([config.sigma_field**2, *[config.sigma_gradient**2] * 3], len(p))
     matrix = hermite_matrix(p, h) + np.diag(noise + 1e-8)
     y = np.concatenate([np.zeros((len(p), 1)), n], axis=1).ravel()
