@@ -92,7 +92,7 @@ def test_run_equals_a_plain_version(spark):
     for source, size in sizes.items():
         passes = int(target[source] // size) if size else 0
         budget, at = target[source] - passes * size, 0
-        own = sorted((int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), r.doc_id) for r in rows if r.source == source)
+        own = sorted((int(hashlib.md5(f"{r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16), r.doc_id) for r in rows if r.source == source)
         for _, doc in own:
             n = words[doc]
             more = budget > 0 and (at + n < budget or (at < budget and at + n - budget < budget - at))
