@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as g
+from pointloom.operators.map_cells import Reach, box_reach, join_map
 
 #: Semantic labels, fixed values.
 GROUND, STRUCTURE, CANDIDATE, TARGET, UNKNOWN = 0, 1, 2, 3, -1
@@ -78,27 +79,34 @@ def shell_condition(p: Sequence[Column], margin: float, thin_margin: float) -> C
     return g.in_box(p, [F.col(f"c{c}") for c in P], axes, [F.col(f"e{i}") for i in range(3)], margin, thin_margin)
 
 
-#: Tables of walls and shells are parts of one room's map; larger ones are joined without a broadcast hint.
-MAP_ROWS = 10_000
+def _wall_reach(delta: float) -> Reach:
+    """A slab; where a wall has bounds, its axes u, v and normal are taken to be at right angles and of length 1."""
+    n, u, v, c = ([F.col(f"{a}{k}") for k in P] for a in "nuvc")
+    off = g.plane_offset(n, F.col("d"), c)
+    foot = [ck - off * nk for ck, nk in zip(c, n, strict=True)]
+    box = box_reach(foot, [n, u, v], [F.lit(delta), F.col("half_width"), F.col("half_height")])
+    # The centre may lie beside its plane; moving it there along the normal leaves both bounds as they are.
+    return Reach(box.low, box.high, n, F.col("d"), F.lit(delta))
 
 
-def _map_side(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(MAP_ROWS + 1).count() <= MAP_ROWS else table
+def _shell_reach(margin: float, thin_margin: float) -> Reach:
+    widest = max(margin, thin_margin)
+    return box_reach([F.col(f"c{c}") for c in P], [[F.col(f"a{i}{c}") for c in P] for i in range(3)], [F.col(f"e{i}") + widest for i in range(3)])
 
 
 def on_walls(points: DataFrame, walls: DataFrame, delta: float, how: str = "left_semi") -> DataFrame:
     """Points on (left_semi) or off (left_anti) any wall."""
-    return points.join(_map_side(walls), wall_condition(_p(), delta), how)
+    return join_map(points, walls, wall_condition(_p(), delta), _wall_reach(delta), how)
 
 
 def in_shells(points: DataFrame, shells: DataFrame, margin: float = 0.15, thin_margin: float = 0.04, how: str = "left_semi") -> DataFrame:
     """Points in (left_semi) or outside (left_anti) all stretched shells."""
-    return points.join(_map_side(shells), shell_condition(_p(), margin, thin_margin), how)
+    return join_map(points, shells, shell_condition(_p(), margin, thin_margin), _shell_reach(margin, thin_margin), how)
 
 
 def near_wall_share(points: DataFrame, shells: DataFrame, by: Sequence[str], margin: float, thin_margin: float) -> DataFrame:
     """Per group: how many (point, shell) hits there are for each point; a point in two shells counts twice."""
-    hits = points.join(_map_side(shells), shell_condition(_p(), margin, thin_margin), "left_outer")
+    hits = join_map(points, shells, shell_condition(_p(), margin, thin_margin), _shell_reach(margin, thin_margin), "left_outer")
     counts = hits.groupBy(*by).agg(F.count("shell_id").alias("hits"), F.countDistinct("point_id").alias("n"))
     return counts.withColumn("share", F.col("hits") / F.col("n"))
 
