@@ -63,18 +63,19 @@ def _diameter(*clouds: DataFrame) -> float:
     return sum((v or 0.0) ** 2 for v in functools.reduce(DataFrame.unionByName, finite).agg(*spans).first()) ** 0.5
 
 
-def nearest_label(points: DataFrame, reference: DataFrame, radius: float, label: str, by: Sequence[str] = (), key: str = "point_id", others: bool = False) -> DataFrame:
+def nearest_label(points: DataFrame, reference: DataFrame, radius: float | None, label: str, by: Sequence[str] = (), key: str = "point_id", others: bool = False) -> DataFrame:
     """Each point's label of its nearest reference point (of another key, if `others`), however far that is.
 
-    The radius doubles until all points have one, or until it spans both clouds: points that have none
-    then (not finite, or without a reference point in their group) get no row.
+    The radius (by default as far as reference points lie apart on average) doubles until all points have one, or until it spans both clouds: points that have none
+    then (not finite, or without a reference point in their group) get no row. The points still left, fewer each time, are those repeated for their cells.
     """
     points, reference, out = staged(points, "nearest"), staged(reference, "nearest"), None
     left, reach = points, _diameter(points, reference)
+    radius = radius or max(reach, 1e-9) / max(1, reference.count()) ** (1 / 3)
     while True:
-        met = radius_join(left, reference, radius, by)
+        met = radius_join(reference, left, radius, by)
         met = met.filter(F.col(f"a.{key}") != F.col(f"b.{key}")) if others else met
-        found = met.groupBy(F.col(f"a.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"b.{label}").alias(label), "d"), F.struct("d", F.col(f"b.{key}").alias("j"))).alias("n")).select(key, f"n.{label}", "n.d")
+        found = met.groupBy(F.col(f"b.{key}").alias(key)).agg(F.min_by(F.struct(F.col(f"a.{label}").alias(label), "d"), F.struct("d", F.col(f"a.{key}").alias("j"))).alias("n")).select(key, f"n.{label}", "n.d")
         found = staged(found, "nearest")
         out = found if out is None else out.unionByName(found)
         left = points.join(out.select(key), key, "left_anti")

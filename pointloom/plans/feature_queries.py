@@ -36,11 +36,11 @@ def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.knn_within(pts(spark, sf_dir), 6, 0.1).filter("i < j").select("i", "j", F.round("d", 6).alias("d"), "rank")
 
 
-@query(f"WITH {PTS} SELECT a.point_id, arg_min(b.frame_id, struct_pack(d := {D}, j := b.point_id)) AS label, round(min({D}), 6) AS d FROM pts a JOIN pts b ON b.point_id % 5 = 0 WHERE a.point_id % 5 <> 0 GROUP BY a.point_id")
+@query(f"WITH {PTS} SELECT a.point_id, arg_min(b.frame_id, struct_pack(d := {D}, j := b.point_id)) AS label, round(min({D}), 6) AS d FROM pts a JOIN pts b ON a.point_id <> b.point_id GROUP BY a.point_id")
 def nn_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame of each point's nearest other point."""
     points = pts(spark, sf_dir)
-    reference = points.filter("point_id % 5 = 0").withColumnRenamed("frame_id", "label")
-    return S.nearest_label(points.filter("point_id % 5 <> 0"), reference, 0.15, "label").select("point_id", "label", F.round("d", 6).alias("d"))
+    return S.nearest_label(points, points.withColumnRenamed("frame_id", "label"), None, "label", others=True).select("point_id", "label", F.round("d", 6).alias("d"))
 
 
 @query(f"WITH {PTS}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pts WHERE frame_id = 2) SELECT point_id, CASE WHEN sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) <= 0.2 THEN 3 ELSE 2 END AS label FROM pts, m")
@@ -180,7 +180,7 @@ def radiometric_c0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.radiometric_c0(big_pts(spark, sf_dir), ["frame_id"]).select("frame_id", F.round("c0", 6).alias("c0"))
 
 
-PRIMS = "prims AS (SELECT point_id AS k, x AS px, y AS py, z AS pz, 0.12::DOUBLE AS h, 0.5 + intensity AS alpha_v, x AS alpha_gx, y AS alpha_gy, z AS alpha_gz FROM pts WHERE point_id % 10 = 0)"
+PRIMS = "prims AS (SELECT point_id AS k, x AS px, y AS py, z AS pz, 0.12::DOUBLE AS h, 0.5 + intensity AS alpha_v, x AS alpha_gx, y AS alpha_gy, z AS alpha_gz FROM pts)"
 FIELD = f"""t AS (SELECT pts.frame_id, pts.point_id, sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) AS r, h, alpha_v, (x - px) * alpha_gx + (y - py) * alpha_gy + (z - pz) * alpha_gz AS pull FROM pts JOIN prims ON sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2) < h),
     s AS (SELECT point_id, sum((1 - r / h) ** 4 * (4 * r / h + 1) * alpha_v - CASE WHEN r > 1e-9 THEN -20 * (r / h) * (1 - r / h) ** 3 / h / r ELSE 0 END * pull) AS field FROM t GROUP BY point_id),
     f AS (SELECT pts.frame_id, pts.point_id, coalesce(field, 0.08) AS field FROM pts LEFT JOIN s USING (point_id))"""
@@ -188,7 +188,7 @@ FIELD = f"""t AS (SELECT pts.frame_id, pts.point_id, sqrt((x - px) ** 2 + (y - p
 
 def _field(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = pts(spark, sf_dir)
-    prims = points.filter("point_id % 10 = 0").select(*[F.col(c).alias(f"p{c}") for c in "xyz"], F.lit(0.12).alias("h"), (0.5 + F.col("intensity")).alias("alpha_v"), *[F.col(c).alias(f"alpha_g{c}") for c in "xyz"])
+    prims = points.select(*[F.col(c).alias(f"p{c}") for c in "xyz"], F.lit(0.12).alias("h"), (0.5 + F.col("intensity")).alias("alpha_v"), *[F.col(c).alias(f"alpha_g{c}") for c in "xyz"])
     return S.field_value(points, prims)
 
 
@@ -303,13 +303,15 @@ def ransac_fixed_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {PTS}, o AS (SELECT * FROM pts WHERE frame_id = 4),
-    f(rank, ids) AS (SELECT 1::BIGINT, [min(point_id)] FROM o UNION ALL
-      SELECT rank + 1, list_append(ids, (SELECT arg_max(c.point_id, struct_pack(d := c.d, k := -c.point_id)) FROM (SELECT a.point_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM o a JOIN o b ON list_contains(ids, b.point_id) GROUP BY a.point_id) c)) FROM f WHERE rank < 8)
-    SELECT 4::BIGINT AS frame_id, rank, ids[rank] AS point_id FROM f"""
+    f"""WITH RECURSIVE {PTS}, f(frame_id, rank, ids) AS (SELECT frame_id, 1::BIGINT, [min(point_id)] FROM pts GROUP BY frame_id UNION ALL
+      SELECT frame_id, rank + 1, list_append(ids, arg_max(point_id, struct_pack(d := d, k := -point_id))) FROM (
+        SELECT f.frame_id, f.rank, f.ids, a.point_id, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d
+        FROM f JOIN pts a ON a.frame_id = f.frame_id AND NOT list_contains(f.ids, a.point_id) JOIN pts b ON b.frame_id = f.frame_id AND list_contains(f.ids, b.point_id)
+        WHERE f.rank < 8 GROUP BY f.frame_id, f.rank, f.ids, a.point_id) GROUP BY frame_id, rank, ids)
+    SELECT frame_id, rank, ids[rank] AS point_id FROM f"""
 )
 def fps_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.farthest_points(pts(spark, sf_dir).filter("frame_id = 4"), 8)
+    return C.farthest_points(pts(spark, sf_dir), 8)
 
 
 @query(f"WITH {PTS}, {KNN}, a AS (SELECT list_sort(list(j)) AS s FROM knn WHERE i = 3), b AS (SELECT list_sort(list(j)) AS s FROM knn WHERE i = (SELECT max(j) FROM knn WHERE i = 3)) SELECT list_sort(list_distinct(list_concat(a.s, b.s))) AS merged, list_sort(list_filter(a.s, lambda x: NOT list_contains(b.s, x))) AS only_a FROM a, b")

@@ -15,7 +15,7 @@ from pointloom.operators import spatial as S
 from pointloom.operators import surface as U
 from pointloom.operators.registration import register_clusters
 from pointloom.operators.stage import shared_dir
-from pointloom.plans import feature_queries  # noqa: F401  its SQL for dbscan holds here too
+from pointloom.plans import feature_queries, point_queries  # noqa: F401  their SQL holds here too
 from pointloom.plans.registry import ORACLES, query
 from pointloom.plans.track_sql import FITS, track_sql
 from pointloom.plans.views import PTS, big_pts, pts, shells, table
@@ -85,15 +85,13 @@ def _bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts(spark, sf_dir).agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
 
 
-@query()
+@query(ORACLES["grid_generate"])
 def grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grid_generate over the points of all frames."""
     return P.regular_grid(_bounds(spark, sf_dir), 0.05, 0.05).select("ix", "iy", "iz", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query()
+@query(ORACLES["fps_small"])
 def fps_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fps_small over every frame."""
     return C.farthest_points(pts(spark, sf_dir), 8)
 
 
@@ -104,9 +102,9 @@ def surface_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.sign_change_cells(grid).select("along", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query()
+@query(ORACLES["nn_label_join"])
 def nn_label_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nn_label_join with every point on both sides: the frame of each point's nearest other point."""
+    """The same from a narrow first radius, which doubles more often."""
     points = pts(spark, sf_dir)
     return S.nearest_label(points, points.withColumnRenamed("frame_id", "label"), 0.02, "label", others=True).select("point_id", "label", F.round("d", 6).alias("d"))
 

@@ -148,14 +148,14 @@ def polyline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PTS}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy, min(z) loz, max(z) hiz FROM pts WHERE frame_id = 3)
+    f"""WITH {PTS}, b AS (SELECT min(x) lox, max(x) hix, min(y) loy, max(y) hiy, min(z) loz, max(z) hiz FROM pts)
     SELECT i.i AS ix, j.i AS iy, k.i AS iz, round(lox - 0.05 + i.i * 0.05, 6) AS x, round(loy - 0.05 + j.i * 0.05, 6) AS y, round(loz - 0.05 + k.i * 0.05, 6) AS z
     FROM b, LATERAL (SELECT CAST(unnest(range(0, CAST(floor((hix - lox + 0.1) / 0.05) AS BIGINT) + 1)) AS INTEGER) AS i) i,
     LATERAL (SELECT CAST(unnest(range(0, CAST(floor((hiy - loy + 0.1) / 0.05) AS BIGINT) + 1)) AS INTEGER) AS i) j,
     LATERAL (SELECT CAST(unnest(range(0, CAST(floor((hiz - loz + 0.1) / 0.05) AS BIGINT) + 1)) AS INTEGER) AS i) k"""
 )
 def grid_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = pts(spark, sf_dir).filter("frame_id = 3").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    one = pts(spark, sf_dir).agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
     grid = P.regular_grid(one, 0.05, 0.05)
     return grid.select("ix", "iy", "iz", *[F.round(c, 6).alias(c) for c in "xyz"])
 
