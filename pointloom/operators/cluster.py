@@ -99,42 +99,65 @@ def range_components(points: DataFrame, azimuth_bins: int, elevation_bins: int,
     return out.join(large, "segment", "left_semi").select(*by, key, "segment")
 
 
-def triple_planes(points: DataFrame, triples: DataFrame, key: str = "point_id") -> DataFrame:
-    """hypothesis, n and d of the planes through triples (hypothesis, a, b, c) of points; degenerate ones go."""
+def triple_planes(points: DataFrame, triples: DataFrame, key: str = "point_id", by: Sequence[str] = ()) -> DataFrame:
+    """by, hypothesis, n and d of the planes through triples (hypothesis, a, b, c) of points; degenerate ones go."""
     at = points.select(F.col(key), F.struct(*P).alias("p"))
     t = triples
     for c in "abc":
         t = t.join(at.toDF(c, f"p{c}"), c)
     get = lambda c: [F.col(f"p{c}.{v}") for v in P]
     n = g.cross(g.sub(get("b"), get("a")), g.sub(get("c"), get("a")))
-    raw = t.select("hypothesis", "pa", *[v.alias(f"r{c}") for v, c in zip(n, P, strict=True)])
+    raw = t.select(*by, "hypothesis", "pa", *[v.alias(f"r{c}") for v, c in zip(n, P, strict=True)])
     length = g.norm([F.col(f"r{c}") for c in P])
     sign = F.when(F.col("rz") < 0, -1.0).otherwise(1.0)
-    planes = raw.filter(length > 1e-12).select("hypothesis", "pa", *[(F.col(f"r{c}") / length * sign).alias(f"n{c}") for c in P])
-    return planes.select("hypothesis", "nx", "ny", "nz", (-g.dot([F.col(f"n{c}") for c in P], get("a"))).alias("d"))
+    planes = raw.filter(length > 1e-12).select(*by, "hypothesis", "pa", *[(F.col(f"r{c}") / length * sign).alias(f"n{c}") for c in P])
+    return planes.select(*by, "hypothesis", "nx", "ny", "nz", (-g.dot([F.col(f"n{c}") for c in P], get("a"))).alias("d"))
 
 
-def count_inliers(points: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """Planes with their inlier counts; hypotheses are few by choice and broadcast."""
-    hit = F.abs(g.plane_offset([F.col("nx"), F.col("ny"), F.col("nz")], F.col("d"), [F.col(c) for c in P])) < threshold
-    met = points.crossJoin(F.broadcast(planes)).groupBy("hypothesis").agg(F.count_if(hit).alias("inliers"))
-    return planes.join(met, "hypothesis")
+def count_inliers(points: DataFrame, planes: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """Planes (by, hypothesis, nx, ny, nz, d) with their inlier counts.
 
-
-def hashed_triples(points: DataFrame, rounds: int, key: str = "point_id", seed: int = 42) -> DataFrame:
-    """`rounds` triples of different points, drawn by hash: reruns draw the same."""
-    parts = []
+    A group's planes become one array, whose length bounds the plane's columns of counts: one aggregate passes over the points once, with no row for a (point, plane).
+    """
+    most = planes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if not most:
+        return planes.withColumn("inliers", F.lit(0).cast("long"))
+    packed = planes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("hypothesis", "nx", "ny", "nz", "d"))).alias("planes"))
+    met = points.join(packed, list(by)) if by else points.crossJoin(F.broadcast(packed))
+    plane = lambda k: F.get("planes", k if isinstance(k, Column) else F.lit(k))
+    hit = lambda k: F.abs(g.plane_offset([plane(k)[f"n{c}"] for c in P], plane(k)["d"], [F.col(c) for c in P])) < threshold
+    counted = met.groupBy(*by).agg(*[F.count_if(hit(k)).alias(f"c{k}") for k in range(most)])
+    counts = F.posexplode(F.array(*[f"c{k}" for k in range(most)]))
+    rows = packed.join(counted, list(by)) if by else packed.crossJoin(F.broadcast(counted))
+    rows = rows.select(*by, "planes", counts.alias("k", "inliers")).filter(F.col("k") < F.size("planes"))
+    return rows.select(*by, plane(F.col("k")).alias("p"), "inliers").select(*by, "p.*", "inliers")
+
+
+def hashed_triples(points: DataFrame, rounds: int, key: str = "point_id", seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """Up to `rounds` triples of different points of each group, drawn by hash: reruns draw the same."""
+    out = None
     for slot in range(3):
         order = F.conv(F.substring(F.md5(F.concat_ws(",", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(slot))).cast("binary")), 1, 15), 16, 10).cast("long")
-        parts.append(points.select(F.col(key), order.alias("h")).orderBy("h", key).limit(rounds).select(F.row_number().over(W.orderBy("h", key)).alias("hypothesis"), F.col(key).alias("abc"[slot])))
-    out = parts[0].join(parts[1], "hypothesis").join(parts[2], "hypothesis")
+        drawn = points.select(*by, F.col(key).alias("abc"[slot]), order.alias("h"))
+        # Without groups a sort with a limit leaves few rows for the window; with them, the window's own limit does.
+        drawn = drawn if by else drawn.orderBy("h", "abc"[slot]).limit(rounds)
+        ranked = drawn.withColumn("hypothesis", F.row_number().over(W.partitionBy(*by).orderBy("h", "abc"[slot]))).filter(F.col("hypothesis") <= rounds).drop("h")
+        out = ranked if out is None else out.join(ranked, [*by, "hypothesis"])
     return out.filter("a <> b AND b <> c AND a <> c")
 
 
 def ransac_plane(points: DataFrame, threshold: float, rounds: int, key: str = "point_id", seed: int = 42) -> DataFrame:
     """The plane (nx, ny, nz, d; nz >= 0) with most inliers among hashed hypotheses, one row."""
     counted = count_inliers(points, triple_planes(points, hashed_triples(points, rounds, key, seed), key), threshold)
-    return counted.orderBy(F.desc("inliers"), "hypothesis").limit(1)
+    return counted.orderBy(F.desc("inliers"), "hypothesis").limit(1).select("hypothesis", "nx", "ny", "nz", "d", "inliers")
+
+
+def ransac_planes(points: DataFrame, by: Sequence[str], threshold: float, rounds: int, key: str = "point_id", seed: int = 42) -> DataFrame:
+    """The same for every group at once, which has a row if any of its triples spans a plane; `key` tells points of all groups apart."""
+    planes = staged(triple_planes(points, hashed_triples(points, rounds, key, seed, by), key, by), "hypotheses")
+    counted = count_inliers(points, planes, threshold, by)
+    best = F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", (-F.col("hypothesis")).alias("first"))).alias("p")
+    return counted.groupBy(*by).agg(best).select(*by, "p.*")
 
 
 def remove_outliers(points: DataFrame, k: int, radius: float, deviations: float, by: Sequence[str] = (), key: str = "point_id") -> DataFrame:

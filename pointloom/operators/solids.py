@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.config import DEFAULT, Config
+from pointloom.functions import geometry as g
 from pointloom.operators import features as A
+from pointloom.operators.cluster import ransac_planes
+from pointloom.operators.stage import staged
 
 P = ["x", "y", "z"]
 FLAT_VOLUME = 0.02  # stands for the volume of clusters that span no solid
@@ -70,45 +73,25 @@ def hull_volumes(points: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.select(*keys, *P).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", volume double, solid boolean")
 
 
-def fit_plane(points: np.ndarray, threshold: float, rounds: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """(normal, offset, inliers) of the plane through three of the points with most inliers; seeded."""
-    rng = np.random.default_rng(seed)
-    triples = np.array([rng.choice(len(points), 3, replace=False) for _ in range(rounds)])
-    a, b, c = (points[triples[:, i]] for i in range(3))
-    n = np.cross(b - a, c - a)
-    length = np.linalg.norm(n, axis=1)
-    n = n / np.where(length > 1e-12, length, 1)[:, None]
-    d = -(n * a).sum(axis=1)
-    hit = (np.abs(points @ n.T + d) < threshold) & (length > 1e-12)
-    best = int(hit.sum(axis=0).argmax())
-    return n[best], float(d[best]), hit[:, best]
-
-
-def corner_test(points: np.ndarray, config: Config = DEFAULT, threshold: float = 0.04, rounds: int = 30, seed: int = 7) -> tuple[float, bool]:
-    """(share of points on two planes, whether they form a room corner)."""
-    if len(points) < 20:
-        return 0.0, False
-    n1, _, first = fit_plane(points, threshold, rounds, seed)
-    if first.sum() < 6:
-        return 0.0, False
-    rest = points[~first]
-    if len(rest) < 6:
-        return float(first.mean()), False
-    n2, _, second = fit_plane(rest, threshold, rounds, seed + 1)
-    share = float((first.sum() + second.sum()) / len(points))
-    angle = np.degrees(np.arccos(np.clip(abs(n1 @ n2), 0, 1)))
-    return share, bool(share >= config.dihedral_share and config.dihedral_low_deg <= angle <= config.dihedral_high_deg)
-
-
-def corners(points: DataFrame, by: Sequence[str], config: Config = DEFAULT) -> DataFrame:
-    """Corner share and verdict per cluster."""
-    keys, types = list(by), dict(points.dtypes)
+def corners(points: DataFrame, by: Sequence[str], config: Config = DEFAULT, threshold: float = 0.04, rounds: int = 30, seed: int = 7, key: str = "point_id") -> DataFrame:
+    """two_plane_share and corner per cluster: the share of points on the best plane and the best one through the rest, and whether these meet like walls.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        share, corner = corner_test(pdf.sort_values(P)[P].to_numpy(float), config)
-        return pdf[keys].head(1).assign(two_plane_share=share, corner=corner)
-
-    return points.select(*keys, *P).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", two_plane_share double, corner boolean")
+    Clusters under 20 points, or without a plane of six, have share 0; fewer than six points beside the first plane make no second one.
+    """
+    keys = list(by)
+    offset = lambda n: F.abs(g.plane_offset([F.col(f"{n}x"), F.col(f"{n}y"), F.col(f"{n}z")], F.col(f"{n}d"), [F.col(c) for c in P]))
+    named = lambda df, n: df.select(*keys, *[F.col(f"n{c}").alias(f"{n}{c}") for c in P], F.col("d").alias(f"{n}d"), F.col("inliers").alias(f"{n}n"))
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = points.select(*keys, key, *P).join(sizes.filter("n >= 20"), keys, "left_semi")
+    first = staged(named(ransac_planes(large, keys, threshold, rounds, key, seed).filter("inliers >= 6"), "f"), "corners")
+    rest = staged(large.join(first, keys).filter(offset("f") >= threshold).select(*keys, key, *P), "corners")
+    enough = rest.groupBy(*keys).count().filter("count >= 6")
+    second = named(ransac_planes(rest.join(enough, keys, "left_semi"), keys, threshold, rounds, key, seed + 1), "s")
+    found = sizes.join(first, keys, "left").join(second, keys, "left")
+    share = (F.coalesce("fn", F.lit(0)) + F.coalesce("sn", F.lit(0))) / F.col("n")
+    angle = F.degrees(F.acos(F.least(F.abs(g.dot([F.col(f"f{c}") for c in P], [F.col(f"s{c}") for c in P])), F.lit(1.0))))
+    corner = (share >= config.dihedral_share) & angle.between(config.dihedral_low_deg, config.dihedral_high_deg)
+    return found.select(*keys, share.alias("two_plane_share"), F.coalesce(corner, F.lit(False)).alias("corner"))
 
 
 def cascade(points: DataFrame, by: Sequence[str], config: Config = DEFAULT, extent_mean: Sequence[float] = (0.38, 0.38, 0.42), extent_sigma: Sequence[float] = (0.15, 0.15, 0.18), least_likelihood: float = -15.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from pointloom.operators.stage import shared_dir
 from pointloom.plans import feature_queries, point_queries  # noqa: F401  their SQL holds here too
 from pointloom.plans.registry import ORACLES, query
 from pointloom.plans.track_sql import FITS, track_sql
-from pointloom.plans.views import PTS, big_pts, pts, shells, table
+from pointloom.plans.views import PTS, SHELLS, big_pts, pts, shells, table
 from pointloom.streaming.buffer import accumulate
 from pointloom.streaming.tracker import OUTPUT as TRACK_OUTPUT
 from pointloom.streaming.tracker import state_store, track_batch, track_stream
@@ -31,17 +33,63 @@ def _rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big_pts(spark, sf_dir).withColumns({"x": F.col("x") / 5, "y": F.col("y") / 5, "z": F.col("z")})
 
 
-@query()
+def _cross(a: str, b: str) -> list[str]:
+    """The cross product of (ax, ay, az) and (bx, by, bz)."""
+    return [f"({a}{p} * {b}{q} - {a}{q} * {b}{p})" for p, q in ("yz", "zx", "xy")]
+
+
+#: Faces of the hull are the triples with all other points of the frame on one side.
+_HULL = f"""ends AS (SELECT a.frame_id, a.point_id AS i, b.point_id AS j, c.point_id AS k, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz
+      FROM pts a JOIN pts b ON a.frame_id = b.frame_id AND a.point_id < b.point_id JOIN pts c ON a.frame_id = c.frame_id AND b.point_id < c.point_id),
+    tri AS (SELECT frame_id, i, j, k, ax, ay, az, {', '.join(f'{v} AS n{c}' for v, c in zip(_cross('u', 'v'), 'xyz', strict=True))} FROM ends),
+    faces AS (SELECT t.frame_id, i, j, k, any_value(ax) AS ax, any_value(ay) AS ay, any_value(az) AS az, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz
+      FROM tri t JOIN pts p ON p.frame_id = t.frame_id AND p.point_id NOT IN (i, j, k) GROUP BY t.frame_id, i, j, k HAVING min(nx * (x - ax) + ny * (y - ay) + nz * (z - az)) >= 0 OR max(nx * (x - ax) + ny * (y - ay) + nz * (z - az)) <= 0),
+    middle AS (SELECT frame_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pts GROUP BY frame_id),
+    hulls AS (SELECT frame_id, sum(abs(nx * (mx - ax) + ny * (my - ay) + nz * (mz - az))) / 6 AS volume FROM faces JOIN middle USING (frame_id) GROUP BY frame_id)"""
+
+
+@query(f"WITH {PTS}, {_HULL} SELECT frame_id, round(volume, 6) AS volume, true AS solid FROM hulls")
 def hull_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hull_volumes(pts(spark, sf_dir), ["frame_id"]).select("frame_id", F.round("volume", 6).alias("volume"), "solid")
 
 
-@query()
+def _planes_sql(name: str, source: str, threshold: float, rounds: int, seed: int) -> str:
+    """`name`: each frame's plane (nx, ny, nz, d, inliers) of `source` with most inliers among hashed triples."""
+    draws = ", ".join(f"{name}{k} AS (SELECT frame_id, point_id, x, y, z, row_number() OVER (PARTITION BY frame_id ORDER BY CAST('0x' || substr(md5(point_id || ',{seed},{k}'), 1, 15) AS BIGINT), point_id) AS hypothesis FROM {source})" for k in range(3))
+    side = lambda k, v: ", ".join(f"s{k}.{c} - s0.{c} AS {v}{c}" for c in "xyz")
+    return f"""{draws},
+    {name}_v AS (SELECT frame_id, hypothesis, s0.x AS ax, s0.y AS ay, s0.z AS az, {side(1, 'u')}, {side(2, 'v')} FROM {name}0 s0 JOIN {name}1 s1 USING (frame_id, hypothesis) JOIN {name}2 s2 USING (frame_id, hypothesis)
+      WHERE hypothesis <= {rounds} AND s0.point_id <> s1.point_id AND s1.point_id <> s2.point_id AND s0.point_id <> s2.point_id),
+    {name}_r AS (SELECT *, {', '.join(f'{v} AS r{c}' for v, c in zip(_cross('u', 'v'), 'xyz', strict=True))} FROM {name}_v),
+    {name}_k AS (SELECT *, CASE WHEN rz < 0 THEN -1.0 ELSE 1.0 END / sqrt(rx * rx + ry * ry + rz * rz) AS k FROM {name}_r WHERE rx * rx + ry * ry + rz * rz > 1e-24),
+    {name}_p AS (SELECT frame_id, hypothesis, rx * k AS nx, ry * k AS ny, rz * k AS nz, -(rx * k * ax + ry * k * ay + rz * k * az) AS d FROM {name}_k),
+    {name}_c AS (SELECT p.frame_id, p.hypothesis, any_value(nx) AS nx, any_value(ny) AS ny, any_value(nz) AS nz, any_value(d) AS d, count(*) FILTER (abs(nx * x + ny * y + nz * z + d) < {threshold}) AS inliers FROM {name}_p p JOIN {source} q ON q.frame_id = p.frame_id GROUP BY p.frame_id, p.hypothesis),
+    {name} AS (SELECT * FROM {name}_c QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY inliers DESC, hypothesis) = 1)"""
+
+
+_CORNERS = f"""sizes AS (SELECT frame_id, count(*) AS n FROM pts GROUP BY frame_id), large AS (SELECT pts.* FROM pts JOIN sizes USING (frame_id) WHERE n >= 20),
+    {_planes_sql('first', 'large', 0.04, 30, 7)}, kept AS (SELECT * FROM first WHERE inliers >= 6),
+    beside AS (SELECT l.* FROM large l JOIN kept f USING (frame_id) WHERE abs(nx * x + ny * y + nz * z + d) >= 0.04), rest AS (SELECT * FROM beside QUALIFY count(*) OVER (PARTITION BY frame_id) >= 6),
+    {_planes_sql('second', 'rest', 0.04, 30, 8)},
+    pairs AS (SELECT s.frame_id, (coalesce(f.inliers, 0) + coalesce(g.inliers, 0)) / s.n AS two_plane_share, degrees(acos(least(abs(f.nx * g.nx + f.ny * g.ny + f.nz * g.nz), 1.0))) AS angle FROM sizes s LEFT JOIN kept f ON f.frame_id = s.frame_id LEFT JOIN second g ON g.frame_id = s.frame_id),
+    corners AS (SELECT frame_id, two_plane_share, coalesce(two_plane_share >= {WIDE.dihedral_share} AND angle BETWEEN {WIDE.dihedral_low_deg} AND {WIDE.dihedral_high_deg}, false) AS corner FROM pairs)"""
+
+
+@query(f"WITH {PTS}, {_CORNERS} SELECT frame_id, round(two_plane_share, 6) AS two_plane_share, corner FROM corners")
 def dihedral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.corners(pts(spark, sf_dir), ["frame_id"]).select("frame_id", F.round("two_plane_share", 6).alias("two_plane_share"), "corner")
 
 
-@query()
+_VOLUMETRICITY = ORACLES["volumetricity"].replace("round(low / (low + mid + high), 6) AS volumetricity", "low / (low + mid + high) AS volumetricity")
+
+
+@query(
+    f"""WITH {PTS}, {_HULL}, {_CORNERS}, flat AS ({_VOLUMETRICITY}),
+    boxes AS (SELECT frame_id, count(*) AS n, avg(x) ** 2 + avg(y) ** 2 + avg(z) ** 2 AS r2, -0.5 * (((max(x) - min(x) - 0.6) / 0.2) ** 2 + ((max(y) - min(y) - 0.6) / 0.2) ** 2 + ((max(z) - min(z) - 0.5) / 0.2) ** 2) AS likelihood FROM pts GROUP BY frame_id HAVING count(*) >= {WIDE.min_cluster}),
+    judged AS (SELECT *, volume >= {WIDE.v_nominal} * (1 - exp(-{WIDE.gamma} * n / (r2 + 1e-6))) AND volume <= {WIDE.kappa_volume * math.prod(WIDE.body_extents)}
+      AND n / greatest(volume, 1e-5) >= {WIDE.rho_base} / (1 + exp(-(n - {WIDE.n0}) / {WIDE.kappa_n})) + {WIDE.rho_floor} AS hull_ok FROM boxes JOIN hulls USING (frame_id) JOIN corners USING (frame_id) JOIN flat USING (frame_id))
+    SELECT frame_id, n, round(volume, 6) AS volume, corner, hull_ok, hull_ok AND NOT corner AND volumetricity >= {WIDE.volumetricity_min} AND likelihood > -15.0 AS passes FROM judged"""
+)
 def cascade_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = V.cascade(pts(spark, sf_dir), ["frame_id"], WIDE, (0.6, 0.6, 0.5), (0.2, 0.2, 0.2))
     return found.select("frame_id", "n", F.round("volume", 6).alias("volume"), "corner", "hull_ok", "passes")
@@ -219,7 +267,17 @@ def dbscan_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dbscan_per_frame(pts(spark, sf_dir), 0.15, 6)
 
 
-@query()
+def _flagship_sql() -> str:
+    inside = " AND ".join(f"abs({' + '.join(f'a{i}{c} * ({c} - c{c})' for c in 'xyz')}) < e{i}" for i in range(3))
+    steps = ORACLES["dbscan"].split("SELECT frame_id, point_id, cluster FROM pts LEFT JOIN labels")[0].replace("FROM pts a JOIN pts b", "FROM free a JOIN free b")
+    head, near = steps.split(", near AS", 1)
+    return f"""{head}, {SHELLS}, free AS (SELECT * FROM pts WHERE abs(z + 0.1) >= 0.03 AND NOT EXISTS (SELECT 1 FROM shells WHERE {inside})), near AS{near},
+    members AS (SELECT free.*, cluster FROM free JOIN labels ON i = point_id),
+    sizes AS (SELECT frame_id, cluster, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, round(0.5 * (((max(x) - min(x) - 0.4) / 0.1) ** 2 + ((max(y) - min(y) - 0.4) / 0.1) ** 2 + ((max(z) - min(z) - 0.4) / 0.1) ** 2), 6) AS score FROM members GROUP BY frame_id, cluster)
+    SELECT frame_id, cluster, n, score, round(mx, 6) + 0.0 AS mx, round(my, 6) + 0.0 AS my, round(mz, 6) + 0.0 AS mz FROM sizes QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score, cluster) = 1"""
+
+
+@query(_flagship_sql())
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Align, drop ground and shells, cluster, and pick each frame's best cluster by its extents."""
     points = P.drop_nonfinite(pts(spark, sf_dir))
@@ -231,4 +289,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     likelihood = A.extent_likelihood(F.col("sx"), F.col("sy"), F.col("sz"), (0.4, 0.4, 0.4), (0.1, 0.1, 0.1))
     scored = sizes.withColumn("score", F.round(-likelihood, 6))
     best = A.best_by(scored, ["frame_id"], "score", "cluster", ["n", "mx", "my", "mz"])
-    return best.select("frame_id", "cluster", "n", "score", *[F.round(c, 6).alias(c) for c in ("mx", "my", "mz")])
+    return best.select("frame_id", "cluster", "n", "score", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mx", "my", "mz")])

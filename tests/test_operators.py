@@ -19,7 +19,7 @@ from pointloom.operators import spatial as S
 from pointloom.operators.graph import connected_components
 from pointloom.operators.registration import gauss_newton, score
 from pointloom.operators.shells import agglomerate, merge_boxes, split_boxes, upright_box
-from pointloom.operators.solids import corner_test, hull_volume
+from pointloom.operators.solids import corners, hull_volume
 from pointloom.operators.surface import build_surface, hermite_matrix
 from pointloom.streaming.tracker import ACTIVE, COASTING, SEARCHING, Track, step
 
@@ -100,12 +100,30 @@ def test_hull_of_flat_sets_is_none():
     assert hull_volume(flat) is None and hull_volume(flat[:3]) is None and hull_volume(np.outer(np.arange(9.0), [1, 1, 1])) is None
 
 
-def test_corner_test_tells_corners_from_balls():
+def test_corner_test_tells_corners_from_balls(spark):
     rng = np.random.default_rng(5)
     a, b = rng.random((150, 3)) * [1, 0.01, 1], rng.random((150, 3)) * [0.01, 1, 1]
     ball = rng.normal(size=(300, 3))
     ball /= np.linalg.norm(ball, axis=1)[:, None]
-    assert corner_test(np.vstack([a, b]))[1] and not corner_test(ball)[1] and corner_test(ball[:5]) == (0.0, False)
+    wall = rng.random((60, 3)) * [1, 0.001, 1]
+    clouds = {0: np.vstack([a, b]), 1: ball, 2: ball[:5], 3: wall, 4: np.repeat(ball[:1], 30, axis=0)}
+    rows = [(f, 1000 * f + i, *map(float, p)) for f, c in clouds.items() for i, p in enumerate(c)]
+    found = {r.frame_id: r for r in corners(spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double"), ["frame_id"]).collect()}
+    assert found[0].corner and found[0].two_plane_share > 0.95 and not found[1].corner
+    assert (found[2].two_plane_share, found[2].corner) == (0.0, False)  # too few points
+    assert (found[3].two_plane_share, found[3].corner) == (1.0, False)  # nothing beside the first plane
+    assert (found[4].two_plane_share, found[4].corner) == (0.0, False)  # no triple spans a plane
+
+
+def test_inliers_are_counted_for_groups_and_planes_alike(spark):
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(f, 100 * f + i, *map(float, p)) for f in range(3) for i, p in enumerate(rng.normal(size=(40, 3)))], "frame_id long, point_id long, x double, y double, z double")
+    planes = C.triple_planes(points, C.hashed_triples(points, 9, by=["frame_id"]), by=["frame_id"])
+    got = {(r.frame_id, r.hypothesis): r for r in C.count_inliers(points, planes, 0.4, ["frame_id"]).collect()}
+    xyz = {f: np.array([[r.x, r.y, r.z] for r in points.collect() if r.frame_id == f]) for f in range(3)}
+    assert len(got) == planes.count() and {f for f, _ in got} == {0, 1, 2}
+    for (f, _), r in got.items():
+        assert r.inliers == int((np.abs(xyz[f] @ [r.nx, r.ny, r.nz] + r.d) < 0.4).sum())
 
 
 def test_eigenvalues_equal_numpy(spark):
