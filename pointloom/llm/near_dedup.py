@@ -112,8 +112,8 @@ def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def bucket_members(reps: DataFrame, folder: str) -> DataFrame:
-    """key, band, rep, size and center (smallest rep) of all buckets with several members."""
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    """key, band, rep, weight, size and center (smallest rep) of all buckets with several members."""
+    rows = reps.select("rep", "weight", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     return written(join_groups(rows, written(sizes, f"{folder}/sizes"), ["key"], "size"), f"{folder}/members")
 
@@ -211,7 +211,7 @@ _BLOCK_ROW = "key long, band int, rep long, component long, outside boolean, out
 
 def across_components(members: DataFrame, components: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, miss: float, words: int, folder: str) -> DataFrame:
     """Links between members of one bucket that lie in different components."""
-    labelled = members.join(components, members.rep == components.node, "left").select("key", "band", "rep", "size", "center", F.coalesce("component", "rep").alias("component"))
+    labelled = members.join(components, members.rep == components.node, "left").select("key", "band", "rep", "weight", "size", "center", F.coalesce("component", "rep").alias("component"))
     labelled = written(labelled, f"{folder}/labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("times")).filter("low < high").select("key", "times")
     active = written(join_groups(labelled, written(mixed, f"{folder}/mixed"), ["key"], "times").drop("times"), f"{folder}/active")
@@ -223,7 +223,7 @@ def across_components(members: DataFrame, components: DataFrame, reps: DataFrame
     links = verify(pairs, reps, texts, percent, miss, words, f"{folder}/small")
 
     # Blocks are dealt by the weight of their texts, first with signatures alone; texts follow for what these leave.
-    large = active.filter(F.col("size") > SMALL_BUCKET).join(reps.select("rep", "weight"), "rep")
+    large = active.filter(F.col("size") > SMALL_BUCKET)
     counts = large.groupBy("key", "component").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("count"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("weight", "component")).alias("main"), F.max("weight").alias("most"), F.sum("weight").alias("all"), F.sum("count").alias("times"))
     placed = join_groups(large, written(main, f"{folder}/main"), ["key"], "times").withColumn("outside", F.col("component") != F.col("main"))
@@ -259,12 +259,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     classes = full.groupBy("digest").agg(F.min("at").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("class_size"))
     classes = written(classes, f"{work}/classes")
     weight = (1 + F.col("n_shingles") / HEAVY).cast("long").alias("weight")
-    reps = written(full.join(classes.select(F.col("rep").alias("at")), "at", "left_semi").select(F.col("at").alias("rep"), weight, "sig", "bands"), f"{work}/reps")
+    # Classes and members grow with the input: such joins sort and merge both sides at every size.
+    reps = written(full.join(classes.select(F.col("rep").alias("at")).hint("merge"), "at", "left_semi").select(F.col("at").alias("rep"), weight, "sig", "bands"), f"{work}/reps")
 
     members = bucket_members(reps, work)
     wanted = members.select("rep").distinct()
     plain = rows.filter("text IS NOT NULL").select(F.col("at").alias("rep"), F.col("text").cast("binary").alias("text"))
-    # The members grow with the input: both sides are sorted and merged at every size.
     texts = written(plain.join(wanted.hint("merge"), "rep", "left_semi"), f"{work}/texts")
     discard(docs.sparkSession, f"{work}/rows")
 
