@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointloom.operators.quantiles import with_quantiles
 from pointloom.operators.tracks import path_length
 
 
@@ -16,17 +17,25 @@ def share_pct(condition: Column) -> Column:
     return F.avg(condition.cast("double")) * 100
 
 
+def _keys(by: str | list[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
 def latency_report(metrics: DataFrame, by: str | list[str], limit_ms: float = 100.0, digits: int = 4) -> DataFrame:
     """Frames, mean, exact percentiles and share of frames within the limit."""
     t, r = "latency_total_ms", lambda c: F.round(c, digits)
-    p = [r(F.percentile(t, q)).alias(f"latency_p{round(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return metrics.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), r(F.avg(t)).alias("latency_mean"), *p, r(share_pct(F.col(t) <= limit_ms)).alias("real_time_pct"))
+    means = metrics.groupBy(by).agg(F.count(F.lit(1)).alias("frames"), r(F.avg(t)).alias("latency_mean"), r(share_pct(F.col(t) <= limit_ms)).alias("real_time_pct"))
+    names = {f"latency_p{round(q * 100)}": q for q in (0.5, 0.95, 0.99)}
+    found = with_quantiles(means, metrics, _keys(by), t, names)
+    return found.select(*_keys(by), "frames", "latency_mean", *[r(c).alias(c) for c in names], "real_time_pct")
 
 
 def nis_report(metrics: DataFrame, by: str | list[str], limit: float, digits: int = 4) -> DataFrame:
     """Mean and 95th percentile of the normalised innovation, and the share within the chi-square limit."""
     r = lambda c: F.round(c, digits)
-    return metrics.groupBy(by).agg(r(F.avg("nis")).alias("nis_mean"), r(F.percentile("nis", 0.95)).alias("nis_p95"), r(share_pct(F.col("nis") <= limit)).alias("consistent_pct"))
+    means = metrics.groupBy(by).agg(r(F.avg("nis")).alias("nis_mean"), r(share_pct(F.col("nis") <= limit)).alias("consistent_pct"))
+    found = with_quantiles(means, metrics, _keys(by), "nis", {"nis_p95": 0.95})
+    return found.select(*_keys(by), "nis_mean", r("nis_p95").alias("nis_p95"), "consistent_pct")
 
 
 def fsm_report(metrics: DataFrame, by: str | list[str], digits: int = 4) -> DataFrame:

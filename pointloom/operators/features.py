@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pointloom.config import DEFAULT, Config
 from pointloom.functions import geometry as g
+from pointloom.operators.quantiles import exact_quantiles
 
 P = ("x", "y", "z")
 PAIRS = (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))
@@ -156,7 +157,7 @@ def normal_equations(rows: DataFrame, by: Sequence[str], jacobian: Sequence[Colu
 
 def median_split(points: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Rows with `upper`: whether their value exceeds the median of their group."""
-    medians = points.groupBy(*by).agg(F.percentile(column, 0.5).alias("median"))
+    medians = exact_quantiles(points, by, column, [0.5]).select(*by, F.col("quantiles")[0].alias("median"))
     return points.join(medians, list(by)).withColumn("upper", F.col(column) > F.col("median"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointloom.operators.quantiles import exact_quantiles
+
 
 def polyline(rows: DataFrame, by: str, order: Sequence[str], ends: dict[str, str]) -> DataFrame:
     """Edges from each row to the next of its track: columns `ends` hold the next row's values."""
@@ -69,7 +71,7 @@ def sessions(rows: DataFrame, by: str | list[str], order: Sequence[str], seconds
 
 def widest_gap(values: DataFrame, by: str, column: str, bins: float, least_gap: float, low: float = 0.15, high: float = 0.85) -> DataFrame:
     """Centre of the widest run of empty bins between two percentiles; none under least_gap; the first of equals."""
-    limits = values.groupBy(by).agg(F.percentile(column, low).alias("lo"), F.percentile(column, high).alias("hi"))
+    limits = exact_quantiles(values, [by], column, [low, high]).select(by, F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
     inside = values.join(limits, by).filter((F.col(column) >= F.col("lo")) & (F.col(column) <= F.col("hi")))
     filled = inside.select(by, "lo", F.floor((F.col(column) - F.col("lo")) / bins).cast("long").alias("bin")).distinct()
     w = W.partitionBy(by).orderBy("bin")
