@@ -16,15 +16,15 @@ from pointloom.operators.cluster import ransac_planes
 from pointloom.operators.stage import staged
 
 P = ["x", "y", "z"]
+PART = 20_000  # points that one task hulls
 FLAT_VOLUME = 0.02  # stands for the volume of clusters that span no solid
 
 
-def hull_volume(points: np.ndarray) -> float | None:
-    """Volume of the convex hull of an (n, 3) array; None where it spans no solid.
+def _hull(points: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray] | None:
+    """Faces of the convex hull of different points, and a point inside; None where they span no solid.
 
     Points are added farthest first; the faces that see one are replaced by a fan over their horizon.
     """
-    points = np.unique(np.asarray(points, float), axis=0)
     if len(points) < 4:
         return None
     scale = np.ptp(points, axis=0).max()
@@ -58,19 +58,55 @@ def hull_volume(points: np.ndarray) -> float | None:
         edges = {(f[0][i], f[0][(i + 1) % 3]) for f, s in zip(faces, sees, strict=True) if s for i in range(3)}
         horizon = [(i, j) for i, j in edges if (j, i) not in edges]
         faces = [f for f, s in zip(faces, sees, strict=True) if not s] + [face(i, j, int(p)) for i, j in horizon]
-    return float(sum(abs((points[i] - inside) @ np.cross(points[j] - inside, points[k] - inside)) for (i, j, k), _, _ in faces) / 6)
+    return [f for f, _, _ in faces], inside
+
+
+def hull_volume(points: np.ndarray) -> float | None:
+    """Volume of the convex hull of an (n, 3) array; None where it spans no solid."""
+    points = np.unique(np.asarray(points, float), axis=0)
+    found = _hull(points)
+    if found is None:
+        return None
+    faces, inside = found
+    return float(sum(abs((points[i] - inside) @ np.cross(points[j] - inside, points[k] - inside)) for i, j, k in faces) / 6)
+
+
+def hull_vertices(points: np.ndarray) -> np.ndarray:
+    """The corners of the hull; all different points where they span no solid."""
+    points = np.unique(np.asarray(points, float), axis=0)
+    found = _hull(points)
+    return points if found is None else points[sorted({i for face in found[0] for i in face})]
+
 
+def hull_volumes(points: DataFrame, by: Sequence[str], part: int = PART) -> DataFrame:
+    """Hull volume per cluster; FLAT_VOLUME where there is none.
 
-def hull_volumes(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Hull volume per cluster; FLAT_VOLUME where there is none. Clusters hold at most some thousand points."""
+    A hull of hulls' corners is the hull of all: where a cluster holds more than `part` points, it is cut into parts of about so many, each
+    reduced to its corners in a task of its own, again and again while that makes it smaller.
+    """
     keys = list(by)
     types = dict(points.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         volume = hull_volume(pdf[P].to_numpy(float))
         return pdf[keys].head(1).assign(volume=FLAT_VOLUME if volume is None else volume, solid=volume is not None)
 
-    return points.select(*keys, *P).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", volume double, solid boolean")
+    def corners_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(hull_vertices(pdf[P].to_numpy(float)), columns=P)
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[keys + P]
+
+    left, total = points.select(*keys, *[F.col(c).cast("double").alias(c) for c in P]), None
+    while True:
+        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+        most, now = sizes.agg(F.max("size"), F.sum("size")).first()
+        if (most or 0) <= part or (total is not None and now >= total):
+            break
+        total = now
+        same = F.struct(*keys).eqNullSafe(F.struct(*[f"_{k}" for k in keys]))
+        dealt = left.join(sizes.withColumnsRenamed({k: f"_{k}" for k in keys}), same).withColumn("part", F.pmod(F.xxhash64(*P), F.ceil(F.col("size") / part)))
+        left = staged(dealt.select(*keys, *P, "part").groupBy(*keys, "part").applyInPandas(corners_of, f"{schema}, x double, y double, z double"), "hulls")
+    return left.groupBy(*keys).applyInPandas(run, f"{schema}, volume double, solid boolean")
 
 
 def corners(points: DataFrame, by: Sequence[str], config: Config = DEFAULT, threshold: float = 0.04, rounds: int = 30, seed: int = 7, key: str = "point_id") -> DataFrame:

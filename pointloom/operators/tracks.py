@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pointloom.operators.quantiles import exact_quantiles
 
 
+def _keys(by: str | Sequence[str]) -> list[str]:
+    return [by] if isinstance(by, str) else list(by)
+
+
 def polyline(rows: DataFrame, by: str, order: Sequence[str], ends: dict[str, str]) -> DataFrame:
     """Edges from each row to the next of its track: columns `ends` hold the next row's values."""
     w = W.partitionBy(by).orderBy(*order)
@@ -18,12 +22,28 @@ def polyline(rows: DataFrame, by: str, order: Sequence[str], ends: dict[str, str
     return out.filter(F.col(next(iter(ends.values()))).isNotNull())
 
 
+def in_runs(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with `run`: consecutive numbers of ranges of (by, order) that hold about equally many rows, however many a group has."""
+    return rows.repartitionByRange(*by, *order).withColumn("run", F.spark_partition_id())
+
+
 def path_length(rows: DataFrame, by: str | list[str], order: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Length of each track's path in the plane; 0 for a single row."""
-    w = W.partitionBy(by).orderBy(*order)
-    dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
-    steps = rows.withColumn("step", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)))
-    return steps.groupBy(by).agg(F.sum("step").alias("length"), F.count(F.lit(1)).alias("rows"))
+    """Length of each track's path in the plane; 0 for a single row.
+
+    A track is cut into runs of its rows; each run's steps are summed where it lies, and the steps from run to run are added from
+    their first and last rows alone, so that a track of any length is summed in many tasks.
+    """
+    keys = _keys(by)
+    points = in_runs(rows.select(*keys, *order, F.col(x).alias("x"), F.col(y).alias("y")), keys, order)
+    step = lambda w: F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0))
+    inside = points.withColumn("step", step(W.partitionBy(*keys, "run").orderBy(*order)))
+    at = F.struct(*order)
+    place = F.struct(*order, "x", "y")
+    runs = inside.groupBy(*keys, "run").agg(F.sum("step").alias("length"), F.count(F.lit(1)).alias("rows"), F.min_by(place, at).alias("first"), F.max_by(place, at).alias("last"))
+    w = W.partitionBy(*keys).orderBy("run")
+    gap = lambda c: F.col(f"first.{c}") - F.lag(f"last.{c}").over(w)
+    joined = runs.withColumn("length", F.col("length") + F.coalesce(F.hypot(gap("x"), gap("y")), F.lit(0.0)))
+    return joined.groupBy(*keys).agg(F.sum("length").alias("length"), F.sum("rows").alias("rows"))
 
 
 def frame_dt(rows: DataFrame, by: str, order: Sequence[str], seconds: Column, first: float = 0.1, least: float = 0.01) -> DataFrame:
@@ -53,12 +73,20 @@ def history_pairs(rows: DataFrame, by: str, order: Sequence[str], seconds: Colum
 def clamped_fold(rows: DataFrame, by: str, order: Sequence[str], delta: Column, low: float, high: float) -> DataFrame:
     """Per track the value of a counter that starts at `low` and moves by delta within [low, high].
 
-    Clamped additions compose: each row is the map x -> min(b, max(a, x + c)), and composing keeps that
-    form, so the fold needs the sorted array of one track's deltas only.
+    Clamped additions compose: each is a map x -> min(b, max(a, x + c)), and so is one after another. A track is cut into runs of
+    its rows; each run is composed to one map where it lies, and a track's maps are applied in order, so a track of any length is folded in many tasks.
     """
-    steps = F.sort_array(F.collect_list(F.struct(*order, delta.alias("delta"))))
-    folded = F.aggregate(steps, F.lit(float(low)), lambda h, s: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), h + s["delta"])))
-    return rows.groupBy(by).agg(folded.alias("health"), F.count(F.lit(1)).alias("rows"))
+    keys = _keys(by)
+    lo, hi = F.lit(float(low)), F.lit(float(high))
+    clamp = lambda v: F.least(hi, F.greatest(lo, v))
+    runs = in_runs(rows.select(*keys, *order, delta.cast("double").alias("delta")), keys, order)
+    steps = F.sort_array(F.collect_list(F.struct(*order, "delta")))
+    start = F.struct(F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b"), F.lit(0.0).alias("c"))
+    after = lambda f, s: F.struct(clamp(f["a"] + s["delta"]).alias("a"), clamp(f["b"] + s["delta"]).alias("b"), (f["c"] + s["delta"]).alias("c"))
+    maps = runs.groupBy(*keys, "run").agg(F.aggregate(steps, start, after).alias("map"), F.count(F.lit(1)).alias("rows"))
+    ordered = F.sort_array(F.collect_list(F.struct("run", "map")))
+    value = F.aggregate(ordered, lo, lambda x, r: F.least(r["map"]["b"], F.greatest(r["map"]["a"], x + r["map"]["c"])))
+    return maps.groupBy(*keys).agg(value.alias("health"), F.sum("rows").alias("rows"))
 
 
 def sessions(rows: DataFrame, by: str | list[str], order: Sequence[str], seconds: Column, gap_s: float) -> DataFrame:

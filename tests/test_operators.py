@@ -19,7 +19,7 @@ from pointloom.operators import spatial as S
 from pointloom.operators.graph import connected_components
 from pointloom.operators.registration import gauss_newton, score
 from pointloom.operators.shells import agglomerate, merge_boxes, split_boxes, upright_box
-from pointloom.operators.solids import corners, hull_volume
+from pointloom.operators.solids import corners, hull_vertices, hull_volume, hull_volumes
 from pointloom.operators.surface import build_surface, hermite_matrix
 from pointloom.streaming.tracker import ACTIVE, COASTING, SEARCHING, Track, step
 
@@ -88,6 +88,19 @@ def test_nonfinite_rows_and_thresholds(spark):
     assert [r.point_id for r in kept.collect()] == [2]
 
 
+def test_hulls_of_parts_make_the_hull(spark):
+    rng = np.random.default_rng(14)
+    clouds = {"ball": rng.normal(size=(3000, 3)), "cube": rng.random((900, 3)), "flat": rng.random((500, 3)) * [1, 1, 0], None: rng.random((30, 3))}
+    rows = [(k, *map(float, p)) for k, c in clouds.items() for p in c]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double").repartition(5)
+    got = {r.k: r for r in hull_volumes(df, ["k"], part=100).collect()}
+    whole = {r.k: r for r in hull_volumes(df, ["k"]).collect()}
+    assert set(got) == set(clouds) == set(whole)
+    for k in ("ball", "cube"):
+        assert got[k].solid and got[k].volume == pytest.approx(hull_volume(clouds[k]), rel=1e-9) == pytest.approx(whole[k].volume, rel=1e-9)
+    assert not got["flat"].solid and len(hull_vertices(clouds["cube"])) < 200
+
+
 @pytest.mark.parametrize(("points", "volume"), [(np.array([*itertools.product((0, 1), (0, 2), (0, 3))]), 6.0), (np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 1]]), 1 / 6)])
 def test_hull_of_solids(points, volume):
     inside = points.mean(axis=0) + 0.01 * np.random.default_rng(3).random((50, 3))
