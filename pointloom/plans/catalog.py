@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.plans import feature_queries, job_queries, model_queries, point_queries, track_queries  # noqa: F401  each module registers its queries
+from pointloom.plans import feature_queries, job_queries, model_queries, point_queries, source_queries, track_queries  # noqa: F401  each module registers its queries
 from pointloom.plans.registry import ORACLES, QUERIES
 
 

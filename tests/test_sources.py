@@ -219,3 +219,32 @@ def test_tables_round_trip(spark, tmp_path):
     assert T.read_metrics(spark, str(tmp_path / "bags")).select("bag", "nis").first() == ("bag1", 0.5)
     walls = spark.createDataFrame([([1.0, 0.0, 0.0], -1.0, None, None, None, None, None)], T.WALLS)
     assert T.flat_walls(walls).filter(F.col("half_width").isNull()).first().nx == 1.0
+
+
+def test_models_and_metadata_round_trip(spark, tmp_path):
+    model = spark.createDataFrame([(i, [0.1 * i, 0.0, 0.2], [0.0, 0.0, 1.0], 0.3, 0.5, [1.0, 2.0, float(i)]) for i in range(5)], T.MODEL).repartition(3)
+    head = spark.createDataFrame([([1.0, 2.0, 3.0], 0.04, 0.012, 0.05)], T.MODEL_HEAD)
+    for _ in range(2):  # again over itself
+        T.write_model(model, head, str(tmp_path / "model"))
+    got = T.read_model(spark, str(tmp_path / "model"))
+    assert sorted((r.k, r.p, r.alpha_g, r.centroid, r.robot_volume) for r in got.collect()) == sorted((r.k, r.p, r.alpha_g, [1.0, 2.0, 3.0], 0.04) for r in model.collect())
+    flat = T.flat_primitives(got).orderBy("k").collect()
+    assert (flat[2].px, flat[2].pz, flat[2].alpha_gz) == (pytest.approx(1.2), pytest.approx(3.2), 2.0)
+    from pointloom.operators.spatial import field_value
+
+    at = spark.createDataFrame([(1, 1.0, 2.0, 3.2)], "point_id long, x double, y double, z double")
+    assert field_value(at, T.flat_primitives(got)).first().field != 0.08
+
+    points = spark.createDataFrame([(0.0, 0.0, 0.0, 0, 1.0), (1.0, 2.0, 3.0, 3, 1.0), (3.0, 2.0, 1.0, 3, 1.0), (1.0, 1.0, 1.0, 1, 1.0)], T.LABELLED)
+    alignment = spark.createDataFrame([([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], -0.1, [0.0, 0.0, 1.0], 0.1, 0.05)], "R_align array<array<double>>, z_ground double, ground_normal array<double>, ground_distance double, ground_thickness double")
+    T.write_metadata(points, alignment, str(tmp_path / "meta"))
+    row = T.read_metadata(spark, str(tmp_path / "meta")).first()
+    assert (row.z_ground, row.robot_centroid, row.label_counts.asDict()) == (-0.1, [2.0, 2.0, 2.0], {"ground": 1, "structure": 1, "candidate": 0, "target": 2})
+
+
+def test_a_failed_write_leaves_no_model(spark, tmp_path):
+    head = spark.createDataFrame([([1.0, 2.0, 3.0], 0.04, 0.012, 0.05)], T.MODEL_HEAD)
+    broken = spark.range(3).select(F.col("id").cast("int").alias("k"), F.array(F.raise_error(F.lit("broken")).cast("double")).alias("p"), F.array(F.lit(0.0)).alias("n"), F.lit(0.1).alias("h"), F.lit(0.1).alias("alpha_v"), F.array(F.lit(0.0)).alias("alpha_g"))
+    with pytest.raises(Exception, match="broken"):
+        T.write_model(broken, head, str(tmp_path / "model"))
+    assert not (tmp_path / "model" / "head").exists() and not list((tmp_path / "model").glob("primitives/part-*"))
