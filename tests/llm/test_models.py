@@ -205,7 +205,7 @@ def test_block_rules():
     <aside>Other of the things that are here.</aside><form>Search <input></form><div id="comments"><p>{good}</p></div><p><a href="y">Read more of it</a></p><footer>(c)</footer><!-- {good} -->"""
     text = html_text.main_text(page)
     assert text == " ".join(["Near", good.strip(), "A short one.", " ".join(good.split()) + " a&b bold <x>"])
-    assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("<p>unclosed <b") == html_text.main_text("</div></p>") == ""
+    assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("<p>unclosed <b") == "unclosed" and html_text.main_text("</div></p>") == ""
     only = "<article><h1>A</h1><p>B C.</p></article>"
     assert html_text.main_text(only) == "A B C."
 
