@@ -48,8 +48,9 @@ def within(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return i[order], j[order]
 
 
-def nearest(points: np.ndarray, k: int, radius: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+def nearest(points: np.ndarray, k: int, radius: float = np.inf, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(indices, distances), n x k, of each point's k nearest, itself included and ties by index; -1 and infinity where fewer lie within radius.
+    Where `of` names some of the points, only these are asked, and have the rows.
 
     Cells start as wide as k points take on average, and widen for the points whose k-th neighbour lies beyond what a cell's sides cover.
     """
@@ -59,7 +60,7 @@ def nearest(points: np.ndarray, k: int, radius: float = np.inf) -> tuple[np.ndar
         return index, far
     span = np.maximum(np.ptp(points, axis=0), 1e-9)
     width = min(radius, float((span.prod() * max(1, k) / n) ** (1 / 3)), float(span.max()) + 1e-9)
-    todo = np.arange(n)
+    todo = np.arange(n) if of is None else np.unique(of)
     while len(todo):
         left = []
         for i, j, d in _pairs(points, todo, width):
@@ -74,7 +75,7 @@ def nearest(points: np.ndarray, k: int, radius: float = np.inf) -> tuple[np.ndar
         if width >= min(radius, float(span.max())):
             break
         todo, width = np.concatenate(left), 2 * width
-    return index, far
+    return (index, far) if of is None else (index[of], far[of])
 
 
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

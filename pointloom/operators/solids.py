@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,14 @@ from pointloom.operators.stage import staged
 P = ["x", "y", "z"]
 PART = 20_000  # points that one task hulls
 FLAT_VOLUME = 0.02  # stands for the volume of clusters that span no solid
+_NONE = np.zeros(0, np.int64)
 
 
 def _hull(points: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray] | None:
     """Faces of the convex hull of different points, and a point inside; None where they span no solid.
 
-    Points are added farthest first; the faces that see one are replaced by a fan over their horizon.
+    Every face keeps the points outside of it. The farthest of them is added next: the faces that see it, found from face to face, are replaced
+    by a fan over their horizon, which takes over their points. So each step costs what it changes, though all points may be corners.
     """
     if len(points) < 4:
         return None
@@ -42,23 +45,73 @@ def _hull(points: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray] |
     if abs(off_plane[d]) <= eps * np.linalg.norm(n):
         return None
     inside = points[[a, b, c, d]].mean(axis=0)
-
-    def face(i: int, j: int, k: int) -> tuple[tuple[int, int, int], np.ndarray, float]:
-        normal = np.cross(points[j] - points[i], points[k] - points[i])
-        if normal @ (inside - points[i]) > 0:
-            i, j, normal = j, i, -normal
-        return (i, j, k), normal, float(normal @ points[i])
-
-    faces = [face(a, b, c), face(a, b, d), face(a, c, d), face(b, c, d)]
-    for p in np.argsort(-((points - inside) ** 2).sum(axis=1)):
-        normals = np.array([f[1] for f in faces])
-        sees = normals @ points[p] - np.array([f[2] for f in faces]) > eps * np.linalg.norm(normals, axis=1)
-        if not sees.any():
+    xyz = points.tolist()
+    corners: list[tuple[int, int, int] | None] = []
+    planes: list[tuple[float, float, float, float]] = []  # unit normal and offset; no plane for faces without area, which nothing sees
+    outside: list[np.ndarray] = []
+    beside: dict[tuple[int, int], int] = {}  # the face on whose border an edge runs
+
+    def add(i: int, j: int, k: int) -> int:
+        (x, y, z), u, v = xyz[i], xyz[j], xyz[k]
+        ux, uy, uz, vx, vy, vz = u[0] - x, u[1] - y, u[2] - z, v[0] - x, v[1] - y, v[2] - z
+        nx, ny, nz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+        length = sqrt(nx * nx + ny * ny + nz * nz)
+        if length:
+            nx, ny, nz = nx / length, ny / length, nz / length
+        beside[i, j] = beside[j, k] = beside[k, i] = len(corners)
+        corners.append((i, j, k))
+        planes.append((nx, ny, nz, nx * x + ny * y + nz * z))
+        outside.append(_NONE)
+        return len(corners) - 1
+
+    def deal(rows: np.ndarray, new: list[int]) -> None:
+        """Each of the rows goes to the new face that it is farthest outside of, or inside all."""
+        where = np.array([planes[f] for f in new])
+        height = points[rows] @ where[:, :3].T - where[:, 3]
+        best = height.argmax(axis=1)
+        out = height[np.arange(len(rows)), best] > eps
+        for k in np.unique(best[out]).tolist():
+            outside[new[k]] = rows[out & (best == k)]
+            todo.append(new[k])
+
+    todo: list[int] = []
+    first = []
+    for i, j, k in ((a, b, c), (a, b, d), (a, c, d), (b, c, d)):
+        turned = np.cross(points[j] - points[i], points[k] - points[i]) @ (inside - points[i]) > 0
+        first.append(add(*map(int, (j, i, k) if turned else (i, j, k))))
+    deal(np.setdiff1d(np.arange(len(points)), [a, b, c, d]), first)
+    while todo:
+        f = todo.pop()
+        if corners[f] is None:
             continue
-        edges = {(f[0][i], f[0][(i + 1) % 3]) for f, s in zip(faces, sees, strict=True) if s for i in range(3)}
-        horizon = [(i, j) for i, j in edges if (j, i) not in edges]
-        faces = [f for f, s in zip(faces, sees, strict=True) if not s] + [face(i, j, int(p)) for i, j in horizon]
-    return [f for f, _, _ in faces], inside
+        rows, (nx, ny, nz, offset) = outside[f], planes[f]
+        p = int(rows[(points[rows] @ np.array((nx, ny, nz))).argmax()])
+        px, py, pz = xyz[p]
+        seen, stack, horizon = {f}, [f], []
+        while stack:
+            i, j, k = corners[stack.pop()]
+            for e in ((i, j), (j, k), (k, i)):
+                g = beside.get((e[1], e[0]))
+                if g in seen:
+                    continue
+                if g is not None and planes[g][0] * px + planes[g][1] * py + planes[g][2] * pz - planes[g][3] > eps:
+                    seen.add(g)
+                    stack.append(g)
+                else:
+                    horizon.append(e)
+        horizon = [e for e in horizon if beside.get((e[1], e[0])) not in seen]
+        rows = np.concatenate([outside[g] for g in seen])
+        rows = rows[rows != p]
+        for g in seen:
+            i, j, k = corners[g]
+            corners[g], outside[g] = None, _NONE
+            for e in ((i, j), (j, k), (k, i)):
+                if beside.get(e) == g:
+                    del beside[e]
+        new = [add(i, j, p) for i, j in horizon]
+        if len(rows):
+            deal(rows, new)
+    return [c for c in corners if c is not None], inside
 
 
 def hull_volume(points: np.ndarray) -> float | None:

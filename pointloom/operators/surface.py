@@ -15,6 +15,7 @@ from pointloom.operators.solids import hull_volume
 from pointloom.operators.spatial import knn_within
 
 P = ["x", "y", "z"]
+EVALUATED = 1 << 18  # pairs of points and primitives held at once
 
 
 def estimate_normals(points: DataFrame, k: int, radius: float, by: tuple[str, ...] = (), key: str = "point_id") -> DataFrame:
@@ -62,6 +63,10 @@ class Surface:
     default: float = 0.08
 
     def evaluate(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = max(1, EVALUATED // len(self.p))
+        if len(x) > step:
+            parts = [self.evaluate(x[i : i + step]) for i in range(0, len(x), step)]
+            return np.concatenate([f for f, _ in parts]), np.concatenate([g for _, g in parts])
         d = x[:, None, :] - self.p[None]
         value, a, b = kernel_parts(d, self.h)
         pull = (d * self.alpha_g).sum(axis=2)
@@ -101,7 +106,7 @@ def build_surface(points: np.ndarray, normals: np.ndarray, m: int = 200, config:
     x = points - centroid
     chosen = farthest(x, m)
     p, n = x[chosen], normals[chosen]
-    resultant = np.linalg.norm(normals[nearest(x, min(k, len(x)))[0][chosen]].mean(axis=1), axis=1)
+    resultant = np.linalg.norm(normals[nearest(x, min(k, len(x)), of=chosen)[0]].mean(axis=1), axis=1)
     h = config.bandwidth * np.clip(resultant, config.bandwidth_min / config.bandwidth, 1.0)
     noise = np.tile([config.sigma_field**2, *[config.sigma_gradient**2] * 3], len(p))
     matrix = hermite_matrix(p, h) + np.diag(noise + 1e-8)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
 
 from pointloom.operators import neighbours as N
 from pointloom.operators import shells as H
+from pointloom.operators.solids import hull_vertices, hull_volume
 
 
 def _clouds():
@@ -93,3 +95,24 @@ def test_volume_of_single_points_and_merges():
     assert g.v[0] == pytest.approx(1e-6)
     cov = np.cov(np.array([[0.0, 0, 0], [1.0, 0, 0]]).T, bias=True) + 1.01e-6 * np.eye(3)
     assert g.merged(0, 1)[1] == pytest.approx(np.sqrt(max(np.linalg.det(cov), 1e-12)))
+
+
+def test_nearest_of_some_points():
+    points = np.random.default_rng(8).normal(size=(300, 3))
+    of = np.array([250, 3, 77])
+    some, every = N.nearest(points, 7, of=of), N.nearest(points, 7)
+    assert all(np.array_equal(a, b[of]) for a, b in zip(some, every, strict=True))
+
+
+def test_hull_of_many_corners_takes_time_in_proportion():
+    """All points are corners: the work of each must not grow with their number."""
+    q = np.random.default_rng(9).normal(size=(12_000, 3))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    begin = time.perf_counter()
+    few = hull_volume(q[:1500])
+    middle = time.perf_counter()
+    many = hull_volume(q)
+    assert time.perf_counter() - middle < 25 * (middle - begin)  # 8 times the points
+    assert few < many < 4 / 3 * np.pi and many > 4.17 and len(hull_vertices(q[:1500])) == 1500
+    grid = np.array([(i, j, k) for i in range(7) for j in range(6) for k in range(5)], float)
+    assert np.isclose(hull_volume(grid), 120) and hull_volume(grid[grid[:, 2] == 2]) is None
