@@ -11,6 +11,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,13 +49,40 @@ def eps_pairs(points: DataFrame, eps: float, by: Sequence[str] = (), key: str =
     return met.filter(F.col(f"a.{key}") != F.col(f"b.{key}")).select(*by, F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), "d")
 
 
+CROWD = 8  # points that share a cell with one, on average, where a search starts
+HALVINGS = 12  # at most, of a search radius
+
+
+def _first_radius(points: DataFrame, radius: float, by: Sequence[str]) -> float:
+    """The radius, halved until a point shares its cell with no more than CROWD others on average."""
+    fine = cells(points, radius / 2**HALVINGS).groupBy(*by, "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
+    crowd = []
+    for level in range(HALVINGS + 1):
+        up = [F.shiftright(f"c{c}", HALVINGS - level).alias(f"c{c}") for c in P]
+        crowd.append(fine.groupBy(*by, *up).agg(F.sum("n").alias("n")).agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("mates"), F.lit(level).alias("level")))
+    found = {r.level: r.mates or 0.0 for r in functools.reduce(DataFrame.unionByName, crowd).collect()}
+    return radius / 2 ** next((level for level in range(HALVINGS + 1) if found[level] <= CROWD), HALVINGS)
+
+
 def knn_within(points: DataFrame, k: int, radius: float, by: Sequence[str] = (), key: str = "point_id") -> DataFrame:
-    """(i, j, d, rank): each point's k nearest within radius, itself included; ties by key.
+    """(i, j, d, rank): each point's k nearest within radius, itself included; ties by key, which tells points of all groups apart.
 
-    The nearest are ranked after the radius filter, so the shuffle holds neighbourhoods, not all pairs.
+    The search starts as wide as points lie apart, and doubles up to the radius for those that have not found k: what is joined and shuffled grows with
+    the points, not with the pairs within the radius. Of points at one place only the k least keys can be among anyone's k nearest, so no more are met.
     """
-    met = radius_join(points, points, radius, by).select(*by, F.col(f"a.{key}").alias("i"), F.col(f"b.{key}").alias("j"), "d")
-    return met.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+    points = staged(points.select(*by, key, *P), "knn")
+    place = W.partitionBy(*by, *P).orderBy(key)
+    reference = staged(points.withColumn("copy", F.row_number().over(place)).filter(F.col("copy") <= k).drop("copy"), "knn")
+    reach, left, out = _first_radius(reference, radius, by), points, None
+    while True:
+        met = radius_join(reference, left, reach, by).select(*by, F.col(f"b.{key}").alias("i"), F.col(f"a.{key}").alias("j"), "d")
+        ranked = staged(met.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k), "knn")
+        if reach >= radius:
+            return ranked if out is None else out.unionByName(ranked)
+        done = ranked.filter(F.col("rank") == k).select("i")
+        full = ranked.join(done, "i", "left_semi").select(*ranked.columns)
+        out = full if out is None else out.unionByName(full)
+        left, reach = staged(left.join(done, F.col(key) == F.col("i"), "left_anti"), "knn"), min(2 * reach, radius)
 
 
 def _diameter(*clouds: DataFrame) -> float:
@@ -118,23 +147,84 @@ def voxel_first(points: DataFrame, size: float, by: Sequence[str] = (), key: str
     return out.select(*by, "vx", "vy", "vz", *P, "first.intensity", "first.first_id")
 
 
-def field_value(points: DataFrame, primitives: DataFrame, key: str = "point_id", default: float = 0.08) -> DataFrame:
+BLOCK, REACH = 4096, 65_536  # points, and primitives around them, of one block
+DENSE = 1 << 20  # pairs of a cell and its sides from which on they are summed in blocks
+TASKS = 1000
+_TILE = 1 << 17  # pairs at once
+
+
+def _field_block(x: np.ndarray, q: np.ndarray, h: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, how many primitives hold it) of each point x over primitives q; small boxes of points meet only what their supports reach."""
+    widest, total, met = h.max(), np.zeros(len(x)), np.zeros(len(x), np.int64)
+    box = np.floor((x - x.min(axis=0)) / (widest / 4)).astype(np.int64)
+    _, of = np.unique(box, axis=0, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        own = x[rows]
+        low, high = own.min(axis=0), own.max(axis=0)
+        gap = np.maximum(np.maximum(low - q, q - high), 0.0)
+        reach = np.flatnonzero((gap * gap).sum(axis=1) <= widest * widest)
+        step = max(1, _TILE // len(rows))
+        for first in range(0, len(reach), step):
+            k = reach[first : first + step]
+            hk, ak, centred = h[k], alpha[k], q[k] - low
+            r = np.sqrt(sum((own[:, c, None] - q[k, c]) ** 2 for c in range(3)))
+            v = np.maximum(1 - r / hk, 0.0)
+            cube = v * v * v
+            met[rows] += (r < hk).sum(axis=1)
+            total[rows] += (cube * v * (5 - 4 * v)) @ ak[:, 0]
+            pull = (own - low) @ ak[:, 1:].T - (centred * ak[:, 1:]).sum(axis=1)
+            total[rows] += (np.where(r > 1e-9, cube, 0.0) * (20 / (hk * hk)) * pull).sum(axis=1)
+    return total, met
+
+
+def field_value(points: DataFrame, primitives: DataFrame, key: str = "point_id", default: float = 0.08, by: Sequence[str] = ()) -> DataFrame:
     """Implicit field at each point: sum of kernel times alpha_v minus slope / r times D . alpha_g over the
-    primitives (px, py, pz, support h) whose support holds it; `default` where none does. Points meet primitives by
-    grid cells as wide as the widest support.
+    primitives (px, py, pz, support h) whose support holds it, of the point's group in `by`; `default` where none does. `key` tells points of all groups apart.
+
+    Points meet primitives by grid cells as wide as the widest support. Cells with few pairs are joined; in the others the pairs, which may
+    be quadratic in the input, never become rows: points and primitives around them are dealt into blocks of bounded size, each summed in arrays.
     """
     from pointloom.functions.geometry import wendland, wendland_slope
 
+    primitives = staged(primitives, "field")  # a fitted surface is built once
     widest = primitives.agg(F.max("h")).first()[0]
     if not widest:
         return points.withColumn("field", F.lit(default))
-    placed = primitives.select(*[F.col(f"p{c}").alias(c) for c in P], "h", "alpha_v", *[f"alpha_g{c}" for c in P])
-    near = radius_join(points.select(key, *P), placed, widest).filter(F.col("d") < F.col("b.h"))
+    keys, weights = [*by, "cx", "cy", "cz"], ["alpha_v", *[f"alpha_g{c}" for c in P]]
+    a = cells(points.select(*by, key, *P), widest)
+    placed = cells(primitives.select(*by, *[F.col(f"p{c}").alias(c) for c in P], "h", *weights), widest)
+    around = lambda df: df.withColumn("o", F.explode(F.expr(_OFFSETS))).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"o.d{c}") for c in P}).drop("o")
+    sizes = around(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))).groupBy(*keys).agg(F.sum("m").alias("m"))
+    plan = staged(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(sizes, keys), "field")
+    b = around(placed)
+
+    light = plan.filter(F.col("n") * F.col("m") < DENSE).select(*keys)
+    few = a.join(light, keys).select(*keys, key, F.struct(*P).alias("a")).join(b.select(*keys, F.struct(*P, "h", *weights).alias("b")), keys).withColumn("d", distance("a", "b")).filter(F.col("d") < F.col("b.h"))
     r, h = F.col("d"), F.col("b.h")
     u = r / h
     pull = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * F.col(f"b.alpha_g{c}") for c in P), F.lit(0.0))
     term = wendland(u) * F.col("b.alpha_v") - F.when(r > 1e-9, wendland_slope(u) / h / r).otherwise(0.0) * pull
-    sums = near.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(term).alias("field"))
+    sums = few.select(key, term.alias("field"))
+
+    dense = plan.filter(F.col("n") * F.col("m") >= DENSE).select(*keys, F.ceil(F.col("n") / BLOCK).alias("n"), F.ceil(F.col("m") / REACH).alias("m"))
+    blocks = dense.agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    if blocks:
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = a.join(dense, keys).select(*keys, key, *P, F.pmod(F.xxhash64(key), "n").alias("i"), every("m").alias("j"))
+        right = b.join(dense, keys).select(*keys, *P, "h", *weights, F.pmod(F.xxhash64(*P, "h", *weights), "m").alias("j"), every("n").alias("i"))
+
+        def run(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            own, near = (df[np.isfinite(df[list(P)].to_numpy(float)).all(axis=1)] for df in (own, near))
+            if not len(own) or not len(near):
+                return pd.DataFrame({key: own[key].head(0), "field": []})
+            total, met = _field_block(own[list(P)].to_numpy(float), near[list(P)].to_numpy(float), near["h"].to_numpy(float), near[weights].to_numpy(float))
+            return pd.DataFrame({key: own[key].to_numpy(), "field": total})[met > 0]
+
+        block, tasks = [*keys, "i", "j"], min(int(blocks), TASKS)  # by number, since a block's work exceeds its bytes by far
+        dealt = [df.repartition(tasks, *block).groupBy(*block) for df in (left, right)]
+        sums = sums.unionByName(dealt[0].cogroup(dealt[1]).applyInPandas(run, f"{key} {dict(points.dtypes)[key]}, field double"))
+    sums = sums.groupBy(key).agg(F.sum("field").alias("field"))
     return points.join(sums, key, "left").withColumn("field", F.coalesce("field", F.lit(default)))
 
 
