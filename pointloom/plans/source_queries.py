@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import sql
 from pointloom.operators import points as P
-from pointloom.operators.stage import shared_dir
+from pointloom.operators.spatial import field_value
+from pointloom.operators.stage import shared_dir, staged
 from pointloom.plans.feature_queries import FIELD, PRIMS
 from pointloom.plans.point_queries import r6
 from pointloom.plans.registry import query
 from pointloom.plans.views import PTS, pts
 from pointloom.sources import tables as T
 
+ARRAY = 512  # primitives of a frame that the SQL function takes as an array
+
 
 @query(f"WITH {PTS} SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z, CAST(frame_id % 4 AS INTEGER) AS label FROM pts WHERE frame_id % 4 IN (1, 2)")
 def labelled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +39,15 @@ def frame_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PTS}, {PRIMS.replace('SELECT point_id AS k', 'SELECT frame_id AS of_frame, point_id AS k')}, {FIELD.replace('pts JOIN prims ON', 'pts JOIN prims ON frame_id = of_frame AND')} SELECT point_id, round(field, 6) + 0.0 AS field FROM f")
 def field_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL function at each point, over the primitives of its frame."""
+    """The field at each point, over the primitives of its frame: by the SQL function in sensor frames, by the blocks of `field_value` where a frame's array would be long."""
     sql.register(spark)
     points = pts(spark, sf_dir)
+    sizes = points.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
+    large = staged(points.join(sizes.filter(F.col("n") > ARRAY), "frame_id", "left_semi"), "field")
+    points = points.join(sizes.filter(F.col("n") <= ARRAY), "frame_id", "left_semi")
+    primitives = large.select("frame_id", *[F.col(c).alias(f"p{c}") for c in "xyz"], F.lit(0.12).alias("h"), (0.5 + F.col("intensity")).alias("alpha_v"), *[F.col(c).alias(f"alpha_g{c}") for c in "xyz"])
+    by_blocks = field_value(large, primitives, by=["frame_id"]).select("point_id", r6(F.col("field")).alias("field"))
     one = F.struct(*[F.col(c).alias(f"p{c}") for c in "xyz"], F.lit(0.12).alias("h"), (0.5 + F.col("intensity")).alias("alpha_v"), *[F.col(c).alias(f"alpha_g{c}") for c in "xyz"])
     frames = points.groupBy("frame_id").agg(F.collect_list(one).alias("primitives"))
-    return points.join(frames, "frame_id").select("point_id", r6(F.expr("field_eval(x, y, z, primitives, 0.08D)")).alias("field"))
+    by_function = points.join(frames, "frame_id").select("point_id", r6(F.expr("field_eval(x, y, z, primitives, 0.08D)")).alias("field"))
+    return by_function.unionByName(by_blocks)
