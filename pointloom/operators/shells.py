@@ -19,6 +19,7 @@ from pointloom.operators.spatial import knn_within
 from pointloom.operators.stage import staged
 
 P = ["x", "y", "z"]
+SMALL = 1024  # points of which all distances are quicker than cell lists
 
 
 class _Groups:
@@ -176,7 +177,11 @@ def without_outliers(points: np.ndarray, k: int = 20, deviations: float = 1.0) -
     """Points whose mean distance to their k nearest is not far above the mean."""
     if len(points) <= k:
         return points
-    mean = nearest(points, k)[1].mean(axis=1)
+    if len(points) <= SMALL:
+        d = sum((points[:, None, c] - points[None, :, c]) ** 2 for c in range(3))
+        mean = np.sqrt(np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)).mean(axis=1)
+    else:
+        mean = nearest(points, k)[1].mean(axis=1)
     return points[mean <= mean.mean() + deviations * mean.std(ddof=1)]
 
 

@@ -116,3 +116,13 @@ def test_hull_of_many_corners_takes_time_in_proportion():
     assert few < many < 4 / 3 * np.pi and many > 4.17 and len(hull_vertices(q[:1500])) == 1500
     grid = np.array([(i, j, k) for i in range(7) for j in range(6) for k in range(5)], float)
     assert np.isclose(hull_volume(grid), 120) and hull_volume(grid[grid[:, 2] == 2]) is None
+
+
+def test_small_clouds_lose_the_same_outliers_without_cell_lists(monkeypatch):
+    points = np.random.default_rng(10).normal(size=(600, 3))
+    points[:40] = np.round(points[:40], 1)
+    monkeypatch.setattr(H, "SMALL", 0)
+    want = H.without_outliers(points)
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "nearest", None)
+    assert np.array_equal(H.without_outliers(points), want)
