@@ -6,6 +6,8 @@ import time
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from pointloom.operators import cluster as C
 from pointloom.operators import spatial as S
 
@@ -45,3 +47,26 @@ def test_large_frames_are_clustered_without_all_pairs(spark, tmp_path):
         want |= dict(zip(ids.tolist(), C._dbscan_frame(x[ids], ids, 0.1, 6).tolist(), strict=True))
     found = C.dbscan_per_frame(points, 0.1, 6, frame=400)  # one frame in a task, one by cells
     assert {r.point_id: -1 if r.cluster is None else r.cluster for r in found.collect()} == want
+
+
+def test_field_sums_pairs_in_blocks(spark, tmp_path):
+    """A dense cell goes through blocks, lone points through the join, groups apart: both as the definition has it."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.random((2_000, 3)) * 0.1 + 0.01, rng.uniform(-1, 1, (60, 3))])
+    frames = np.arange(len(x)) % 2
+    points = _table(spark, tmp_path, x, frames)
+    primitives = points.select("frame_id", *[F.col(c).alias(f"p{c}") for c in "xyz"], F.lit(0.12).alias("h"), (F.col("x") + 1).alias("alpha_v"), *[F.col(c).alias(f"alpha_g{c}") for c in "xyz"])
+    S.DENSE, before = 10_000, S.DENSE
+    try:
+        found = S.field_value(points, primitives, by=["frame_id"])
+        got = {r.point_id: r.field for r in found.collect()}
+        assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        S.DENSE = before
+    for i in (*range(0, 2_000, 97), *range(2_000, 2_060)):
+        own = frames == frames[i]
+        d = x[i] - x[own]
+        r = np.linalg.norm(d, axis=1)
+        v = np.maximum(1 - r / 0.12, 0)
+        terms = v**4 * (5 - 4 * v) * (x[own, 0] + 1) + 20 * v**3 / 0.12**2 * (d * x[own]).sum(axis=1)
+        assert np.isclose(got[i], terms[r < 0.12].sum(), rtol=1e-9)
