@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.config import Config
+from pointloom.functions.geometry import c_turns
 from pointloom.operators import cluster as C
 from pointloom.operators import features as A
 from pointloom.operators import points as P
@@ -190,8 +191,9 @@ def _fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     seconds = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))") / 1e6 / 40000
     pose = lambda c: F.when(k % 7 != 0, c)
+    turn = F.get(c_turns(F.array(seconds)), F.lit(0))
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("track"), k.alias("frame"), seconds.alias("ts"), pose(F.sin(seconds)).alias("px"), pose(F.cos(seconds)).alias("py"), pose(F.col("value") / 100).alias("yaw"), (k % 3 == 0).alias("is_target"),
+        F.col("user_id").alias("track"), k.alias("frame"), seconds.alias("ts"), pose(turn["s"]).alias("px"), pose(turn["c"]).alias("py"), pose(F.col("value") / 100).alias("yaw"), (k % 3 == 0).alias("is_target"),
         (F.col("value") / 1000).alias("z_ground"),
     )
 

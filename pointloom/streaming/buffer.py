@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pointloom.config import DEFAULT, Config
+from pointloom.functions.geometry import c_turns
 
 
 def accumulate(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0) -> DataFrame:
@@ -28,14 +29,15 @@ def accumulate(frames: DataFrame, config: Config = DEFAULT, reach_s: float = 1.0
     past = F.collect_list(F.struct("ts", "points")).over(w)
     kept = F.filter(past, lambda p: (F.col("ts") - p["ts"] > 1e-4) & (F.col("ts") - p["ts"] <= reach_s))
 
-    def moved(p):
+    def moved(p, k):
         tau = F.col("ts") - p["ts"]
-        c, s = F.cos(-F.col("omega") * tau), F.sin(-F.col("omega") * tau)
+        c, s = F.get("turns", k)["c"], F.get("turns", k)["s"]
         return F.transform(p["points"], lambda q: F.struct((c * q["x"] - s * q["y"] - F.col("vx") * tau).alias("x"), (s * q["x"] + c * q["y"] - F.col("vy") * tau).alias("y"), q["z"].alias("z"), q["intensity"].alias("intensity")))
 
     own = F.transform("points", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"), q["intensity"].alias("intensity")))
     with_past = F.when(F.size("points") >= config.buffer_trigger, own).otherwise(F.concat(own, F.flatten(F.transform("past", moved))))
-    clouds = full.withColumn("past", kept).withColumn("cloud", with_past)
+    turned = full.withColumn("past", kept).withColumn("turns", c_turns(F.transform("past", lambda p: -F.col("omega") * (F.col("ts") - p["ts"]))))
+    clouds = turned.withColumn("cloud", with_past)
     low = lambda c: F.array_min(F.transform("cloud", lambda q: q[c])).alias(f"l{c}")
     rows = clouds.select("track", "frame", "ts", F.size("cloud").alias("n"), *map(low, "xyz"), F.posexplode("cloud").alias("i", "q"))
     rows = rows.select("track", "frame", "ts", "n", "i", "lx", "ly", "lz", "q.x", "q.y", "q.z", "q.intensity")
