@@ -215,14 +215,19 @@ def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the same rows, in as many micro-batches as files, run to its end into a table."""
     folder = shared_dir(spark, "track-stream")
     fits = _fits(spark, sf_dir)
-    fits.write.parquet(f"{folder}/in")
+
+    def taken(rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(fits.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
+        with state_store(spark):
+            q = track_stream(stream, delay="100 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination()
+
     # The rows of an event table lie in its files in no order, so all wait until a last row without a frame moves the clock past them.
+    # It comes once all rows are taken: files of one run come by their time of writing, which may be equal or of several clocks.
+    taken(fits)
     clock = fits.agg(F.lit(-1).cast("long").alias("track"), (F.max("ts") + 1e9).alias("ts"))
-    fits.limit(0).unionByName(clock, allowMissingColumns=True).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(fits.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
-    with state_store(spark):
-        q = track_stream(stream, delay="100 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
+    taken(fits.limit(0).unionByName(clock, allowMissingColumns=True))
     return _rounded(spark.read.schema(TRACK_OUTPUT).parquet(f"{folder}/out"))
 
 

@@ -35,6 +35,9 @@ Q = (0.02, 0.02, 0.03, 0.005, 0.005, 0.005)
 STILL = (1e-3, 1e-3, 1e-3)
 HALF_HEIGHT = 0.24
 LOW_CONFIDENCE = 5.0  # factor of R for fits that are not the target
+#: Milliseconds by which the stream's clock runs ahead of `ts`. A watermark starts at 1970 and takes nothing at or before it, so
+#: without this the first microsecond of a clock that starts at 0 and all before it would be late from the start.
+AHEAD_MS = 1 << 41  # 69 years
 Matrix = list[list[float]]
 
 
@@ -223,10 +226,10 @@ class Tracker(StatefulProcessor):
 
     def _wake(self, rows: list[tuple]) -> None:
         """A timer for when the watermark reaches the first of the rows."""
-        self.handle.registerTimer(ceil(min(r[1] for r in rows) * 1000))
+        self.handle.registerTimer(ceil(min(r[1] for r in rows) * 1000) + AHEAD_MS)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() / 1000
+        now = (timerValues.getCurrentWatermarkInMs() - AHEAD_MS) / 1000
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due, rest = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[1], r[0])), [r for r in rows if r[1] > now]
         out: list[tuple] = []
@@ -238,7 +241,7 @@ class Tracker(StatefulProcessor):
                 self._wake(rest)
             self.track.update(astuple(t))
             if self.end_after_s is not None:
-                self.handle.registerTimer(ceil((t.last_ts + self.end_after_s) * 1000) + 1)
+                self.handle.registerTimer(ceil((t.last_ts + self.end_after_s) * 1000) + 1 + AHEAD_MS)
         elif self.end_after_s is not None and t.last_ts is not None and now - t.last_ts > self.end_after_s and not any(r[1] - t.last_ts <= self.end_after_s for r in rest):
             ended = t.last_ts + self.end_after_s
             out.append(_row(int(key[0]), Track(), None, ended, 0.0, False, None))
@@ -264,5 +267,5 @@ def track_stream(fits: DataFrame, config: Config = DEFAULT, delay: str = "2 seco
     Rows may come up to `delay` out of order, later ones are dropped. A frame's row is put out when the watermark passes it; rows whose
     frame is null only move the clock. Where end_after_s is given, a track silent for longer puts out a last row without a frame, and its state is gone.
     """
-    rows = _inputs(fits).withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long"))).withWatermark("at", delay)
+    rows = _inputs(fits).withColumn("at", F.timestamp_micros(F.floor(F.col("ts") * 1_000_000) + AHEAD_MS * 1000)).withWatermark("at", delay)
     return rows.groupBy("track").transformWithStateInPandas(Tracker(config, end_after_s), OUTPUT, "Append", "EventTime")

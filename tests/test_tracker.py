@@ -83,6 +83,12 @@ def test_a_gap_starts_a_track_anew_in_both(spark, tmp_path):
     assert [r for r in got if r[1] is not None] == batch
 
 
+def test_rows_at_and_before_the_start_of_the_clock_are_taken(spark, tmp_path):
+    rows = [(t, k, round(ts - 3.1, 3), *r) for t, k, ts, *r in _fits((1, 2), 60)] + [(3, 0, 0.0, 1.0, 0.0, 0.0, True, 0.0), (4, 0, 5e-7, 1.0, 0.0, 0.0, True, 0.0)]
+    assert min(r[2] for r in rows) == -3.0
+    assert _stream(spark, str(tmp_path), [rows[::2], rows[1::2], [_clock(1e6)]], delay="1 hour") == _batch(spark, rows)
+
+
 def test_settings_are_restored(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
