@@ -120,12 +120,24 @@ def ball_promote(points: DataFrame, centre: DataFrame, radius: float, source: in
     return joined.withColumn("label", F.when((F.col("label") == source) & (d <= radius), target).otherwise(F.col("label"))).drop("mx", "my", "mz")
 
 
+VOXEL_ROWS = 1 << 19  # points of one task that puts them into voxels
+
+
 def voxel_key(points: DataFrame, size: float, by: Sequence[str] = (), half: bool = False) -> DataFrame:
-    """Points with voxel indices vx, vy, vz, anchored at the cloud's least corner (half a voxel lower if `half`)."""
-    low = points.groupBy(*by).agg(*[F.min(c).alias(f"l{c}") for c in P])
-    joined = points.join(low, list(by)) if by else points.crossJoin(F.broadcast(low))
+    """Points with voxel indices vx, vy, vz, anchored at the cloud's least corner (half a voxel lower if `half`).
+
+    More than VOXEL_ROWS points are dealt by group (without groups by voxel) into tasks of about as many, so that what a task sorts and
+    sums for its voxels doesn't grow with the input. The corners are written once, with their counts.
+    """
+    low = staged(points.groupBy(*by).agg(*[F.min(c).alias(f"l{c}") for c in P], F.count(F.lit(1)).alias("rows")), "corners")
+    rows = low.agg(F.sum("rows")).first()[0] or 0
+    many, tasks = rows > VOXEL_ROWS, max(-(-rows // VOXEL_ROWS), points.sparkSession.sparkContext.defaultParallelism)
+    low = low.drop("rows")
+    dealt = points.repartition(tasks, *by) if many and by else points
+    joined = dealt.join(low, list(by)) if by else points.crossJoin(F.broadcast(low))
     shift = size / 2 if half else 0.0
-    return joined.withColumns({f"v{c}": F.floor((F.col(c) - F.col(f"l{c}") + shift) / size).cast("long") for c in P}).drop("lx", "ly", "lz")
+    keyed = joined.withColumns({f"v{c}": F.floor((F.col(c) - F.col(f"l{c}") + shift) / size).cast("long") for c in P}).drop("lx", "ly", "lz")
+    return keyed.repartition(tasks, "vx", "vy", "vz") if many and not by else keyed
 
 
 def voxel_mean(points: DataFrame, size: float, by: Sequence[str] = ()) -> DataFrame:
