@@ -215,11 +215,13 @@ def tracked_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the same rows, in as many micro-batches as files, run to its end into a table."""
     folder = shared_dir(spark, "track-stream")
     fits = _fits(spark, sf_dir)
+    # Every micro-batch opens and commits each partition of the state, filled or not: a few for each core are enough.
+    partitions = min(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def taken(rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(fits.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/in")
-        with state_store(spark):
+        with state_store(spark, partitions):
             q = track_stream(stream, delay="100 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             q.awaitTermination()
 

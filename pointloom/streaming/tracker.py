@@ -5,8 +5,8 @@ give the same rows. All times are event times. Every row is one frame of a track
 best fit and whether that is the target, or nulls where nothing was fitted. The body's middle is HALF_HEIGHT above the
 ground, which a column z_ground gives (0 without it).
 
-The batch sorts rows by track and time and folds them as they come, so no track need fit into memory. The stream holds a
-track's typed state and the rows that the watermark has not passed: rows that come out of order are put in order before they are
+The batch sorts rows by track and time and folds them as they come, so no track need fit into memory. The stream holds typed
+state of its tracks, by groups of them, and the rows that the watermark has not passed: rows that come out of order are put in order before they are
 taken, rows behind the watermark are dropped by Spark, and a track that stays silent for `end_after_s` ends by its timer.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass, field
-from itertools import groupby
+from itertools import batched, groupby
 from math import atan2, ceil, cos, hypot, isnan, sin
 
 import pandas as pd
@@ -202,70 +202,110 @@ def track_batch(fits: DataFrame, config: Config = DEFAULT, end_after_s: float |
 
 
 _STATE = "x array<double>, p array<array<double>>, started boolean, health double, lifecycle string, last_target double, last_ts double, still boolean"
-_WAITING = "frame long, ts double, px double, py double, yaw double, is_target boolean, z_ground double"
+#: Rows that came together, column by column: the store is called once for all of them and not once a row.
+_WAITING = "track array<long>, frame array<long>, ts array<double>, px array<double>, py array<double>, yaw array<double>, is_target array<boolean>, z_ground array<double>"
+_OUT_ROWS = 10_000  # of a frame of output
+#: Keys of the state, among which tracks are dealt by their hash. A key's calls of the store and its pandas frames take some
+#: milliseconds for one row or thousands of them, so a key for each track would take most of the time.
+GROUPS = 1 << 10
 
 
 class Tracker(StatefulProcessor):
-    """A track in the state store: its filter as one typed value, and the rows ahead of the watermark as a list."""
+    """A group of tracks in the state store: their filters as a map of typed values, and the rows ahead of the watermark as a list of their columns."""
 
     def __init__(self, config: Config, end_after_s: float | None):
         self.config, self.end_after_s = config, end_after_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.track, self.waiting = handle.getValueState("track", _STATE), handle.getListState("waiting", _WAITING)
+        self.tracks, self.waiting = handle.getMapState("tracks", "track long", _STATE), handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frames = pd.concat(list(rows))
-        frames = frames[frames["frame"].notna()].astype({"frame": "int64"})  # rows without a frame only move the clock
-        fresh = list(frames[_INPUT].astype(object).where(frames[_INPUT].notna(), None).itertuples(index=False, name=None))
-        if fresh:
-            self.waiting.appendList(fresh)
-            self._wake(fresh)
-        yield pd.DataFrame(columns=_COLUMNS)
-
-    def _wake(self, rows: list[tuple]) -> None:
-        """A timer for when the watermark reaches the first of the rows."""
-        self.handle.registerTimer(ceil(min(r[1] for r in rows) * 1000) + AHEAD_MS)
+        first = None
+        for frames in rows:
+            frames = frames[frames["frame"].notna()].astype({"frame": "int64"})  # rows without a frame only move the clock
+            if len(frames):
+                columns = {c: [None if v != v else v for v in frames[c].tolist()] for c in ("track", *_INPUT)}
+                self.waiting.appendValue(tuple(columns.values()))
+                first = min(columns["ts"] if first is None else [first, *columns["ts"]])
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def _wake(self, ts: float, over: int = 0) -> None:
+        """A timer for when the watermark reaches a time."""
+        self.handle.registerTimer(ceil(ts * 1000) + over + AHEAD_MS)
+
+    def _folded(self, due: list[tuple]) -> Iterator[tuple]:
+        for track, rows in groupby(due, key=lambda r: r[0]):
+            kept = self.tracks.getValue((track,))
+            t = _track(kept) if kept else Track()
+            yield from fold(track, t, (r[1:] for r in rows), self.config, self.end_after_s)
+            self.tracks.updateValue((track,), astuple(t))
+
+    def _ended(self, now: float) -> list[tuple]:
+        """Last rows of the tracks that are silent, whose state is removed; a timer for the next that may be."""
+        last = {track: t.last_ts for (track,), t in ((k, _track(v)) for k, v in self.tracks.iterator())}
+        silent = {track: ts for track, ts in last.items() if now - ts > self.end_after_s}
+        for track in silent:
+            self.tracks.removeKey((track,))
+        if len(silent) < len(last):
+            self._wake(min(ts for track, ts in last.items() if track not in silent) + self.end_after_s, 1)
+        return [_row(track, Track(), None, ts + self.end_after_s, 0.0, False, None) for track, ts in silent.items()]
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = (timerValues.getCurrentWatermarkInMs() - AHEAD_MS) / 1000
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due, rest = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[1], r[0])), [r for r in rows if r[1] > now]
-        out: list[tuple] = []
-        t = Track(*([list(v) if i == 0 else [list(r) for r in v] if i == 1 else v for i, v in enumerate(self.track.get())])) if self.track.exists() else Track()
+        rows = [r for columns in self.waiting.get() for r in zip(*columns, strict=True)]
+        due, rest = [r for r in rows if r[2] <= now], [r for r in rows if r[2] > now]
         if due:
-            out += fold(int(key[0]), t, due, self.config, self.end_after_s)
-            self.waiting.put(rest) if rest else self.waiting.clear()
+            due.sort(key=lambda r: (r[0], r[2], r[1]))
+            yield from map(_frame, batched(self._folded(due), _OUT_ROWS))
+            self.waiting.clear()
+            for part in batched(rest, _OUT_ROWS):
+                self.waiting.appendValue(tuple(map(list, zip(*part, strict=True))))
             if rest:
-                self._wake(rest)
-            self.track.update(astuple(t))
-            if self.end_after_s is not None:
-                self.handle.registerTimer(ceil((t.last_ts + self.end_after_s) * 1000) + 1 + AHEAD_MS)
-        elif self.end_after_s is not None and t.last_ts is not None and now - t.last_ts > self.end_after_s and not any(r[1] - t.last_ts <= self.end_after_s for r in rest):
-            ended = t.last_ts + self.end_after_s
-            out.append(_row(int(key[0]), Track(), None, ended, 0.0, False, None))
-            self.track.clear()
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"nis": float})
+                self._wake(min(r[2] for r in rest))
+        ended = self._ended(now) if self.end_after_s is not None else []
+        if ended:
+            yield _frame(ended)
+
+
+def _track(kept: tuple) -> Track:
+    x, p, *rest = kept
+    return Track(list(x), [list(r) for r in p], *rest)
+
+
+def _frame(rows: Iterable[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(_COLUMNS, zip(*rows, strict=True), strict=True))).astype({"nis": float})
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """The state store that typed state and timers need, while a stream is started."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """The state store that typed state and timers need, while a stream is started.
+
+    `partitions` of it are opened and committed in every micro-batch; a checkpoint keeps the number it began with. By default these are
+    the session's shuffle partitions.
+    """
+    settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def track_stream(fits: DataFrame, config: Config = DEFAULT, delay: str = "2 seconds", end_after_s: float | None = None) -> DataFrame:
+def track_stream(fits: DataFrame, config: Config = DEFAULT, delay: str = "2 seconds", end_after_s: float | None = None, groups: int = GROUPS) -> DataFrame:
     """The same over a stream; to be started inside `state_store`.
 
     Rows may come up to `delay` out of order, later ones are dropped. A frame's row is put out when the watermark passes it; rows whose
     frame is null only move the clock. Where end_after_s is given, a track silent for longer puts out a last row without a frame, and its state is gone.
+    A task holds the waiting rows of one of the `groups` of tracks at a time; a checkpoint keeps the number it began with.
     """
     rows = _inputs(fits).withColumn("at", F.timestamp_micros(F.floor(F.col("ts") * 1_000_000) + AHEAD_MS * 1000)).withWatermark("at", delay)
-    return rows.groupBy("track").transformWithStateInPandas(Tracker(config, end_after_s), OUTPUT, "Append", "EventTime")
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("track"), F.lit(groups)))
+    return rows.groupBy("share").transformWithStateInPandas(Tracker(config, end_after_s), OUTPUT, "Append", "EventTime")

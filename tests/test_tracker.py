@@ -89,6 +89,27 @@ def test_rows_at_and_before_the_start_of_the_clock_are_taken(spark, tmp_path):
     assert _stream(spark, str(tmp_path), [rows[::2], rows[1::2], [_clock(1e6)]], delay="1 hour") == _batch(spark, rows)
 
 
+def test_the_store_is_called_by_groups_of_tracks_and_not_by_rows(spark, tmp_path):
+    """200 tracks of 6 rows: 8 entries of the list a micro-batch, where each of the 1,200 rows was one; tracks of a group stay apart."""
+    rows = _fits(range(200), 6)
+    spark.createDataFrame(rows, FITS).repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(FITS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    with K.state_store(spark, 3):
+        q = K.track_stream(stream, delay="1 hour", groups=8).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/noop").trigger(availableNow=True).start()
+        q.awaitTermination()
+    taken = [p["stateOperators"][0] for p in q.recentProgress if p["numInputRows"]]
+    assert [t["numRowsUpdated"] for t in taken] == [8, 8] and {t["numShufflePartitions"] for t in taken} == {3}
+    assert _stream(spark, f"{tmp_path}/all", [rows[::2], rows[1::2], [_clock(1e6)]], delay="1 hour", groups=8) == _batch(spark, rows)
+
+
+def test_tracks_of_a_group_end_one_by_one(spark, tmp_path):
+    rows = _fits((1, 2, 3), 30)
+    quiet = sorted((r for r in rows if r[1] < 10 * r[0]), key=lambda r: r[2])  # track 1 falls silent after 1 s, track 2 after 2 s
+    got = _stream(spark, str(tmp_path), [quiet, [_clock(4.2)], [_clock(5.2)], [_clock(40.0)]], delay="100 milliseconds", end_after_s=3.0, groups=1)
+    assert sorted((r[0], r[2]) for r in got if r[1] is None) == [(t, pytest.approx(t + 3.0)) for t in (1, 2, 3)]
+    assert [r for r in got if r[1] is not None] == _batch(spark, quiet, end_after_s=3.0)
+
+
 def test_settings_are_restored(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
@@ -97,6 +118,14 @@ def test_settings_are_restored(spark):
     assert spark.conf.get(name, None) == before
 
 
+def test_state_partitions_are_restored(spark):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    with K.state_store(spark, 3):
+        assert spark.conf.get(name) == "3"
+    assert spark.conf.get(name) == before
+
+
 def test_a_track_longer_than_a_batch_is_one_track(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows = _fits((1, 2), 50)
